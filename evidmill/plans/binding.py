@@ -60,6 +60,23 @@ FAILURE = {
     **LINE_QUAD,
 }
 FAILURE_WHERE = "l_returnflag = 'R' AND l_linestatus = 'F'"
+WORKER_WHERE = "l_linenumber = 7 AND l_suppkey % 5 = 0"
+WORKER = {
+    "run_id": "l_orderkey",
+    "worker_name": "concat('worker-', CAST(l_suppkey % 16 AS STRING))",
+    "line_number": "l_partkey",
+}
+CHANGE = {
+    "id": "concat('change:', CAST(doc_id AS STRING))",
+    "run_id": "doc_id % 200",
+    "path": "concat('src/', source, '/f', CAST(doc_id AS STRING), '.py')",
+    "before_text": "CASE WHEN doc_id % 7 IN (0, 1) THEN NULL ELSE text END",
+    "after_text": "CASE WHEN doc_id % 7 IN (1, 2) THEN NULL WHEN doc_id % 7 = 3 THEN concat(text, '!') ELSE text END",
+    "source_kind": "'collectable_v1'",
+    "confidence": "CASE WHEN doc_id % 5 = 0 THEN 'medium' ELSE 'high' END",
+    "redaction_state": "'safe'",
+    "created_at": "CAST(doc_id AS STRING)",
+}
 EVENT = {
     "id": "event_id",
     "ts": "ts",
@@ -179,6 +196,42 @@ class Spine:
             "CAST(doc_id AS STRING) AS created_at",
         )
 
+    @cached_property
+    def worker_events(self) -> DataFrame:
+        """Worker identity lines of a run."""
+        return self.lineitem.where(WORKER_WHERE).selectExpr(*_exprs(WORKER))
+
+    @cached_property
+    def agent_blocks(self) -> DataFrame:
+        """One agent provenance block per conversation; its run has the same number."""
+        user, bot = F.col("role") == "user", F.col("role") == "assistant"
+        calls = self.table("conversations").groupBy("conv_id").agg(
+            F.min_by("text", F.when(user, F.col("turn"))).alias("prompt"),
+            F.max_by("text", F.when(bot, F.col("turn"))).alias("response"),
+            F.count_if(bot).alias("turns"),
+        )
+        return calls.selectExpr(
+            "concat('agent:', CAST(conv_id AS STRING)) AS id", "conv_id AS run_id",
+            "'agent_provenance' AS block_kind",
+            "concat('model-', CAST(conv_id % 3 AS STRING)) AS model",
+            "sha2(coalesce(prompt, ''), 256) AS prompt_sha256", "sha2(response, 256) AS response_sha256", "turns",
+            "CASE conv_id % 4 WHEN 0 THEN 'receipt_verified_v1' WHEN 1 THEN 'stub_receipt_v1'"
+            " WHEN 2 THEN 'operator_asserted_v1' ELSE 'receipt_imported_v1' END AS provenance_class",
+            "conv_id % 4 = 0 AS live",
+            "CASE conv_id % 4 WHEN 1 THEN 'simulated_v1' ELSE 'collectable_v1' END AS source_kind",
+            "CASE conv_id % 4 WHEN 3 THEN 'medium' ELSE 'high' END AS confidence",
+            "CASE conv_id % 4 WHEN 3 THEN 'redacted' ELSE 'safe' END AS redaction_state",
+            "CAST(conv_id AS STRING) AS created_at",
+        )
+
+    @cached_property
+    def changes(self) -> DataFrame:
+        """One changed path per document: hashes of its text, some edited, new or deleted."""
+        return self.table("documents").selectExpr(*_exprs(CHANGE)).selectExpr(
+            "id", "run_id", "path", "CASE WHEN before_text IS NOT NULL THEN sha2(before_text, 256) END AS before_hash",
+            "CASE WHEN after_text IS NOT NULL THEN sha2(after_text, 256) END AS after_hash",
+            "source_kind", "confidence", "redaction_state", "created_at")
+
     @cached_property
     def events(self) -> DataFrame:
         return self.table("events").selectExpr(*_exprs(EVENT))
@@ -222,6 +275,19 @@ SQL = {
     " CASE WHEN doc_id % 6 = 0 THEN 'low' ELSE 'high' END AS confidence,"
     " CASE WHEN lang = 'en' THEN 'safe' ELSE 'redacted' END AS redaction_state, CAST(doc_id AS STRING) AS created_at FROM documents",
     "timeline": _select(EVENT, "events"),
+    "worker_events": _select(WORKER, "lineitem", WORKER_WHERE),
+    "agent_blocks": "SELECT concat('agent:', conv_id) AS id, conv_id AS run_id, concat('model-', conv_id % 3) AS model,"
+    " sha256(coalesce(prompt, '')) AS prompt_sha256, sha256(response) AS response_sha256, turns, conv_id % 4 = 0 AS live,"
+    " CASE conv_id % 4 WHEN 0 THEN 'receipt_verified_v1' WHEN 1 THEN 'stub_receipt_v1' WHEN 2 THEN 'operator_asserted_v1'"
+    " ELSE 'receipt_imported_v1' END AS provenance_class,"
+    " CASE conv_id % 4 WHEN 1 THEN 'simulated_v1' ELSE 'collectable_v1' END AS source_kind,"
+    " CASE conv_id % 4 WHEN 3 THEN 'medium' ELSE 'high' END AS confidence,"
+    " CASE conv_id % 4 WHEN 3 THEN 'redacted' ELSE 'safe' END AS redaction_state, CAST(conv_id AS STRING) AS created_at"
+    " FROM (SELECT conv_id, arg_min(text, turn) FILTER (WHERE role = 'user') AS prompt,"
+    " arg_max(text, turn) FILTER (WHERE role = 'assistant') AS response,"
+    " count(*) FILTER (WHERE role = 'assistant') AS turns FROM conversations GROUP BY 1) x",
+    "changes": "SELECT id, run_id, path, sha256(before_text) AS before_hash, sha256(after_text) AS after_hash,"
+    " source_kind, confidence, redaction_state, created_at FROM (" + _select(CHANGE, "documents") + ") x",
 }
 _NEEDS = {"timed_runs": ("runs",)}
 

@@ -6,7 +6,7 @@ import importlib
 
 from evidmill.plans.binding import Spine
 
-MODULES = ("rollups",)
+MODULES = ("rollups", "timelines")
 
 
 def _each():
