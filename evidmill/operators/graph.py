@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from evidmill.functions.endpoints import (
-    endpoint_is_open, endpoint_label, fingerprint, remote_endpoints, sanitize_args,
+    EXECUTOR_FLAG, endpoint_is_open, endpoint_label, fingerprint, remote_endpoints, sanitize_args,
 )
 from evidmill.functions.paths import scrub_local_paths
 from evidmill.functions.truth import truth_quad
@@ -68,7 +68,10 @@ def edge(kind: str, start: Column, end: Column) -> list[Column]:
 
 def remote_configs(invocations: DataFrame) -> DataFrame:
     """A17, A18, J4 input: invocations that name a remote executor, and their last endpoint."""
-    rows = invocations.withColumn("endpoints", remote_endpoints(F.col("command"))).where(F.size("endpoints") > 0)
+    named = F.exists("command", lambda arg: arg.startswith(EXECUTOR_FLAG))  # cheap test before the fold
+    rows = invocations.where(named).withColumn("endpoints", remote_endpoints(F.col("command"))).where(
+        F.size("endpoints") > 0
+    )
     last = F.element_at("endpoints", -1)
     return rows.select(
         "id", "run_id", "created_at", "source_kind", "confidence", "redaction_state", last.alias("endpoint"),
@@ -195,10 +198,11 @@ def run_attribution(nodes: DataFrame, parent: DataFrame, max_hops: int = MAX_HOP
     Every round joins only the nodes that still look for a run, so the frontier
     shrinks, and it is settled so the plan does not grow with the hops.
     """
-    kinds = nodes.select("id", "kind").distinct()
-    steps = parent.join(
+    # Settled once: every round reads these two, and none rebuilds the graph.
+    kinds = settle(nodes.select("id", "kind").distinct())
+    steps = settle(parent.join(
         kinds.select(F.col("id").alias("parent"), (F.col("kind") == "run").alias("at_run")), "parent"
-    ).select(F.col("id").alias("cursor"), "parent", "at_run")
+    ).select(F.col("id").alias("cursor"), "parent", "at_run"))
     frontier = kinds.where("kind <> 'run'").select("id", "kind", F.col("id").alias("cursor"))
     found, lost = [], []
     for hop in range(1, max_hops + 1):
@@ -233,9 +237,9 @@ def card_partition(nodes: DataFrame, parent: DataFrame, expanded: DataFrame | No
     child of a card is a card only when that card is expanded, otherwise it and its
     groupable descendants fold into the card's cluster. Walks down level by level.
     """
-    base = nodes.select("id", "kind").distinct().join(parent, "id", "left")
+    base = settle(nodes.select("id", "kind").distinct().join(parent, "id", "left"))
     foldable = F.col("kind").isin(*GROUPABLE) & F.col("parent").isNotNull()
-    level = settle(base.where(~foldable).select("id", "kind", F.lit(None).cast("string").alias("owner")))
+    level = base.where(~foldable).select("id", "kind", F.lit(None).cast("string").alias("owner"))
     waiting = base.where(foldable).select(F.col("id").alias("child"), F.col("kind").alias("child_kind"), F.col("parent").alias("id"))
     done = [level]
     opened = None if expanded is None else expanded.select("id").distinct().withColumn("open", F.lit(True))

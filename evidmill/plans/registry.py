@@ -6,7 +6,7 @@ import importlib
 
 from evidmill.plans.binding import Spine
 
-MODULES = ("rollups", "timelines")
+MODULES = ("rollups", "timelines", "graphs")
 
 
 def _each():
