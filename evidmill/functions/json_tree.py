@@ -1,0 +1,47 @@
+"""JSON of unknown shape as rows: one row per value, with its path and owner."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+from evidmill.session import settle
+
+MAX_DEPTH = 64
+
+
+def flatten(df: DataFrame, key: str, value: str, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """Every value below the VARIANT ``value`` as ``(key, path, name, text, type, ancestors)``.
+
+    ``path`` starts with ``$``; ``name`` is the object key or NULL inside a list;
+    ``ancestors`` are the paths of the objects around the value, outermost first.
+    Levels are walked one after another; only containers go on, and nesting beyond
+    ``max_depth`` is an error, never a silent cut.
+    """
+    spark = df.sparkSession
+    level = df.select(
+        F.col(key), F.lit("$").alias("path"), F.lit(None).cast("string").alias("name"), F.col(value).alias("v"),
+        F.array().cast("array<string>").alias("ancestors"),
+    )
+    parts = []
+    for _ in range(max_depth):
+        level = settle(level.withColumn("type", F.schema_of_variant("v")))
+        parts.append(level.select(
+            key, "path", "name", "type", "ancestors",
+            F.when(F.col("type") == "STRING", F.try_variant_get("v", "$", "string")).alias("text"),
+        ))
+        inner = level.where("type LIKE 'OBJECT%' OR type LIKE 'ARRAY%'")
+        if inner.isEmpty():
+            break
+        level = spark.sql(
+            "SELECT t.{k}, CASE WHEN x.key IS NULL THEN concat(t.path, '[', x.pos, ']') ELSE concat(t.path, '.', x.key) END AS path,"
+            " x.key AS name, x.value AS v,"
+            " CASE WHEN t.type LIKE 'OBJECT%' THEN array_append(t.ancestors, t.path) ELSE t.ancestors END AS ancestors"
+            " FROM {t} t, LATERAL variant_explode(t.v) x",
+            t=inner, k=F.col(key),
+        )
+    else:
+        raise ValueError(f"JSON nested deeper than {max_depth} levels")
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out

@@ -170,9 +170,8 @@ def graph_summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def connected_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges whose two ends exist."""
     ids = nodes.select("id").distinct()
-    return edges.join(ids.withColumnRenamed("id", "from"), "from", "left_semi").join(
-        ids.withColumnRenamed("id", "to"), "to", "left_semi"
-    )
+    # Inner joins on distinct ids: a semi join would be pushed into every union branch.
+    return edges.join(ids.withColumnRenamed("id", "from"), "from").join(ids.withColumnRenamed("id", "to"), "to")
 
 
 def producing_invocations(artifacts: DataFrame, nodes: DataFrame) -> DataFrame:
