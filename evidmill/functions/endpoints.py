@@ -47,7 +47,7 @@ def endpoint_label(endpoint: Column) -> Column:
         F.lit("#"),
         fingerprint(endpoint),
     )
-    return F.when(endpoint_is_open(endpoint), endpoint).otherwise(hidden)
+    return F.when(p["host"].isin(*LOOPBACK) & ~p["credentials"], endpoint).otherwise(hidden)
 
 
 def remote_endpoints(command: Column, flag: str = EXECUTOR_FLAG) -> Column:
@@ -89,31 +89,38 @@ def unsupported_claims(worker_seen: Column) -> Column:
     return F.when(worker_seen, F.array_except(every, F.array(F.lit("worker_identity")))).otherwise(every)
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def parse_blob_uri(uri: Column) -> Column:
     """struct(instance, hash, size, compressed) of a blob address, else NULL."""
     path = F.regexp_extract(uri, r"^(?i:bytestream)://[^/?#]*([^?#]*)", 1)
     decoded = lambda s: F.coalesce(F.try_url_decode(F.replace(s, F.lit("+"), F.lit("%2B"))), s)
     segments = F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), decoded)
-    marks = F.transform(segments, lambda s: s.isin("blobs", "compressed-blobs"))
-    at = F.array_position(marks, F.lit(True)).cast("int")
-    packed = F.try_element_at(segments, F.nullif(at, F.lit(0))) == "compressed-blobs"
-    rest = F.slice(segments, at + 1, F.size(segments))
-    instance = F.slice(segments, F.lit(1), F.greatest(at - 1, F.lit(0)))
-    n = F.size(rest)
-    digest = F.lower(F.when(packed, F.try_element_at(rest, F.lit(2))).otherwise(F.try_element_at(rest, F.lit(1))))
-    raw_size = F.when(packed, F.try_element_at(rest, F.lit(3))).otherwise(F.try_element_at(rest, F.lit(2)))
-    size = F.trim(raw_size).try_cast("bigint")
-    ok = (
-        (path != "") & (at > 0)
-        & (n == F.when(packed, 3).otherwise(2))
-        & digest.rlike("^[0-9a-f]+$")
-        & (size >= 0)
-        & ~F.exists(instance, lambda s: s.isin(*RESERVED_SEGMENTS))
-    )
-    return F.when(
-        ok,
-        F.struct(
-            F.array_join(instance, "/").alias("instance"), digest.alias("hash"), size.alias("size"),
-            packed.alias("compressed"),
-        ),
-    )
+    # The first reserved segment ends the instance name; a leading slot keeps the position above zero.
+    place = lambda s: F.array_position(F.transform(s, lambda x: x.isin("blobs", "compressed-blobs")), F.lit(True)).cast("int")
+
+    def split(both: Column) -> Column:
+        seg, at = both["seg"], both["at"]
+        packed = F.try_element_at(seg, F.nullif(at, F.lit(0))) == "compressed-blobs"
+        return F.struct(
+            F.slice(seg, F.lit(1), F.greatest(at - 1, F.lit(0))).alias("instance"),
+            F.slice(seg, at + F.when(packed, 2).otherwise(1), F.lit(3)).alias("rest"),
+            (F.size(seg) - at - F.when(packed, 1).otherwise(0)).alias("n"),
+            packed.alias("packed"), (at > 0).alias("found"),
+        )
+
+    def build(p: Column) -> Column:
+        digest = F.lower(F.try_element_at(p["rest"], F.lit(1)))
+        size = F.trim(F.try_element_at(p["rest"], F.lit(2))).try_cast("bigint")
+        clean = ~F.exists(p["instance"], lambda s: s.isin(*RESERVED_SEGMENTS))
+        ok = p["found"] & (p["n"] == 2) & digest.rlike("^[0-9a-f]+$") & (size >= 0) & clean
+        return F.when(ok, F.struct(
+            F.array_join(p["instance"], "/").alias("instance"), digest.alias("hash"), size.alias("size"),
+            p["packed"].alias("compressed"),
+        ))
+
+    paired = let(segments, lambda s: F.struct(s.alias("seg"), place(s).alias("at")))
+    return F.when(path != "", let(let(paired, split), build))

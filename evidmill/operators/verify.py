@@ -33,6 +33,33 @@ NOTES = {
 }
 
 
+# The verdict ladder, first match wins:
+# (condition, presence, digest verified, computed digest from, note, confidence).
+# Low confidence also takes the collectable label away.
+_STEPS = (
+    ("shape = 'link' AND local_path IS NULL", "", "", "", "link_open", "low"),
+    ("shape = 'link' AND on_disk", "local_present", "", "", "link", "medium"),
+    ("shape = 'link'", "missing", "", "", "link_missing", "low"),
+    ("shape = 'inline' AND _inline IS NULL", "missing", "", "", "inline_bad", "low"),
+    ("shape = 'inline' AND declared_digest IS NULL", "local_verified", "", "inline", "self_attested", "medium"),
+    ("shape = 'inline' AND NOT _ok", "local_present", "", "inline", "shape", "medium"),
+    ("shape = 'inline' AND _inline = _want", "local_verified", "yes", "inline", "match", "high"),
+    ("shape = 'inline'", "local_mismatch", "no", "inline", "mismatch", "low"),
+    ("local_path IS NOT NULL AND NOT on_disk", "missing", "", "", "missing", "low"),
+    ("local_path IS NOT NULL AND declared_digest IS NULL", "local_verified", "", "disk", "self_attested", "medium"),
+    ("local_path IS NOT NULL AND _other_fn", "local_present", "", "", "function", "medium"),
+    ("local_path IS NOT NULL AND NOT _ok", "local_present", "", "", "shape", "medium"),
+    ("local_path IS NOT NULL AND lower(disk_sha) = _want", "local_verified", "yes", "disk", "match", "high"),
+    ("local_path IS NOT NULL AND options_seen", "local_mismatch", "no", "disk", "mismatch", "low"),
+    ("local_path IS NOT NULL", "local_mismatch", "no", "disk", "mismatch_unsure", "low"),
+    ("present IS NULL", "unverified_remote_reference", "", "", "remote_open", "low"),
+    ("NOT present", "remote_missing", "", "", "remote_missing", "low"),
+    ("blob_sha IS NULL OR declared_digest IS NULL OR NOT _ok", "remote_present", "", "blob", "remote_present", "medium"),
+    ("lower(blob_sha) = _want", "remote_verified", "yes", "blob", "remote_match", "high"),
+    ("true", "remote_mismatch", "no", "blob", "remote_mismatch", "low"),
+)
+
+
 def resolve_path(uri: Column, base: Column) -> Column:
     """V2: local path of a URI; NULL for remote and unknown schemes."""
     scheme = F.lower(F.regexp_extract(uri, r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1))
@@ -57,23 +84,6 @@ def skip_reason(declared: Column, compressed: Column, size: Column, limit: int =
     )
 
 
-def _verdict(cond: Column, presence: str, verified, computed: Column, note: str, low: bool, conf: str):
-    kind = downgraded(F.col("source_kind")) if low else F.col("source_kind")
-    return cond, F.struct(
-        F.lit(presence).alias("presence"), F.lit(verified).cast("boolean").alias("digest_verified"),
-        computed.alias("computed_digest"), F.lit(NOTES[note]).alias("verification_note"),
-        kind.alias("source_kind"), F.lit(conf).alias("confidence"),
-    )
-
-
-def _ladder(steps) -> Column:
-    first, *rest = steps
-    out = F.when(*first)
-    for cond, value in rest:
-        out = out.when(cond, value)
-    return out
-
-
 def verify_references(
     refs: DataFrame, inventory: DataFrame, store: DataFrame | None = None, read_limit: int = READ_LIMIT
 ) -> DataFrame:
@@ -108,47 +118,41 @@ def verify_references(
     local = local.withColumn("present", F.lit(None).cast("boolean")).withColumn("blob_sha", F.lit(None).cast("string"))
     rows = local.unionByName(rest)
 
-    declared, want = F.col("declared_digest"), digest_body(F.col("declared_digest"))
-    shape, seen = F.col("shape"), F.col("options_seen")
-    none = F.lit(None).cast("string")
-    checkable = recomputable(declared, F.col("fn_name"), seen)
-    other_fn = F.coalesce(seen & (F.col("fn_name") != "sha256"), F.lit(False))
+    # Costly parts once, in their own projection, so the ladder stays small.
     raw = F.try_to_binary("contents", F.lit("base64"))
-    inline_sha = F.sha2(raw, 256)
-    disk_sha, blob_sha = F.col("disk_sha"), F.col("blob_sha")
-    at_link, at_inline = shape == "link", shape == "inline"
-    at_file = (shape == "file") & F.col("local_path").isNotNull()
-    remote = (shape == "file") & F.col("local_path").isNull()
-    here = at_file & F.col("on_disk")
-    hashed = remote & F.col("present") & blob_sha.isNotNull() & declared.isNotNull() & checkable
-    steps = [
-        _verdict(at_link & F.col("local_path").isNull(), None, None, none, "link_open", True, "low"),
-        _verdict(at_link & F.col("on_disk"), "local_present", None, none, "link", False, "medium"),
-        _verdict(at_link, "missing", None, none, "link_missing", True, "low"),
-        _verdict(at_inline & raw.isNull(), "missing", None, none, "inline_bad", True, "low"),
-        _verdict(at_inline & declared.isNull(), "local_verified", None, inline_sha, "self_attested", False, "medium"),
-        _verdict(at_inline & ~checkable, "local_present", None, inline_sha, "shape", False, "medium"),
-        _verdict(at_inline & (inline_sha == want), "local_verified", True, inline_sha, "match", False, "high"),
-        _verdict(at_inline, "local_mismatch", False, inline_sha, "mismatch", True, "low"),
-        _verdict(at_file & ~F.col("on_disk"), "missing", None, none, "missing", True, "low"),
-        _verdict(here & declared.isNull(), "local_verified", None, disk_sha, "self_attested", False, "medium"),
-        _verdict(here & other_fn, "local_present", None, none, "function", False, "medium"),
-        _verdict(here & ~checkable, "local_present", None, none, "shape", False, "medium"),
-        _verdict(here & (F.lower(disk_sha) == want), "local_verified", True, disk_sha, "match", False, "high"),
-        _verdict(here & seen, "local_mismatch", False, disk_sha, "mismatch", True, "low"),
-        _verdict(here, "local_mismatch", False, disk_sha, "mismatch_unsure", True, "low"),
-        _verdict(remote & F.col("present").isNull(), "unverified_remote_reference", None, none, "remote_open", True, "low"),
-        _verdict(remote & ~F.col("present"), "remote_missing", None, none, "remote_missing", True, "low"),
-        _verdict(hashed & (digest_body(blob_sha) == want), "remote_verified", True, blob_sha, "remote_match", False, "high"),
-        _verdict(hashed, "remote_mismatch", False, blob_sha, "remote_mismatch", True, "low"),
-        _verdict(remote, "remote_present", None, blob_sha, "remote_present", False, "medium"),
-    ]
-    return rows.withColumn("_v", _ladder(steps)).drop("source_kind").select(
-        "run_id", "reference_key", "uri", F.when(at_link, F.coalesce("local_path", "symlink_target")).otherwise(
-            F.col("local_path")).alias("local_path"), "declared_digest", "_v.*"
+    rows = rows.withColumns({
+        "_want": digest_body(F.col("declared_digest")),
+        "_ok": recomputable(F.col("declared_digest"), F.col("fn_name"), F.col("options_seen")),
+        "_other_fn": F.coalesce(F.col("options_seen") & (F.col("fn_name") != "sha256"), F.lit(False)),
+        "_inline": F.sha2(raw, 256),
+    })
+    at = F.lit(None).cast("int")
+    for number, (cond, *_) in reversed(list(enumerate(_STEPS, 1))):
+        at = F.when(F.expr(cond), F.lit(number)).otherwise(at)
+    rows = rows.withColumn("_step", at)
+    pick = lambda slot: F.try_element_at(F.lit([step[slot] for step in _STEPS]), F.col("_step"))
+    source = pick(3)
+    computed = F.when(source == "inline", F.col("_inline")).when(source == "disk", F.col("disk_sha")).when(
+        source == "blob", F.col("blob_sha"))
+    low = pick(5) == "low"
+    verified = pick(2)
+    return rows.select(
+        "run_id", "reference_key", "uri",
+        F.when(F.col("shape") == "link", F.coalesce("local_path", "symlink_target")).otherwise(F.col("local_path")).alias("local_path"),
+        "declared_digest", F.nullif(pick(1), F.lit("")).alias("presence"),
+        F.when(verified == "yes", True).when(verified == "no", False).alias("digest_verified"),
+        computed.alias("computed_digest"), pick(4).alias("note_key"),
+        F.when(low, downgraded(F.col("source_kind"))).otherwise(F.col("source_kind")).alias("source_kind"),
+        pick(5).alias("confidence"),
     )
 
 
+def with_notes(verdicts: DataFrame) -> DataFrame:
+    """The verdict rows with the note in words."""
+    names = F.create_map(*[F.lit(x) for pair in NOTES.items() for x in pair])
+    return verdicts.withColumn("verification_note", names[F.col("note_key")]).drop("note_key")
+
+
 def _join_store(rest: DataFrame, store: DataFrame, read_limit: int) -> DataFrame:
     """Remote references with what the store inventory says about their blob."""
     addressed = rest.withColumn("_b", parse_blob_uri(F.col("uri"))).withColumn("_hash", F.col("_b.hash"))

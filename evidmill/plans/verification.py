@@ -99,7 +99,7 @@ def _manifest(s: Spine):
 
 
 QUERIES = {
-    "V1_V2_V3_V4_J7_J8_verdicts": lambda s: _verified(s).drop("verification_note"),
+    "V1_V2_V3_V4_J7_J8_verdicts": lambda s: _verified(s).drop("note_key"),
     "V1_local_only": lambda s: verify.verify_references(_references(s), _inventory(s)).groupBy("presence", "confidence").agg(F.count("*").alias("n")),
     "A15_presence_rollup": lambda s: rollup.presence_rollup(_verified(s), ["run_id"]),
     "A31_V5_probe_outcomes": lambda s: verify.probe_outcomes(_references(s), _store_unique(s), ["run_id"]),
