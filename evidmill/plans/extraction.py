@@ -162,10 +162,10 @@ ORACLES = {
     "E5_F6_references": _E + """, x AS (SELECT run_id, evt + 3 AS i, concat(label, ':artifact:test.log') AS reference_key, concat('file:///ev/', l_suppkey) AS uri, NULL AS contents, sha256(CAST(l_partkey AS STRING)) AS declared_digest, l_partkey AS declared_size FROM e WHERE ln % 3 = 0
  UNION ALL SELECT run_id, evt + 4, concat(label, ':artifact:inline.txt'), NULL, 'YWJj', NULL, NULL FROM e WHERE ln = 6)
  SELECT * EXCLUDE (i) FROM x QUALIFY row_number() OVER (PARTITION BY run_id, reference_key ORDER BY i) = 1""",
-    "E6_E7_S2_cache_events": _E + """, x AS (SELECT *, CASE ln % 3 WHEN 0 THEN concat('h', l_partkey % 5, '/', l_suppkey) WHEN 1 THEN concat('d', l_partkey % 5) END AS digest FROM e)
+    "E6_E7_S2_cache_events": _E + """, x AS (SELECT *, CASE ln % 3 WHEN 0 THEN concat_ws('/', concat('h', l_partkey % 5), nullif(l_suppkey, 0)) WHEN 1 THEN concat('d', l_partkey % 5) END AS digest FROM e)
  SELECT run_id, concat(label, ':M', ln % 2, ':', coalesce(digest, CAST(evt AS STRING))) AS event_key, CASE rf WHEN 'A' THEN 'remote_cache_hit' WHEN 'R' THEN 'cache_miss' ELSE 'action_cache_observed' END AS event_kind,
  CASE rf WHEN 'A' THEN true WHEN 'R' THEN false END AS hit, digest, label AS target_label, CASE rf WHEN 'N' THEN 'derived_v1' ELSE 'collectable_v1' END AS source_kind, CASE rf WHEN 'N' THEN 'low' ELSE 'high' END AS confidence FROM x""",
-    "A24_bundle_counts": _E + """, x AS (SELECT run_id, concat(label, ':M', ln % 2, ':', CASE ln % 3 WHEN 0 THEN concat('h', l_partkey % 5, '/', l_suppkey) WHEN 1 THEN concat('d', l_partkey % 5) ELSE CAST(evt AS STRING) END) AS k FROM e)
+    "A24_bundle_counts": _E + """, x AS (SELECT run_id, concat(label, ':M', ln % 2, ':', CASE ln % 3 WHEN 0 THEN concat_ws('/', concat('h', l_partkey % 5), nullif(l_suppkey, 0)) WHEN 1 THEN concat('d', l_partkey % 5) ELSE CAST(evt AS STRING) END) AS k FROM e)
  SELECT run_id, count(*) AS events, count(DISTINCT k) AS keys FROM x GROUP BY 1""",
     "E8_profile_events": _E + """ SELECT run_id, concat('profile:', label, ':Action:', l_suppkey) AS event_key, CASE rf WHEN 'A' THEN 'remote_cache_hit' ELSE 'action_cache_observed' END AS event_kind, CASE rf WHEN 'A' THEN true END AS hit,
  NULL AS digest, label AS target_label, 'derived_v1' AS source_kind, CASE rf WHEN 'A' THEN 'medium' ELSE 'low' END AS confidence FROM e WHERE ln < 6""",

@@ -41,8 +41,8 @@ def compare(spark, con, name, query, sql, sf_dir):
     if got_names != want_names:
         return False, f"columns {got_names} vs {want_names}"
     if got != want:
-        extra = [r for r in got if r not in set(want)][:2]
-        lost = [r for r in want if r not in set(got)][:2]
+        extra = sorted(set(got) - set(want))[:2]
+        lost = sorted(set(want) - set(got))[:2]
         return False, f"{len(got)} vs {len(want)} rows; {got_names}\n  spark {extra}\n  duck  {lost}"
     return True, f"ok {len(got)} rows {spent:.1f}s"
 
