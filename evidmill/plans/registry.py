@@ -6,7 +6,7 @@ import importlib
 
 from evidmill.plans.binding import Spine
 
-MODULES = ("rollups", "timelines", "graphs", "verification", "extraction")
+MODULES = ("rollups", "timelines", "graphs", "verification", "extraction", "redaction")
 
 
 def _each():
