@@ -10,6 +10,8 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from evidmill.session import ship_package
+
 RUN = {
     "id": "o_orderkey",
     "stable_key": "concat('run:', CAST(o_orderkey AS STRING))",
@@ -100,6 +102,7 @@ class Spine:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+        ship_package(spark)
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")

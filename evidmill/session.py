@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -26,6 +28,18 @@ def build_session(app: str = "evidmill", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, for the UDF workers."""
+    context = spark.sparkContext
+    if getattr(context, "_evidmill_shipped", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    # A driver-side file: Spark copies it to every executor.
+    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="evidmill-"), "evidmill"), "zip", root, "evidmill")
+    context.addPyFile(archive)
+    context._evidmill_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
