@@ -173,10 +173,10 @@ class Spine:
             "concat('inv:', CAST(l_orderkey AS STRING), ':', CAST(l_suppkey AS STRING)) AS id",
             "l_orderkey AS run_id",
             "'bazel-build' AS invocation_kind",
-            "split(concat('bazel|build|//...|--remote_cache=grpc://cache', CAST(l_suppkey % 5 AS STRING), '.example:9092|',"
+            "explode(array(split(concat('bazel|build|//...|--remote_cache=grpc://cache', CAST(l_suppkey % 5 AS STRING), '.example:9092|',"
             " CASE WHEN l_suppkey % 3 = 0 THEN concat('--remote_executor=grpc://127.0.0.1:', CAST(50000 + l_suppkey % 7 AS STRING))"
             " WHEN l_suppkey % 3 = 1 THEN concat('--remote_executor|grpcs://exec', CAST(l_suppkey % 4 AS STRING), '.example:443|--remote_executor=grpc://user:pw@127.0.0.1:8980')"
-            " ELSE '--config=ci' END), '[|]') AS command",
+            " ELSE '--config=ci' END), '[|]'))) AS command",  # a generator, so filters do not repeat the split
             "exit_code",
             "started_at",
             "ended_at",

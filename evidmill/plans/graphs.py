@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from evidmill.functions import endpoints
 from evidmill.operators import graph, remote, rollup
 from evidmill.plans.binding import Spine, with_spine
+from evidmill.session import settle
 
 TABLES = ("runs", "agent_blocks", "changes", "invocations", "worker_events", "artifacts", "targets", "actions",
           "cache_events", "failures")
@@ -16,18 +17,18 @@ def _graph(s: Spine):
     return graph.build_graph({n: getattr(s, n) for n in TABLES})
 
 
-def _override(s: Spine):
+def _override(s: Spine, nodes):
     """Every third artifact names an invocation of the order with its number."""
     inv = s.invocations.groupBy("run_id").agg(F.min("id").alias("inv"))
     refs = s.artifacts.where("run_id % 3 = 0").join(inv, "run_id").select(
         "id", F.array(F.lit("x:y"), F.concat(F.lit("invocation:"), F.col("inv"))).alias("evidence_refs"))
-    nodes, _ = _graph(s)
     return graph.producing_invocations(refs, nodes)
 
 
 def _parents(s: Spine):
     nodes, edges = _graph(s)
-    return nodes, graph.parents(edges.where("kind NOT IN ('validated_by')"), _override(s))
+    nodes = settle(nodes.select("id", "kind"))
+    return nodes, graph.parents(edges.where("kind NOT IN ('validated_by')"), _override(s, nodes))
 
 
 def _attributed(s: Spine):

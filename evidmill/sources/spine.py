@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
 from evidmill.functions.digests import stable_id
 from evidmill.session import scratch_path
@@ -25,7 +25,18 @@ OWN = {
     "graph_edges": "run_id string, from_node_id string, to_node_id string, from_node_key string, to_node_key string, edge_kind string, payload string",
     "proof_blocks": "run_id string, block_key string, block_kind string, title string, summary string, payload string",
 }
-SCHEMAS = {t: StructType.fromDDL(f"id string, stable_key string, {own}, {COMMON}") for t, own in OWN.items()}
+_TYPES = {
+    "string": StringType(), "int": IntegerType(), "bigint": LongType(), "boolean": BooleanType(), "array<string>": ArrayType(StringType()),
+}
+
+
+def _schema(own: str) -> StructType:
+    """Built without a session, so UDF workers can import this module."""
+    pairs = [part.split() for part in f"id string, stable_key string, {own}, {COMMON}".split(", ")]
+    return StructType([StructField(name, _TYPES[kind]) for name, kind in pairs])
+
+
+SCHEMAS = {table: _schema(own) for table, own in OWN.items()}
 
 
 def conform(df: DataFrame, table: str) -> DataFrame:
