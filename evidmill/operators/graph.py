@@ -41,11 +41,12 @@ def relabel(value: Column, state: Column) -> tuple[Column, Column]:
     return clean, upgraded
 
 
-def nodes_of(df: DataFrame, kind: str, node_id: Column, run: Column, label: Column, status: Column) -> DataFrame:
+def nodes_of(df: DataFrame, kind: str | Column, node_id: Column, run: Column, label: Column, status: Column) -> DataFrame:
     """G1: one table as nodes."""
     payload = payload_json(df)
+    named = F.lit(kind) if isinstance(kind, str) else kind
     out = df.select(
-        node_id.alias("id"), run.alias("run_id"), F.lit(kind).alias("kind"), label.cast("string").alias("raw_label"),
+        node_id.alias("id"), run.alias("run_id"), named.alias("kind"), label.cast("string").alias("raw_label"),
         status.cast("string").alias("status"), payload.alias("raw_payload"), *truth_quad(refs=False),
     )
     return scrub_nodes(out)
@@ -146,10 +147,8 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 def explicit_nodes(graph_nodes: DataFrame) -> DataFrame:
     """G1: stored nodes, with their label fallbacks."""
     return nodes_of(
-        graph_nodes, "graph_node", F.col("id"), F.col("run_id"), F.coalesce("label", "node_key", "id"),
-        F.lit(None).cast("string"),
-    ).drop("kind").join(
-        graph_nodes.select("id", F.coalesce("node_kind", F.lit("graph_node")).alias("kind")), "id"
+        graph_nodes, F.coalesce("node_kind", F.lit("graph_node")), F.col("id"), F.col("run_id"),
+        F.coalesce("label", "node_key", "id"), F.lit(None).cast("string"),
     )
 
 

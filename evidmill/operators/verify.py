@@ -266,13 +266,10 @@ def pending_edits(changes: DataFrame, current: DataFrame) -> DataFrame:
 
 def manifest_conflicts(entries: DataFrame, keys: list[str], compared: list[str]) -> DataFrame:
     """V9: one row per (root, key): writes, conflict flag, and whether the key is legal."""
-    facts = F.hash(*compared), F.xxhash64(*compared)
-    out = entries.groupBy(*keys).agg(
-        F.count("*").alias("writes"),
-        *[F.min(c).alias(f"lo_{i}") for i, c in enumerate(facts)], *[F.max(c).alias(f"hi_{i}") for i, c in enumerate(facts)],
-    )
-    same = (F.col("lo_0") == F.col("hi_0")) & (F.col("lo_1") == F.col("hi_1"))
-    return out.select(*keys, "writes", (~same).alias("conflict"), escapes_root(F.col(keys[-1])).alias("illegal_key"))
+    facts = F.struct(*compared)
+    out = entries.groupBy(*keys).agg(F.count("*").alias("writes"), F.min(facts).alias("_lo"), F.max(facts).alias("_hi"))
+    return out.select(
+        *keys, "writes", (~F.col("_lo").eqNullSafe(F.col("_hi"))).alias("conflict"), escapes_root(F.col(keys[-1])).alias("illegal_key"))
 
 
 def subjects(artifacts: DataFrame) -> DataFrame:

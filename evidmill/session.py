@@ -70,7 +70,7 @@ def size_in_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def broadcast_if_small(df: DataFrame, limit: int = 64 << 20) -> DataFrame:
+def broadcast_if_small(df: DataFrame, limit: int = 32 << 20) -> DataFrame:
     """Hint a broadcast only when the size estimate is within ``limit``.
 
     Beyond it the join stays a shuffle join, which AQE may still split.
