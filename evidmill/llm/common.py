@@ -84,7 +84,9 @@ def _table(base: int, n: int) -> np.ndarray:
     have = _POWERS.get(base)
     if have is None or len(have) < n:
         with np.errstate(over="ignore"):
-            have = np.cumprod(np.concatenate(([1], np.full(max(n, 4096) * 5 // 4, base))).astype(np.uint64), dtype=np.uint64)
+            steps = np.full(max(n, 4096) * 5 // 4, base, dtype=np.uint64)
+            steps[0] = 1
+            have = np.cumprod(steps, dtype=np.uint64)
         _POWERS[base] = have
     return have
 
