@@ -60,8 +60,8 @@ def sketches(docs: DataFrame, width: int, sketch: int = SKETCH) -> DataFrame:
             sets = [shingle_set(t, width) for t in batch["text"]]
             yield pd.DataFrame({
                 "doc_id": batch["doc_id"].astype("Int64"), "n_shingles": [len(s) for s in sets],
-                "set_key": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets],
-                "sketch": [signed(s[:sketch]) for s in sets]})
+                "set_key": pd.Series([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], dtype=object),
+                "sketch": pd.Series([signed(s[:sketch]) for s in sets], dtype=object)})
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(
         build, "doc_id long, n_shingles long, set_key binary, sketch array<long>")
@@ -72,7 +72,7 @@ def full_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
 
     def build(batches):
         for batch in batches:
-            yield pd.DataFrame({"node": batch["node"], "set": [shingle_set(t, width).tobytes() for t in batch["text"]]})
+            yield pd.DataFrame({"node": batch["node"], "set": pd.Series([shingle_set(t, width).tobytes() for t in batch["text"]], dtype=object)})
 
     rows = matching(docs.select(F.col("doc_id").cast("long").alias("node"), "text"), nodes, "node")
     return rows.mapInPandas(build, "node long, set binary")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from evidmill.llm import exact_dedup, near_dedup, packing
-from evidmill.llm.common import table
+from evidmill.llm import exact_dedup, language_id, near_dedup, packing, toxicity
+from evidmill.llm.common import remainder_column, table
 
 
 def vocabulary(name: str) -> str:
@@ -29,11 +29,27 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(table(spark, sf_dir, "documents"), width=4)
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = remainder_column("doc_id", 3) == 1
+    model = language_id.fit(docs.where(~held_out))
+    rows = language_id.identify(docs.select("doc_id", "text"), model)
+    return rows.select("doc_id", held_out.alias("held_out"), "language.*")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {q.__name__: q for q in (op2_best_fit_packing, op4_minhash_near_dedup, op8_exact_dedup)}
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = remainder_column("doc_id", 3) == 1
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(~held_out))
+    rows = toxicity.score(docs.select("doc_id", "text"), model)
+    return rows.select("doc_id", held_out.alias("held_out"), "toxicity.*", (F.col("toxicity.score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+QUERIES = {q.__name__: q for q in (op2_best_fit_packing, op4_minhash_near_dedup, op5_language_id, op8_exact_dedup, op9_toxicity)}
 
 ORACLES = {
     "op4_minhash_near_dedup": r"""
