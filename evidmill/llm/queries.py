@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from evidmill.llm import bpe, exact_dedup, language_id, near_dedup, packing, toxicity
+from evidmill.llm import bpe, exact_dedup, language_id, near_dedup, ngram_lm, packing, toxicity
 from evidmill.llm.common import remainder_column, table
 
 
@@ -25,6 +25,13 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), pattern())
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = remainder_column("doc_id", 7) == 2
+    rows = ngram_lm.score_corpus(spark, docs, docs.where(~held_out))
+    return rows.withColumn("held_out", held_out)
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(table(spark, sf_dir, "documents"), width=4)
 
@@ -53,7 +60,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", held_out.alias("held_out"), "toxicity.*", (F.col("toxicity.score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
-QUERIES = {q.__name__: q for q in (op2_best_fit_packing, op4_minhash_near_dedup, op5_language_id, op7_byte_bpe, op8_exact_dedup, op9_toxicity)}
+QUERIES = {q.__name__: q for q in (op2_best_fit_packing, op3_lm_scoring, op4_minhash_near_dedup, op5_language_id, op7_byte_bpe, op8_exact_dedup, op9_toxicity)}
 
 ORACLES = {
     "op4_minhash_near_dedup": r"""
