@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from evidmill.llm import bpe, exact_dedup, language_id, near_dedup, ngram_lm, packing, toxicity
+from evidmill.llm import bpe, exact_dedup, language_id, near_dedup, ngram_lm, packing, spotsigs, toxicity
 from evidmill.llm.common import remainder_column, table
 
 
@@ -44,6 +44,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", held_out.alias("held_out"), "language.*")
 
 
+def op6_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.edited_likeness(table(spark, sf_dir, "documents"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"), pattern())
 
@@ -60,7 +64,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", held_out.alias("held_out"), "toxicity.*", (F.col("toxicity.score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
-QUERIES = {q.__name__: q for q in (op2_best_fit_packing, op3_lm_scoring, op4_minhash_near_dedup, op5_language_id, op7_byte_bpe, op8_exact_dedup, op9_toxicity)}
+QUERIES = {q.__name__: q for q in (op2_best_fit_packing, op3_lm_scoring, op4_minhash_near_dedup, op5_language_id, op6_spotsigs, op7_byte_bpe, op8_exact_dedup, op9_toxicity)}
 
 ORACLES = {
     "op4_minhash_near_dedup": r"""
