@@ -5,12 +5,15 @@ the ``SKETCH`` smallest hashes of its set (the whole set where it is smaller). T
 least ``shared_least`` sketch values, so it suffices to look at each sketch's rarest values, all but ``shared_least - 1``
 of them: the pair meets in an inverted list of both. Lists are read in two rounds without forming all pairs of a list:
 
-1. every member is compared with the list's smallest node, and the confirmed links are joined to components;
-2. in lists whose members still lie in different components, members of different components are compared.
-
-After the second round every pair that shares a list lies in one component or has been compared, so no link between
-components can be missing. Candidates whose estimate from the union's sketch is far below the threshold are dropped; the
-rest are confirmed on the full sets.
+1. every member is compared with the list's head, the node with most values in common lists (in a group of near copies the
+   least edited one), and the confirmed links are joined to components;
+2. nodes of lists whose members still lie in different components are looked at with their full sets: values are ranked
+   again by how many of these nodes have them, each node offers the exact prefix of the similarity, and those pairs of
+   different components that meet are compared whose sizes and common values leave room for the similarity.
+
+After the second round every pair that shares a list lies in one component or has been compared or ruled out, so no link
+between components can be missing. Candidates whose estimate from the union's sketch is far below the threshold are
+dropped; the rest are confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -29,6 +32,14 @@ SKETCH = 64
 # Of 64 sketch values two sets of similarity 0.8 share 51 on average; fewer than 30 in about one of 10^7 such pairs.
 SHARED = 30
 
+# The same for the pairs of the second round: 256 smallest values, of which 205 are shared on average and, with the floor at
+# 73 % of that, at least 149 in all but one of 10^15 pairs. Smaller sets are compared whole.
+PROBE = 256
+PROBE_FLOOR = 73
+
+# Longs of a parity word, which bounds the difference of two sets from below.
+PARITY = 8
+
 # A union-sketch estimate under this part of the threshold is seven standard deviations away from it.
 ESTIMATE_FLOOR = 0.56
 
@@ -67,15 +78,26 @@ def sketches(docs: DataFrame, width: int, sketch: int = SKETCH) -> DataFrame:
         build, "doc_id long, n_shingles long, set_key binary, sketch array<long>")
 
 
+def parity(values: np.ndarray) -> np.ndarray:
+    """``PARITY`` longs: bit ``h`` tells whether an odd number of values fall to ``h``.
+
+    Two sets differ in at least as many values as their parities differ in bits.
+    """
+    odd = np.bincount((values >> np.uint64(20)) % np.uint64(64 * PARITY), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def full_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """The whole sets of the documents ``nodes`` names, as sorted 64-bit hashes."""
+    """``node, set, parity``: the whole sets of the documents that ``nodes`` names, as sorted 64-bit hashes."""
 
     def build(batches):
         for batch in batches:
-            yield pd.DataFrame({"node": batch["node"], "set": pd.Series([shingle_set(t, width).tobytes() for t in batch["text"]], dtype=object)})
+            sets = [shingle_set(t, width) for t in batch["text"]]
+            yield pd.DataFrame({"node": batch["node"], "set": pd.Series([signed(s) for s in sets], dtype=object),
+                                "parity": pd.Series([parity(s) for s in sets], dtype=object)})
 
     rows = matching(docs.select(F.col("doc_id").cast("long").alias("node"), "text"), nodes, "node")
-    return rows.mapInPandas(build, "node long, set binary")
+    return rows.mapInPandas(build, "node long, set array<long>, parity array<long>")
 
 
 def shared_least(n: Column, percent: int, sketch: int) -> Column:
@@ -103,47 +125,78 @@ def confirmed(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, width: int, p
         for batch in batches:
             good = []
             for x, y in zip(batch["sa"], batch["sb"]):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 good.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.loc[good, ["a", "b"]]
 
     wanted = close.select(F.col("a").alias("node")).union(close.select("b")).distinct()
-    sets = full_sets(docs, wanted, width)
+    sets = full_sets(docs, wanted, width).drop("parity")
     both = close.join(sets.withColumnsRenamed({"node": "a", "set": "sa"}), "a").join(sets.withColumnsRenamed({"node": "b", "set": "sb"}), "b")
     return both.mapInPandas(exact, "a long, b long")
 
 
 def inverted_lists(nodes: DataFrame, percent: int, sketch: int) -> DataFrame:
-    """``value, node, n``: for each sketch its rarest values that another sketch has too."""
+    """``value, node, n, weight``: for each sketch its rarest values that another sketch has too.
+
+    ``weight``: how often all of its values occur. The least edited of many near copies weighs most.
+    """
     entries = nodes.select("node", "n", F.explode("sketch").alias("value"))
     often = entries.groupBy("value").agg(F.count("*").alias("_df")).where("_df > 1")
     own = Window.partitionBy("node", "n")  # at most one sketch
     size = F.least(F.col("n"), F.lit(sketch))
     ranked = entries.join(often, "value").select(
-        "value", "node", "n", F.row_number().over(own.orderBy("_df", "value")).alias("_rank"), F.count("*").over(own).alias("_often"))
+        "value", "node", "n", F.row_number().over(own.orderBy("_df", "value")).alias("_rank"), F.count("*").over(own).alias("_often"), F.sum("_df").over(own).alias("weight"))
     # Values that no other sketch has are the rarest of all and come first.
-    return ranked.where(F.col("_rank") + (size - F.col("_often")) <= size - shared_least(F.col("n"), percent, sketch) + 1).select("value", "node", "n")
+    return ranked.where(F.col("_rank") + (size - F.col("_often")) <= size - shared_least(F.col("n"), percent, sketch) + 1).select(
+        "value", "node", "n", "weight")
+
+
+def across(docs: DataFrame, placed: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs ``(a, b)`` of nodes of different components that may be similar; ``placed``: ``node, component``.
+
+    The prefix filter on full sets. A pair is formed only if its sizes, its ``room`` (the values of a set that another
+    node has, too), the difference of its parities and the overlap of its ``PROBE`` smallest values leave the similarity possible. In each list the
+    members of the most frequent component meet the others only, never one another.
+    """
+    sets = written(full_sets(docs, placed.select("node"), width), "near-full").withColumn("n", F.size("set").cast("long"))
+    entries = sets.select("node", "n", F.explode("set").alias("value"))
+    often = entries.groupBy("value").agg(F.count("*").alias("_df")).where("_df > 1")
+    own = Window.partitionBy("node", "n")  # the values of one document
+    ranked = entries.join(often, "value").select("value", "node", "n", F.row_number().over(own.orderBy("_df", "value")).alias("_rank"), F.count("*").over(own).alias("room"))
+    prefix = ranked.where(F.col("_rank") + F.col("n") - F.col("room") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
+    lists = written(prefix.join(placed, "node").select("value", "node", "room", "component"), "near-open")
+    counts = lists.groupBy("value", "component").agg(F.count("*").alias("_c"))
+    main = counts.groupBy("value").agg(F.max(F.struct("_c", "component")).alias("_m"), F.count("*").alias("_parts")).where("_parts > 1")
+    bits = [f"bits{k}_" for k in range(PARITY)]
+    known = sets.select("node", "n", F.slice("set", 1, PROBE).alias("probe"), *[F.col("parity")[k].alias(b) for k, b in enumerate(bits)])
+    rows = lists.join(main.select("value", F.col("_m.component").alias("_main")), "value").join(known, "node")
+    columns = ("node", "room", "component", "n", "probe", *bits)
+    left = rows.where("component <> _main").select("value", *[F.col(c).alias(c + "1") for c in columns])
+    right = rows.select("value", (F.col("component") == F.col("_main")).alias("_in_main"), *[F.col(c).alias(c + "2") for c in columns])
+    shared = F.size(F.array_intersect("probe1", "probe2"))
+    sizes = F.col("n1") + F.col("n2")
+    apart = sum((F.bit_count(F.col(b + "1").bitwiseXOR(F.col(b + "2"))) for b in bits), F.lit(0))
+    fits = (
+        (F.col("component1") != F.col("component2")) & (F.col("_in_main") | (F.col("node1") < F.col("node2")))
+        & near_sizes("n1", "n2", percent) & (F.least("room1", "room2") * (100 + percent) >= sizes * percent)
+        & (apart * (100 + percent) <= sizes * (100 - percent))
+        & F.when(F.greatest("n1", "n2") <= PROBE, shared * (100 + percent) >= sizes * percent).otherwise(shared >= PROBE * percent * PROBE_FLOOR // 10_000))
+    pairs = left.join(right, (left["value"] == right["value"]) & fits)
+    return pairs.select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")).distinct()
 
 
 def links(docs: DataFrame, nodes: DataFrame, width: int, percent: int, sketch: int) -> DataFrame:
     """Confirmed links that give the same components as all links."""
     lists = written(inverted_lists(nodes, percent, sketch), "near-lists")
-    head = lists.groupBy("value").agg(F.min(F.struct("node", "n")).alias("_head"))
-    first = lists.join(head, "value").select(F.col("_head.node").alias("a"), F.col("_head.n").alias("_na"), F.col("node").alias("b"), "n")
-    first = first.where("a <> b").where(near_sizes("_na", "n", percent)).select("a", "b").distinct()
-    first = written(first, "near-first")
+    heads = lists.groupBy("value").agg(F.max(F.struct("weight", F.col("node").alias("_head"), F.col("n").alias("_nh"))).alias("_h")).select("value", "_h._head", "_h._nh")
+    first = lists.join(heads, "value").where(F.col("_head") != F.col("node")).where(near_sizes("_nh", "n", percent))
+    first = written(first.select(F.least("_head", "node").alias("a"), F.greatest("_head", "node").alias("b")).distinct(), "near-first")
     found = written(confirmed(docs, first, nodes, width, percent, sketch), "near-links")
 
-    placed = lists.join(components(found), "node", "left").withColumn("_c", F.coalesce("component", "node")).drop("component")
-    mixed = placed.groupBy("value").agg(F.min("_c").alias("_low"), F.max("_c").alias("_high")).where("_low < _high").select("value")
-    open_lists = written(placed.join(mixed, "value"), "near-open")
-    parts = open_lists.select("value", "_c").distinct()
-    across = parts.withColumnRenamed("_c", "_ca").join(parts.withColumnRenamed("_c", "_cb"), "value").where("_ca < _cb")
-    left = open_lists.select("value", F.col("_c").alias("_ca"), F.col("node").alias("_x"), F.col("n").alias("_nx"))
-    right = open_lists.select("value", F.col("_c").alias("_cb"), F.col("node").alias("_y"), F.col("n").alias("_ny"))
-    rest = across.join(left, ["value", "_ca"]).join(right, ["value", "_cb"]).where(near_sizes("_nx", "_ny", percent))
-    rest = rest.select(F.least("_x", "_y").alias("a"), F.greatest("_x", "_y").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    placed = lists.join(components(found), "node", "left").select("value", "node", F.coalesce("component", "node").alias("component"))
+    mixed = placed.groupBy("value").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low < _high").select("value")
+    open_nodes = written(placed.join(mixed, "value").select("node", "component").distinct(), "near-open-nodes")
+    rest = across(docs, open_nodes, width, percent).join(first, ["a", "b"], "left_anti")
     return found.union(confirmed(docs, rest, nodes, width, percent, sketch))
 
 
