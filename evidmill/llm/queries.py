@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from evidmill.llm import bpe, exact_dedup, language_id, near_dedup, ngram_lm, packing, spotsigs, toxicity
+from evidmill.llm import bpe, chat, exact_dedup, language_id, near_dedup, ngram_lm, packing, spotsigs, toxicity
 from evidmill.llm.common import remainder_column, table
 
 
@@ -64,7 +64,11 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", held_out.alias("held_out"), "toxicity.*", (F.col("toxicity.score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
-QUERIES = {q.__name__: q for q in (op2_best_fit_packing, op3_lm_scoring, op4_minhash_near_dedup, op5_language_id, op6_spotsigs, op7_byte_bpe, op8_exact_dedup, op9_toxicity)}
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_turns(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {q.__name__: q for q in (op2_best_fit_packing, op3_lm_scoring, op4_minhash_near_dedup, op5_language_id, op6_spotsigs, op7_byte_bpe, op8_exact_dedup, op9_toxicity, op10_chat_format)}
 
 ORACLES = {
     "op4_minhash_near_dedup": r"""
