@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from evidmill.llm import bpe, chat, exact_dedup, language_id, near_dedup, ngram_lm, packing, spotsigs, toxicity
+from evidmill.llm import bpe, chat, exact_dedup, html_text, language_id, near_dedup, ngram_lm, packing, spotsigs, toxicity
 from evidmill.llm.common import remainder_column, table
 
 
@@ -21,6 +21,10 @@ def pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), pattern())
 
@@ -68,7 +72,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_turns(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {q.__name__: q for q in (op2_best_fit_packing, op3_lm_scoring, op4_minhash_near_dedup, op5_language_id, op6_spotsigs, op7_byte_bpe, op8_exact_dedup, op9_toxicity, op10_chat_format)}
+QUERIES = {q.__name__: q for q in (op1_html_text, op2_best_fit_packing, op3_lm_scoring, op4_minhash_near_dedup, op5_language_id, op6_spotsigs, op7_byte_bpe, op8_exact_dedup, op9_toxicity, op10_chat_format)}
 
 ORACLES = {
     "op4_minhash_near_dedup": r"""
