@@ -6,17 +6,14 @@ import re
 
 from pyspark.sql import Column, functions as F
 
-# Path shapes and the text put in their place.
-PLACEHOLDER = "[REDACTED:abs_path]"
-SEGMENT = r"""[^/\s:"'\\]"""
-HOME = r"""/(?:Users|home)/[^/\s"'\\]+"""
-ABS_PATH = r"(?U)(?<![\w./:}\]-])/" + SEGMENT + "+(?:/" + SEGMENT + "+)+"
-FILE_URI = r"(?U)\bfile:///" + SEGMENT + "+(?:/" + SEGMENT + "+)*"
-HOME_TEXT = "${HOME}"
+from evidmill.functions.detectors import HOME_PATH
 
-# The same shapes with the last segment captured, so the base name survives.
-_ABS_TAIL = r"(?U)(?<![\w./:}\]-])/" + SEGMENT + "+(?:/" + SEGMENT + "+)*/(" + SEGMENT + "+)"
-_URI_TAIL = r"(?U)\bfile://(?:/" + SEGMENT + "+)*/(" + SEGMENT + "+)"
+PLACEHOLDER = "[REDACTED:abs_path]"
+# Absolute paths and file addresses, with the last segment captured so that the base name survives.
+_ABS_TAIL = r"""(?U)(?<![\w./:}\]-])/[^/\s\x1c-\x1f:"'\\]+(?:/[^/\s\x1c-\x1f:"'\\]+)*/([^/\s\x1c-\x1f:"'\\]+)"""
+_URI_TAIL = r"""(?U)\bfile://(?:/[^/\s\x1c-\x1f:"'\\]+)*/([^/\s\x1c-\x1f:"'\\]+)"""
+# Fixed value: what may stand below a known root, up to the base name.
+_BELOW = r"""(?:[^/\s\x1c-\x1f:"'\\]+/)*([^/\s\x1c-\x1f:"'\\]+)(?![\w])"""
 
 
 def scrub_local_paths(value: Column, roots: tuple[str, ...] = ()) -> Column:
@@ -26,7 +23,7 @@ def scrub_local_paths(value: Column, roots: tuple[str, ...] = ()) -> Column:
     known = sorted({r.rstrip("/") for r in roots if r.startswith("/") and r.rstrip("/")}, key=len, reverse=True)
     if known:
         names = "|".join(re.escape(r.rsplit("/", 1)[0]) + "/(?=" + re.escape(r.rsplit("/", 1)[1]) + r"(?![\w]))" for r in known)
-        tail = r"(?U)(?<![\w./:\]-])(?:" + names + r")(?:" + SEGMENT + "+/)*(" + SEGMENT + r"+)(?![\w])"
+        tail = r"(?U)(?<![\w./:\]-])(?:" + names + ")" + _BELOW
         out = F.regexp_replace(out, F.lit(tail), F.lit(mark))
     out = F.regexp_replace(out, F.lit(_URI_TAIL), F.lit("file://" + mark))
     return F.regexp_replace(out, F.lit(_ABS_TAIL), F.lit(mark))
@@ -34,7 +31,7 @@ def scrub_local_paths(value: Column, roots: tuple[str, ...] = ()) -> Column:
 
 def mask_home(value: Column) -> Column:
     """Home folders collapse to a variable name."""
-    return F.regexp_replace(value, F.lit(HOME), F.lit(r"\${HOME}"))
+    return F.regexp_replace(value, F.lit(HOME_PATH), F.lit(r"\${HOME}"))
 
 
 # Fixed value: JSON keys whose string value may hold a prompt.

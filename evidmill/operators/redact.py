@@ -1,4 +1,8 @@
-"""Secret, path and personal-data scans over text and JSON (R family)."""
+"""Secret, path and personal-data scans over text and JSON (R family).
+
+Everything that looks at text runs on the JVM. A text is cut at the matches of each detector; the lengths of the parts give
+the places of the hits; one pass over the hits in order settles overlaps and writes the redacted text.
+"""
 
 from __future__ import annotations
 
@@ -9,33 +13,121 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from evidmill.functions import detectors as dt
 from evidmill.functions.json_tree import flatten
+from evidmill.functions.paths import scrub_local_paths
 
-_RESULT = "redacted string, findings array<struct<start:int,end:int,detector:string,tier:string,line:int,excerpt:string>>"
+_FINDING = "array<struct<start:int,end:int,detector:string,tier:string,line:int,excerpt:string>>"
+_HIT = "array<struct<start:int,shorter:int,rank:int,stop:int,hit:string>>"
 # States that a rewrite may raise to redacted.
 UPGRADEABLE = ("safe", "unknown")
+# Code points on either side of a finding that its excerpt shows.
+WINDOW = 32
+
+
+def _bound(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once."""
+    return F.transform(F.array(value), body)[0]
 
 
-def _rewriter(names: tuple[str, ...]):
-    chosen = frozenset(names)
+def hits(text: Column, pattern: str, group: int, rank: int, reject: str | None = None) -> Column:
+    """Places of a pattern's matches as ``(start, minus length, rank, stop, hit)``, counted from 0; none for most texts."""
+    none = F.array().cast(_HIT)
+    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    part = whole if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), whole.alias("whole"), part.alias("part"))
 
-    @F.pandas_udf(_RESULT)
-    def run(text: pd.Series, key: pd.Series) -> pd.DataFrame:
-        rows = [dt.rewrite(t, k, chosen) for t, k in zip(text, key)]
-        return pd.DataFrame({"redacted": [r[0] for r in rows], "findings": [r[1] for r in rows]})
+    def walk(acc, p):
+        after = acc["at"] + F.length(p["gap"]) + F.coalesce(F.length(p["whole"]), F.lit(0))
+        size = F.length(p["part"])
+        bad = p["part"].isNull() | (size == 0)
+        if reject:
+            bad = bad | p["part"].rlike(f"^(?:{reject})$")
+        hit = F.struct((after - size).alias("start"), (-size).alias("shorter"), F.lit(rank).alias("rank"), after.alias("stop"), p["part"].alias("hit"))
+        return F.struct(after.alias("at"), F.when(F.coalesce(bad, F.lit(True)), acc["hits"]).otherwise(F.array_append(acc["hits"], hit)).alias("hits"))
 
-    return run
+    found = F.aggregate(parts, F.struct(F.lit(0).alias("at"), none.alias("hits")), walk, lambda acc: acc["hits"])
+    return F.when(text.rlike(pattern), found).otherwise(none)
 
 
-def scan(df: DataFrame, text: str, key: Column | None = None, names: tuple[str, ...] = dt.DEFAULT) -> DataFrame:
-    """``df`` with ``redacted`` and ``findings``; the UDF sees only texts that may hold a hit."""
+def spans(text: Column, key: Column, chosen: tuple[dt.Detector, ...]) -> Column:
+    """Hits that don't overlap: earliest first, then longest, then registry order.
+
+    A hit inside one of our own placeholders is dropped; one around it is kept.
+    """
+    found = [hits(text, dt.pattern(d), d.group, k, d.reject) for k, d in enumerate(chosen)]
+    for k, d in enumerate(chosen):
+        if d.keyed:
+            bare = hits(text, dt.pattern(d._replace(pattern=d.keyed[1])), 0, k, d.reject)
+            found.append(F.when(key.rlike(d.keyed[0]), bare).otherwise(F.array().cast(_HIT)))
+    names = "|".join(d.name for d in dt.DETECTORS if d.name != "home_path")
+    own = hits(text, rf"\[REDACTED:(?:{names})\]", 0, 0)
+
+    def settle(both):
+        free = F.filter(both["all"], lambda h: ~F.exists(both["own"], lambda o: (o["start"] <= h["start"]) & (h["stop"] <= o["stop"])))
+        start = F.struct(F.lit(0).alias("end"), F.array().cast(_HIT).alias("kept"))
+        return F.aggregate(
+            F.array_sort(free), start,
+            lambda acc, h: F.when(h["start"] >= acc["end"], F.struct(h["stop"].alias("end"), F.array_append(acc["kept"], h).alias("kept"))).otherwise(acc),
+            lambda acc: acc["kept"])
+
+    return _bound(F.struct(F.array_distinct(F.concat(*found)).alias("all"), own.alias("own")), settle)
+
+
+def replacement(hit: Column, chosen: tuple[dt.Detector, ...]) -> Column:
+    """What stands in for a hit; the base name of a path stays."""
+    names = F.array(*[F.lit(d.name) for d in chosen])
+    name = F.get(names, hit["rank"])
+    return (F.when(name == "home_path", dt.HOME_TEXT).when(name == "abs_path", scrub_local_paths(hit["hit"]))
+            .otherwise(F.concat(F.lit("[REDACTED:"), name, F.lit("]"))))
+
+
+def excerpt(text: Column, at: Column, window: int) -> Column:
+    """The text around place ``at`` (from 0), with dots where it was cut."""
+    before = F.substring(text, F.lit(1), at)
+    after = F.substring(text, at + 1, F.lit(1 << 30))
+    return F.concat(
+        F.when(F.length(before) > window, "...").otherwise(""), F.right(before, F.lit(window)),
+        F.left(after, F.lit(window)), F.when(F.length(after) > window, "...").otherwise(""))
+
+
+def redacted(text: Column, kept: Column, chosen: tuple[dt.Detector, ...]) -> Column:
+    """``redacted`` and ``findings`` of a text, given its hits in order."""
+    mark = "array<struct<start:int,end:int,rank:int,line:int,at:int>>"
+    first = F.struct(F.lit(0).alias("cursor"), F.lit("").alias("out"), F.lit(1).alias("line"), F.array().cast(mark).alias("marks"))
+
+    def write(acc, h):
+        gap = F.substring(text, acc["cursor"] + 1, h["start"] - acc["cursor"])
+        passed = F.substring(text, acc["cursor"] + 1, h["stop"] - acc["cursor"])
+        line = acc["line"] + F.length(gap) - F.length(F.replace(gap, F.lit("\n"), F.lit("")))
+        before = F.concat(acc["out"], gap)
+        here = F.struct(h["start"].alias("start"), h["stop"].alias("end"), h["rank"].alias("rank"), line.alias("line"), F.length(before).alias("at"))
+        return F.struct(
+            h["stop"].alias("cursor"), F.concat(before, replacement(h, chosen)).alias("out"),
+            (acc["line"] + F.length(passed) - F.length(F.replace(passed, F.lit("\n"), F.lit("")))).alias("line"), F.array_append(acc["marks"], here).alias("marks"))
+
+    def finish(done):
+        whole = F.concat(done["out"], F.substring(text, done["cursor"] + 1, F.lit(1 << 30)))
+        names, tiers = F.array(*[F.lit(d.name) for d in chosen]), F.array(*[F.lit(d.tier) for d in chosen])
+
+        def finding(full):
+            flat = lambda m: F.replace(F.replace(excerpt(full, m["at"], WINDOW), F.lit("\r"), F.lit("")), F.lit("\n"), F.lit("\\n"))
+            return F.struct(full.alias("redacted"), F.transform(done["marks"], lambda m: F.struct(
+                m["start"].alias("start"), m["end"].alias("end"), F.get(names, m["rank"]).alias("detector"), F.get(tiers, m["rank"]).alias("tier"),
+                m["line"].alias("line"), flat(m).alias("excerpt"))).cast(_FINDING).alias("findings"))
+
+        return _bound(whole, finding)
+
+    return _bound(F.aggregate(kept, first, write), finish)
+
+
+def scan(df: DataFrame, text: str, key: Column | None = None, names: tuple[str, ...] = dt.DEFAULT, more: tuple[dt.Detector, ...] = ()) -> DataFrame:
+    """``df`` with ``redacted`` and ``findings``; ``more`` registers further detectors."""
+    chosen = dt.chosen(names, more)
     key = F.lit(None).cast("string") if key is None else key
-    may = F.coalesce(F.col(text).rlike(dt.LOOSE), F.lit(False))
-    if "hostname" in names:
-        may = may | F.coalesce(F.col(text).contains("."), F.lit(False))
-    hits = df.where(may).withColumn("_r", _rewriter(tuple(names))(F.col(text), key))
-    empty = F.array().cast("array<struct<start:int,end:int,detector:string,tier:string,line:int,excerpt:string>>")
-    clean = df.where(~may).withColumns({"redacted": F.col(text), "findings": empty})
-    return hits.withColumns({"redacted": F.col("_r.redacted"), "findings": F.col("_r.findings")}).drop("_r").unionByName(clean)
+    clean = F.struct(F.col(text).alias("redacted"), F.array().cast(_FINDING).alias("findings"))
+    # Hits are settled before they are used: the projections stay apart.
+    placed = df.withColumn("_hits", spans(F.col(text), key, chosen))
+    done = placed.withColumn("_r", F.when(F.size("_hits") > 0, redacted(F.col(text), F.col("_hits"), chosen)).otherwise(clean))
+    return done.withColumns({"redacted": F.col("_r.redacted"), "findings": F.col("_r.findings")}).drop("_r", "_hits")
 
 
 def findings(scanned: DataFrame, keys: list[str]) -> DataFrame:
@@ -57,33 +149,25 @@ def gate(scanned: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def native_counts(df: DataFrame, keys: list[str], text: str, names: tuple[str, ...] = dt.DEFAULT) -> DataFrame:
-    """Raw match counts per detector, JVM-side, before overlaps are resolved."""
-    cols = []
-    for d in dt.DETECTORS:
-        if d.name not in names:
-            continue
-        group = 0 if d.group == 0 else 1
-        pattern = d.pattern.replace("(?P<", "(?<")
-        hits = F.regexp_extract_all(text, F.lit("(?U)" + pattern), F.lit(group))
-        if d.reject:
-            hits = F.filter(hits, lambda h, r=d.reject: ~h.rlike(f"^(?:{r})$"))
-        if d.name == "abs_path":
-            hits = F.filter(hits, lambda h: ~h.rlike("^" + dt.HOME_PATH))
-        cols.append(F.size(hits).alias(d.name))
-    return df.select(*keys, *cols)
+    """Raw match counts per detector, before overlaps are resolved."""
+    return df.select(*keys, *[F.size(hits(F.col(text), dt.pattern(d), d.group, 0, d.reject)).alias(d.name) for d in dt.chosen(names)])
 
 
 def scan_json(docs: DataFrame, key: str, json_text: str, names: tuple[str, ...] = dt.DEFAULT) -> DataFrame:
     """Findings of every JSON value (with key context) and key, with path and owner.
 
-    ``owner`` is the nearest object around the value that carries ``redaction_state``.
+    ``owner`` is the nearest object around the value that carries ``redaction_state``. Text that is no JSON, or too large
+    for a VARIANT, is scanned as it stands: its findings have the path ``$`` and the location ``text``.
     """
-    rows = flatten(docs.select(key, F.try_parse_json(json_text).alias("v")).where("v IS NOT NULL"), key, "v")
+    parsed = docs.select(key, F.col(json_text).alias("text"), F.try_parse_json(json_text).alias("v"))
+    rows = flatten(parsed.where("v IS NOT NULL").drop("text"), key, "v")
+    loose = parsed.where("v IS NULL AND text IS NOT NULL").select(
+        key, F.lit("$").alias("path"), F.lit(None).cast("string").alias("name"), "text", F.array().cast("array<string>").alias("ancestors"), F.lit("text").alias("location"))
     values = rows.where("text IS NOT NULL").select(key, "path", "name", "text", "ancestors", F.lit("value").alias("location"))
     names_only = rows.where("name IS NOT NULL").select(
         key, F.concat("path", F.lit("<key>")).alias("path"), F.lit(None).cast("string").alias("name"), F.col("name").alias("text"),
         "ancestors", F.lit("key").alias("location"))
-    found = scan(values.unionByName(names_only), "text", F.col("name"), names).where(F.size("findings") > 0)
+    found = scan(values.unionByName(names_only).unionByName(loose), "text", F.col("name"), names).where(F.size("findings") > 0)
     states = rows.where("name = 'redaction_state'").select(
         key, F.element_at("ancestors", -1).alias("owner"), F.col("text").alias("state"))
     # Each finding looks at the few objects around it; the deepest one with a state owns it.
@@ -97,36 +181,44 @@ def scan_json(docs: DataFrame, key: str, json_text: str, names: tuple[str, ...]
     )
 
 
-def _walk(node, key, names):
-    """Rewritten value, and whether a rewrite happened that no object has owned yet."""
-    if isinstance(node, str):
-        new, found = dt.rewrite(node, key, names)
-        return new, bool(found)
-    if isinstance(node, list):
-        pairs = [_walk(x, None, names) for x in node]
-        return [p[0] for p in pairs], any(p[1] for p in pairs)
-    if isinstance(node, dict):
-        pairs = {k: _walk(v, k, names) for k, v in node.items()}
-        new, hit = {k: p[0] for k, p in pairs.items()}, any(p[1] for p in pairs.values())
-        if hit and "redaction_state" in node:
-            if new["redaction_state"] in UPGRADEABLE:
-                new["redaction_state"] = "redacted"
-            hit = False
-        return new, hit
-    return node, False
-
-
-def rewrite_json(docs: DataFrame, json_text: str, names: tuple[str, ...] = dt.DEFAULT) -> DataFrame:
-    """The documents rewritten, sorted keys; text that is no JSON is left as it is."""
-    chosen = frozenset(names)
+def _patched(text: str, changes: dict[str, str]) -> str:
+    """A JSON text with new values at given paths; the paths are those that ``flatten`` writes."""
+    root = [json.loads(text)]
+    todo = [(root, 0, "$")]
+    while todo:
+        holder, slot, path = todo.pop()
+        here = holder[slot]
+        if path in changes:
+            holder[slot] = changes[path]
+        elif isinstance(here, dict):
+            todo += [(here, k, f"{path}.{k}") for k in here]
+        elif isinstance(here, list):
+            todo += [(here, k, f"{path}[{k}]") for k in range(len(here))]
+    return json.dumps(root[0], sort_keys=True)
+
+
+def rewrite_json(docs: DataFrame, key: str, json_text: str, names: tuple[str, ...] = dt.DEFAULT) -> DataFrame:
+    """``docs`` with ``redacted``: values with findings replaced, and the state of the object that owns them raised.
+
+    Documents without findings keep their text as it is. Text that is no JSON, or too large for a VARIANT, is rewritten as
+    plain text. ``key`` names a document.
+    """
+    found = scan_json(docs, key, json_text, names)
+    plain = found.where("location = 'text'").select(key, F.col("redacted").alias("_plain"))
+    values = found.where("location = 'value'").select(key, F.struct("path", F.col("redacted").alias("value")).alias("_c"))
+    states = found.where("location = 'value' AND owner IS NOT NULL AND owner_state = 'redacted'").select(
+        key, F.struct(F.concat("owner", F.lit(".redaction_state")).alias("path"), F.lit("redacted").alias("value")).alias("_c"))
+    # The changes of one document, at most its own values.
+    changes = values.unionByName(states).distinct().groupBy(key).agg(F.map_from_entries(F.collect_list("_c")).alias("_changes"))
 
     @F.pandas_udf("string")
-    def run(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: json.dumps(_walk(json.loads(t), None, chosen)[0], sort_keys=True))
+    def patch(text: pd.Series, changes: pd.Series) -> pd.Series:
+        return pd.Series([_patched(t, dict(c)) for t, c in zip(text, changes)], dtype=object)
 
-    valid = F.try_parse_json(json_text).isNotNull()
-    good = docs.where(valid).withColumn("redacted", run(F.col(json_text)))
-    return good.unionByName(docs.where(~valid).withColumn("redacted", F.col(json_text)))
+    met = docs.join(changes, key, "left").join(plain, key, "left")
+    same = met.where("_changes IS NULL").withColumn("redacted", F.coalesce("_plain", json_text))
+    new = met.where("_changes IS NOT NULL").withColumn("redacted", patch(F.col(json_text), F.col("_changes")))
+    return same.unionByName(new).drop("_changes", "_plain")
 
 
 def redacted_fields(nodes: DataFrame, key: str, payload: str) -> DataFrame:
@@ -139,12 +231,7 @@ def redacted_fields(nodes: DataFrame, key: str, payload: str) -> DataFrame:
     return both.select(key, "field", F.try_variant_get("v", "$", "string").alias("value")).where(F.col("value").contains("[REDACTED"))
 
 
-def masked_excerpt(redacted: Column, window: int = 32) -> Column:
-    """the text around the first marker, with dots where it was cut."""
-    first = F.instr(redacted, "[REDACTED:")
-    at = F.when(first > 0, first).otherwise(F.instr(redacted, dt.HOME_TEXT))
-    lo = F.greatest(at - window, F.lit(1))
-    hi = F.least(at + window - 1, F.length(redacted))
-    mid = F.concat(F.when(lo > 1, "...").otherwise(""), F.substring(redacted, lo, hi - lo + 1), F.when(hi < F.length(redacted), "...").otherwise(""))
-    head = F.concat(F.left(redacted, F.lit(2 * window)), F.when(F.length(redacted) > 2 * window, "...").otherwise(""))
-    return F.when(at > 0, mid).otherwise(head)
+def masked_excerpt(redacted: Column, window: int = WINDOW) -> Column:
+    """the text around the first marker, or its beginning where there is none."""
+    marker = F.when(F.contains(redacted, F.lit("[REDACTED:")), "[REDACTED:").when(F.contains(redacted, F.lit(dt.HOME_TEXT)), dt.HOME_TEXT)
+    return F.when(marker.isNotNull(), excerpt(redacted, F.instr(redacted, marker) - 1, window)).otherwise(excerpt(redacted, F.lit(0), 2 * window))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evidmill.functions import paths
+from evidmill.functions import detectors as dt, paths
 from evidmill.operators import redact
 from evidmill.plans.binding import Spine
 
@@ -44,7 +44,7 @@ QUERIES = {
     "R10_gate": lambda s: redact.gate(redact.scan(_texts(s), "text", names=("email",)), ["part"]),
     "R8_json_findings": lambda s: redact.scan_json(_json_docs(s), "doc", "json").select(
         "doc", "path", "location", "redacted", "owner", "owner_state"),
-    "R8_json_rewrite": lambda s: redact.rewrite_json(_json_docs(s), "json").select(
+    "R8_json_rewrite": lambda s: redact.rewrite_json(_json_docs(s), "doc", "json").select(
         "doc", F.get_json_object("redacted", "$.payload.items[0].note").alias("note"),
         F.get_json_object("redacted", "$.redaction_state").alias("outer_state"),
         F.get_json_object("redacted", "$.payload.items[0].redaction_state").alias("inner_state")),
@@ -59,15 +59,14 @@ QUERIES = {
 }
 
 _TEXTS = "WITH t AS (SELECT concat('d', doc_id) AS id, 'documents' AS part, text FROM documents UNION ALL SELECT concat('p', page_id), 'pages', html FROM pages)"
-_EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
-_OCT = "(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+_BY_NAME = {d.name: d.pattern for d in dt.DETECTORS}
+_EMAIL = _BY_NAME["email"]
 _COUNT = "len(regexp_extract_all(text, '{p}'))"
 
 ORACLES = {
-    "R1_R4_native_counts": _TEXTS + " SELECT id, " + ", ".join(f"{_COUNT.format(p=p)} AS {n}" for n, p in (
-        ("home_path", r"/(?:Users|home)/[^/\s\"''\\]+"), ("private_key_pem", r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----"),
-        ("gitlab_pat", r"\bglpat-[A-Za-z0-9_-]{20,}"), ("slack_token", r"\bxox[baprs]-[A-Za-z0-9-]{10,}"), ("email", _EMAIL))) + " FROM t",
-    "R4_ipv4_counts": _TEXTS + rf""", q AS (SELECT part, unnest(regexp_extract_all(text, '(?:^|[^0-9.])((?:{_OCT}\.){{3}}{_OCT})(?:$|[^0-9.])', 1)) AS ip FROM t)
+    "R1_R4_native_counts": _TEXTS + " SELECT id, " + ", ".join(
+        _COUNT.format(p=_BY_NAME[n].replace("'", "''").replace(r"\x1c-\x1f", "")) + f" AS {n}" for n in ("home_path", "private_key_pem", "gitlab_pat", "slack_token", "email")) + " FROM t",
+    "R4_ipv4_counts": _TEXTS + rf""", q AS (SELECT part, unnest(regexp_extract_all(text, '(?:^|[^0-9.])({_BY_NAME["ipv4"][len("(?<![0-9.])"):-len("(?![0-9.])")]})(?:$|[^0-9.])', 1)) AS ip FROM t)
  SELECT t.part, coalesce((SELECT count(*) FROM q WHERE q.part = t.part AND NOT regexp_matches(ip, '^(0|127)\.|^169\.254\.')), 0) AS n FROM t GROUP BY 1""",
     "R5_R6_email_rewrite": _TEXTS + f" SELECT id, sha256(regexp_replace(text, '{_EMAIL}', '[REDACTED:email]', 'g')) AS sha256 FROM t",
     "R7_email_lines": _TEXTS + f""", l AS (SELECT id, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM t)

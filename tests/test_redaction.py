@@ -1,6 +1,8 @@
 """Detectors: one positive each, the negative controls, idempotence, JSON ownership."""
 
 import json
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -31,38 +33,83 @@ NEGATIVE = [
 ]
 
 
-@pytest.mark.parametrize("name", list(POSITIVE))
-def test_each_detector_fires_and_is_idempotent(name):
-    names = frozenset(dt.DEFAULT)
-    once, found = dt.rewrite(POSITIVE[name], None, names)
-    assert name in [f["detector"] for f in found]
-    assert dt.rewrite(once, None, names) == (once, [])
+def scanned(spark, pairs, **kwargs):
+    """``(redacted, [detector, ...], [excerpt, ...])`` of each ``(text, key)``."""
+    df = spark.createDataFrame([(i, t, k) for i, (t, k) in enumerate(pairs)], "i int, text string, key string")
+    rows = redact.scan(df, "text", F.col("key"), **kwargs).collect()
+    return [(r.redacted, [f.detector for f in r.findings], [(f.start, f.end, f.line, f.excerpt) for f in r.findings]) for r in sorted(rows, key=lambda r: r.i)]
 
 
-@pytest.mark.parametrize("text", NEGATIVE)
-def test_negative_controls(text):
-    assert dt.rewrite(text, "note", frozenset(dt.DEFAULT))[1] == []
+def test_each_detector_fires_and_is_idempotent(spark):
+    once = scanned(spark, [(t, None) for t in POSITIVE.values()])
+    for name, (_, found, _) in zip(POSITIVE, once):
+        assert name in found
+    again = scanned(spark, [(r[0], None) for r in once])
+    assert [(r[0], r[1]) for r in again] == [(r[0], []) for r in once]
 
 
-def test_key_context_and_digest_exception():
-    names = frozenset(dt.DEFAULT)
-    assert dt.rewrite("aB3/" * 10, "client_secret", names)[1]
-    for digest in ("0a" * 20, "0A" * 20, "1" * 40):
-        assert not dt.rewrite(digest, "client_secret", names)[1]
+def test_negative_controls(spark):
+    for text, got in zip(NEGATIVE, scanned(spark, [(t, "note") for t in NEGATIVE])):
+        assert got[0] == text and got[1] == [], text
 
 
-def test_unknown_placeholder_does_not_hide_a_secret():
-    hidden = "[REDACTED:" + POSITIVE["aws_access_key_id"][3:-1] + "]"
-    assert [f["detector"] for f in dt.rewrite(hidden, None, frozenset(dt.DEFAULT))[1]] == ["aws_access_key_id"]
+def test_key_context_and_digest_exception(spark):
+    got = scanned(spark, [("aB3/" * 10, "client_secret"), ("aB3/" * 10, "note"), *[(d, "client_secret") for d in ("0a" * 20, "0A" * 20, "1" * 40)]])
+    assert [bool(r[1]) for r in got] == [True, False, False, False, False]
 
 
-def test_scan_equals_helper_on_every_text(spark):
-    texts = list(POSITIVE.values()) + NEGATIVE + ["line one\nline two a@b.co\n", None]
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
-    got = {r.i: (r.redacted, [f.detector for f in r.findings]) for r in redact.scan(df, "text").collect()}
-    for i, t in enumerate(texts):
-        want = (t, []) if t is None else dt.rewrite(t, None, frozenset(dt.DEFAULT))
-        assert got[i] == (want[0], [f["detector"] for f in want[1]])
+def test_unknown_placeholder_does_not_hide_a_secret(spark):
+    hidden = "[REDACTED:" + POSITIVE["aws_access_key_id"][3:-1] + "]"
+    assert scanned(spark, [(hidden, None)])[0][1] == ["aws_access_key_id"]
+
+
+def test_separators_of_the_c0_range_hide_nothing(spark):
+    for gap in "\x1c\x1d\x1e\x1f\u2003":
+        text, found, _ = scanned(spark, [(J(["tok", "en", gap, "ABCDEFGHIJKLMNOPQR"]), None)])[0]
+        assert found == ["authorization_credential"] and "ABCD" not in text
+
+
+def by_hand(text, chosen):
+    """Hits of plain patterns, taken one after another from the left."""
+    left, out = 0, []
+    while True:
+        found = [(m.start(d.group), -len(m.group(d.group)), k) for k, d in enumerate(chosen) for m in re.finditer(d.pattern, text)
+                 if m.start(d.group) >= left and not (d.reject and re.fullmatch(d.reject, m.group(d.group)))]
+        if not found:
+            return out
+        start, size, k = min(found)
+        left = start - size
+        out.append((start, left, chosen[k].name))
+
+
+def test_places_like_plain_search(spark):
+    rng = random.Random(4)
+    parts = [*POSITIVE.values(), "\n", " ", "é\U0001f600", "/", "x@y.org", "a.b", "10.0.0.9", "http://u:p@h.example/z/k", "https://", "/usr/lib/x.so"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 9))) for _ in range(150)]
+    chosen = tuple(d for d in dt.chosen(dt.DEFAULT) if d.name != "private_key_pem")
+    got = scanned(spark, [(t, None) for t in texts], names=tuple(d.name for d in chosen))
+    for text, (new, found, places) in zip(texts, got):
+        want = by_hand(text, chosen)
+        if "[REDACTED" in text:
+            continue
+        assert [(a, b, n) for (a, b, _, _), n in zip(places, found)] == want, text
+        assert [line for _, _, line, _ in places] == [1 + text.count("\n", 0, a) for a, _, _ in want]
+        stands = {"home_path": lambda h: "${HOME}", "abs_path": lambda h: ("file://" if h.startswith("file") else "") + "[REDACTED:abs_path]/" + h.split("/")[-1]}
+        wanted, cursor = "", 0
+        for start, stop, name in want:
+            wanted += text[cursor:start] + stands.get(name, lambda h: f"[REDACTED:{name}]")(text[start:stop])
+            cursor = stop
+        assert new == wanted + text[cursor:]
+
+
+def test_a_registered_detector(spark):
+    own = dt.Detector("ticket", "pii", r"\bTCK-[0-9]{4}\b")
+    assert scanned(spark, [("see TCK-1234 now", None)], more=(own,))[0][:2] == ("see [REDACTED:ticket] now", ["ticket"])
+    assert scanned(spark, [("host build.example.com", None)], names=dt.enabled(hostname=True))[0][1] == ["hostname"]
+
+
+def test_null_text(spark):
+    assert scanned(spark, [(None, None)])[0][:2] == (None, [])
 
 
 @pytest.mark.parametrize("text,want", [
@@ -81,10 +128,11 @@ def test_root_scrub(spark):
 def test_json_state_belongs_to_the_nearest_object(spark):
     doc = {"redaction_state": "safe", "a": {"redaction_state": "unknown", "m": ["x@y.org"]}, "b": {"p": "fine"}}
     bare = {"redaction_state": "blocked", "m": "x@y.org"}
-    df = spark.createDataFrame([(1, json.dumps(doc)), (2, json.dumps(bare)), (3, "no json")], "id int, j string")
-    out = {r.id: r.redacted for r in redact.rewrite_json(df, "j").collect()}
+    df = spark.createDataFrame([(1, json.dumps(doc)), (2, json.dumps(bare)), (3, "no json, mail c@d.net"), (4, '{"n": 1.50, "n2": [1e3]}'), (5, None)], "id int, j string")
+    out = {r.id: r.redacted for r in redact.rewrite_json(df, "id", "j").collect()}
     one = json.loads(out[1])
     assert one["redaction_state"] == "safe" and one["a"]["redaction_state"] == "redacted" and one["a"]["m"] == ["[REDACTED:email]"]
-    assert json.loads(out[2])["redaction_state"] == "blocked" and out[3] == "no json"
+    assert json.loads(out[2])["redaction_state"] == "blocked" and out[3] == "no json, mail [REDACTED:email]"
+    assert out[4] == '{"n": 1.50, "n2": [1e3]}' and out[5] is None
     rows = {r.id: (r.path, r.owner, r.owner_state) for r in redact.scan_json(df, "id", "j").collect()}
-    assert rows == {1: ("$.a.m[0]", "$.a", "redacted"), 2: ("$.m", "$", "blocked")}
+    assert rows == {1: ("$.a.m[0]", "$.a", "redacted"), 2: ("$.m", "$", "blocked"), 3: ("$", None, None)}
