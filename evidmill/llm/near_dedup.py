@@ -37,8 +37,9 @@ SHARED = 30
 PROBE = 256
 PROBE_FLOOR = 73
 
-# Longs of a parity word, which bounds the difference of two sets from below.
-PARITY = 8
+# Longs of a parity, which bounds the difference of two sets from below, and of its folded form, which is looked at first.
+PARITY = 64
+FOLDED = 8
 
 # A union-sketch estimate under this part of the threshold is seven standard deviations away from it.
 ESTIMATE_FLOOR = 0.56
@@ -151,6 +152,14 @@ def inverted_lists(nodes: DataFrame, percent: int, sketch: int) -> DataFrame:
         "value", "node", "n", "weight")
 
 
+def _folded(k: int) -> Column:
+    """Long ``k`` of the folded parity, which is a parity of fewer bits."""
+    out = F.col("parity")[k]
+    for j in range(k + FOLDED, PARITY, FOLDED):
+        out = out.bitwiseXOR(F.col("parity")[j])
+    return out
+
+
 def across(docs: DataFrame, placed: DataFrame, width: int, percent: int) -> DataFrame:
     """Pairs ``(a, b)`` of nodes of different components that may be similar; ``placed``: ``node, component``.
 
@@ -167,19 +176,21 @@ def across(docs: DataFrame, placed: DataFrame, width: int, percent: int) -> Data
     lists = written(prefix.join(placed, "node").select("value", "node", "room", "component"), "near-open")
     counts = lists.groupBy("value", "component").agg(F.count("*").alias("_c"))
     main = counts.groupBy("value").agg(F.max(F.struct("_c", "component")).alias("_m"), F.count("*").alias("_parts")).where("_parts > 1")
-    bits = [f"bits{k}_" for k in range(PARITY)]
-    known = sets.select("node", "n", F.slice("set", 1, PROBE).alias("probe"), *[F.col("parity")[k].alias(b) for k, b in enumerate(bits)])
+    bits = [f"bits{k}_" for k in range(FOLDED)]
+    known = sets.select("node", "n", F.slice("set", 1, PROBE).alias("probe"), "parity",
+                        *[_folded(k).alias(b) for k, b in enumerate(bits)])
     rows = lists.join(main.select("value", F.col("_m.component").alias("_main")), "value").join(known, "node")
-    columns = ("node", "room", "component", "n", "probe", *bits)
+    columns = ("node", "room", "component", "n", "probe", "parity", *bits)
     left = rows.where("component <> _main").select("value", *[F.col(c).alias(c + "1") for c in columns])
     right = rows.select("value", (F.col("component") == F.col("_main")).alias("_in_main"), *[F.col(c).alias(c + "2") for c in columns])
     shared = F.size(F.array_intersect("probe1", "probe2"))
     sizes = F.col("n1") + F.col("n2")
     apart = sum((F.bit_count(F.col(b + "1").bitwiseXOR(F.col(b + "2"))) for b in bits), F.lit(0))
+    wholly = F.aggregate(F.zip_with("parity1", "parity2", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, b: total + b)
     fits = (
         (F.col("component1") != F.col("component2")) & (F.col("_in_main") | (F.col("node1") < F.col("node2")))
         & near_sizes("n1", "n2", percent) & (F.least("room1", "room2") * (100 + percent) >= sizes * percent)
-        & (apart * (100 + percent) <= sizes * (100 - percent))
+        & (apart * (100 + percent) <= sizes * (100 - percent)) & (wholly * (100 + percent) <= sizes * (100 - percent))
         & F.when(F.greatest("n1", "n2") <= PROBE, shared * (100 + percent) >= sizes * percent).otherwise(shared >= PROBE * percent * PROBE_FLOOR // 10_000))
     pairs = left.join(right, (left["value"] == right["value"]) & fits)
     return pairs.select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")).distinct()
