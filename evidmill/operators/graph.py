@@ -11,9 +11,13 @@ from evidmill.functions.paths import scrub_local_paths
 from evidmill.functions.truth import truth_quad
 from evidmill.session import settle
 
-# Kinds that may fold into a cluster, in label order, and the walk limits.
+# Kinds that may fold into a cluster, in label order; the order in which edges are recorded; the greatest
+# depth that is drawn for a node without a run.
 GROUPABLE = ("invocation", "artifact", "target", "action", "cache_event")
-MAX_HOPS = 32
+EDGE_KINDS = (
+    "authored_change", "validated_by", "recorded_invocation", "configured_remote_execution", "observed_worker_identity",
+    "recorded_artifact", "evaluated_target", "produced_action", "observed_cache_event", "observed_failure",
+)
 MAX_DEPTH = 6
 VISIBLE_NODES = 8
 CHANGE_CLUSTER_MIN = 4
@@ -182,43 +186,57 @@ def producing_invocations(artifacts: DataFrame, nodes: DataFrame) -> DataFrame:
     return known.groupBy("id").agg(F.max_by("owner", "slot").alias("owner"))
 
 
-def parents(edges: DataFrame, override: DataFrame | None = None) -> DataFrame:
-    """Parent of each node: the first edge into it, replaced by the J15 override."""
-    first = edges.groupBy(F.col("to").alias("id")).agg(F.min("from").alias("parent"))
+def parents(nodes: DataFrame, edges: DataFrame, override: DataFrame | None = None) -> DataFrame:
+    """Parent of each node: the first edge into it, replaced by the J15 override; edges with a missing end don't count.
+
+    First by the edges' ``ordinal`` where they have one, then by the recorded order of their kinds, then by ``from``.
+    """
+    place = F.array_position(F.array(*[F.lit(k) for k in EDGE_KINDS]), F.col("kind"))
+    late = F.when(place > 0, place).otherwise(len(EDGE_KINDS) + 1)
+    ordinal = F.col("ordinal") if "ordinal" in edges.columns else F.lit(0)
+    whole = edges.join(nodes.select(F.col("id").alias("from")).distinct(), "from").join(nodes.select(F.col("id").alias("to")).distinct(), "to")
+    first = whole.groupBy(F.col("to").alias("id")).agg(F.min_by("from", F.struct(ordinal.alias("o"), late.alias("k"), F.col("from").alias("f"))).alias("parent"))
     if override is None:
         return first
     return first.join(override, "id", "full").select("id", F.coalesce("owner", "parent").alias("parent"))
 
 
-def run_attribution(nodes: DataFrame, parent: DataFrame, max_hops: int = MAX_HOPS) -> DataFrame:
-    """The run each node leads to and its depth; run NULL when none within ``max_hops``.
+def jumped(start: DataFrame, merge: dict[str, Column]) -> DataFrame:
+    """Pointer doubling: ``start`` is ``id, target, ended, ...``; every open row takes over where its target stands.
 
-    Every round joins only the nodes that still look for a run, so the frontier
-    shrinks, and it is settled so the plan does not grow with the hops.
+    ``merge`` gives the new value of each further column from its own (``x``) and the target's (``x_up``). The distance
+    doubles from round to round, so the rounds are the logarithm of the longest way. A round that ends no further row has
+    only ways into a cycle left; these stay open.
+    """
+    level, waiting = settle(start), None
+    while True:
+        left = level.where("NOT ended").count()
+        if left == 0 or left == waiting:
+            return level
+        waiting = left
+        up = level.select([F.col(c).alias(f"{c}_up") for c in level.columns])
+        going = level.where("NOT ended").join(up, F.col("target") == F.col("id_up"))
+        moved = going.select("id", F.col("target_up").alias("target"), F.col("ended_up").alias("ended"), *[value.alias(name) for name, value in merge.items()])
+        level = settle(level.where("ended").unionByName(moved))
+
+
+def run_attribution(nodes: DataFrame, parent: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """The run each node leads to and its depth, however far; run NULL when its way ends elsewhere or in a cycle.
+
+    ``max_depth`` clips the depth of nodes without a run, which is for display only.
     """
-    # Settled once: every round reads these two, and none rebuilds the graph.
     kinds = settle(nodes.select("id", "kind").distinct())
-    steps = settle(parent.join(
-        kinds.select(F.col("id").alias("parent"), (F.col("kind") == "run").alias("at_run")), "parent"
-    ).select(F.col("id").alias("cursor"), "parent", "at_run"))
-    frontier = kinds.where("kind <> 'run'").select("id", "kind", F.col("id").alias("cursor"))
-    found, lost = [], []
-    for hop in range(1, max_hops + 1):
-        moved = settle(frontier.join(steps, "cursor", "left"))
-        found.append(moved.where("at_run").select("id", "kind", F.col("parent").alias("run"), F.lit(hop + 2).alias("depth")))
-        lost.append(moved.where("parent IS NULL").select(
-            "id", "kind", F.lit(None).cast("string").alias("run"), F.lit(hop + 2).alias("depth")))
-        frontier = moved.where("NOT at_run").select("id", "kind", F.col("parent").alias("cursor"))
-        if frontier.isEmpty():
-            break
-    else:
-        lost.append(frontier.select("id", "kind", F.lit(None).cast("string").alias("run"), F.lit(max_hops + 3).alias("depth")))
-    runs = kinds.where("kind = 'run'").select("id", "kind", F.col("id").alias("run"), F.lit(2).alias("depth"))
-    out = _union([runs, *found, *lost])
-    depth = F.when(F.col("kind") == "agent", 0).when(F.col("kind") == "change", 1).otherwise(
-        F.when(F.col("run").isNull(), F.least("depth", F.lit(MAX_DEPTH))).otherwise(F.col("depth"))
-    )
-    return out.withColumn("depth", depth)
+    at_run = kinds.select(F.col("id").alias("parent"), (F.col("kind") == "run").alias("at_run"))
+    ways = kinds.where("kind <> 'run'").join(parent, "id", "left").join(at_run, "parent", "left").select(
+        "id", "kind", "parent", F.coalesce("at_run", F.lit(False)).alias("at_run"))
+    # A way ends at a run, or at a node that has no parent: then its target is NULL.
+    start = ways.select("id", F.col("parent").alias("target"), (F.col("parent").isNull() | F.col("at_run")).alias("ended"), F.lit(1).cast("long").alias("hops"))
+    done = jumped(start, {"hops": F.col("hops") + F.col("hops_up")})
+    out = kinds.where("kind <> 'run'").join(done, "id").select("id", "kind", F.when(F.col("ended"), F.col("target")).alias("run"), (F.col("hops") + 2).alias("depth"))
+    out = out.unionByName(kinds.where("kind = 'run'").select("id", "kind", F.col("id").alias("run"), F.lit(2).cast("long").alias("depth")))
+    lost = F.when(F.col("run").isNull(), F.least("depth", F.lit(max_depth).cast("long"))).otherwise(F.col("depth"))
+    depth = F.when(F.col("kind") == "agent", 0).when(F.col("kind") == "change", 1).otherwise(lost)
+    return out.withColumn("depth", depth.cast("int"))
 
 
 def artifact_attribution(attributed: DataFrame) -> DataFrame:
@@ -229,36 +247,28 @@ def artifact_attribution(attributed: DataFrame) -> DataFrame:
 
 
 def card_partition(nodes: DataFrame, parent: DataFrame, expanded: DataFrame | None = None) -> DataFrame:
-    """Every node is either a card or a member of one cluster (``owner`` set).
+    """Every node is either a card or a member of one cluster (``owner`` set); none is left out.
 
-    Kinds outside GROUPABLE, and nodes without a parent, are cards. A groupable
-    child of a card is a card only when that card is expanded, otherwise it and its
-    groupable descendants fold into the card's cluster. Walks down level by level.
+    Kinds outside GROUPABLE, and nodes without a parent, are cards. A groupable child of a card is a card only when that
+    card is expanded, otherwise it and its groupable descendants fold into the card's cluster: the owner is the topmost
+    node above that isn't expanded. Nodes whose way up never ends are cards with the ``reason`` ``unreached``.
     """
+    opened = (nodes.select("id").limit(0) if expanded is None else expanded.select("id")).distinct().withColumn("open", F.lit(True))
     base = settle(nodes.select("id", "kind").distinct().join(parent, "id", "left"))
-    foldable = F.col("kind").isin(*GROUPABLE) & F.col("parent").isNotNull()
-    level = base.where(~foldable).select("id", "kind", F.lit(None).cast("string").alias("owner"))
-    waiting = base.where(foldable).select(F.col("id").alias("child"), F.col("kind").alias("child_kind"), F.col("parent").alias("id"))
-    done = [level]
-    opened = None if expanded is None else expanded.select("id").distinct().withColumn("open", F.lit(True))
-    for _ in range(MAX_HOPS):
-        joined = level.select("id", "owner").join(waiting, "id")
-        if opened is None:
-            joined = joined.withColumn("open", F.lit(False))
-        else:
-            joined = joined.join(opened, "id", "left").withColumn("open", F.coalesce("open", F.lit(False)))
-        owner = F.when(F.col("owner").isNotNull(), F.col("owner")).when(~F.col("open"), F.col("id"))
-        level = settle(joined.select(F.col("child").alias("id"), F.col("child_kind").alias("kind"), owner.alias("owner")))
-        if level.isEmpty():
-            break
-        done.append(level)
-    return _union(done)
-
-
-def change_cluster(nodes: DataFrame) -> DataFrame:
+    known = base.select(F.col("id").alias("parent"), (F.col("kind").isin(*GROUPABLE) & F.col("parent").isNotNull()).alias("on"))
+    none = F.lit(None).cast("string")
+    foldable = base.where(F.col("kind").isin(*GROUPABLE)).join(known, "parent").join(opened.withColumnRenamed("id", "parent"), "parent", "left")
+    # ``owner``: the topmost closed node on the way so far.
+    start = foldable.select("id", F.col("parent").alias("target"), (~F.col("on")).alias("ended"), F.when(F.col("open"), none).otherwise(F.col("parent")).alias("owner"))
+    done = jumped(start, {"owner": F.coalesce("owner_up", "owner")})
+    return base.join(done, "id", "left").select(
+        "id", "kind", F.when(F.col("ended"), F.col("owner")).alias("owner"), F.when(~F.col("ended"), "unreached").alias("reason"))
+
+
+def change_cluster(nodes: DataFrame, least: int = CHANGE_CLUSTER_MIN) -> DataFrame:
     """Runs of a graph with enough changes fold them into one stack."""
     return nodes.where("kind = 'change'").groupBy("run_id").agg(F.count("*").alias("changes")).withColumn(
-        "folded", F.col("changes") >= CHANGE_CLUSTER_MIN
+        "folded", F.col("changes") >= least
     )
 
 
@@ -276,11 +286,11 @@ def cluster_composition(partition: DataFrame) -> DataFrame:
     return wide.select("owner", "members", F.concat_ws(" · ", *parts).alias("label"), dominant.alias("dominant"))
 
 
-def visible_hint(nodes: DataFrame) -> DataFrame:
+def visible_hint(nodes: DataFrame, visible: int = VISIBLE_NODES) -> DataFrame:
     """L4: nodes of a run beyond the visible number."""
     return nodes.groupBy("run_id").agg(F.count("*").alias("nodes")).select(
-        "run_id", F.least("nodes", F.lit(VISIBLE_NODES)).alias("visible"),
-        F.greatest(F.col("nodes") - VISIBLE_NODES, F.lit(0)).alias("overflow"),
+        "run_id", F.least("nodes", F.lit(visible)).alias("visible"),
+        F.greatest(F.col("nodes") - visible, F.lit(0)).alias("overflow"),
     )
 
 

@@ -28,7 +28,7 @@ def _override(s: Spine, nodes):
 def _parents(s: Spine):
     nodes, edges = _graph(s)
     nodes = settle(nodes.select("id", "kind"))
-    return nodes, graph.parents(edges.where("kind NOT IN ('validated_by')"), _override(s, nodes))
+    return nodes, graph.parents(nodes, edges, _override(s, nodes))
 
 
 def _attributed(s: Spine):
@@ -75,9 +75,9 @@ QUERIES = {
         F.get_json_object("payload", "$.command[3]").alias("cache_arg")),
     "G7_graph_summary": lambda s: graph.graph_summary(*_graph(s)),
     "G8_connected_edges": lambda s: graph.connected_edges(*_graph(s)).groupBy("kind").agg(F.count("*").alias("n")),
-    "G3_G4_run_attribution": lambda s: _attributed(s).groupBy("kind", "depth", F.col("run").isNull().alias("lost")).agg(F.count("*").alias("n")),
+    "G3_G4_run_attribution": _attributed,
     "A22_J15_artifacts_per_run": lambda s: graph.artifact_attribution(_attributed(s)),
-    "G5_card_partition": lambda s: _partition(s).groupBy("kind", F.col("owner").isNull().alias("card")).agg(F.count("*").alias("n")),
+    "G5_card_partition": _partition,
     "A27_cluster_composition": lambda s: graph.cluster_composition(_partition(s)),
     "G5_change_cluster": lambda s: graph.change_cluster(_graph(s)[0]),
     "G6_agent_nodes": lambda s: _graph(s)[0].where("kind = 'agent'").select(
@@ -134,10 +134,13 @@ _EDGE_ROWS = """
 """
 _WALK = f"""WITH RECURSIVE {_KIND_ROWS}, {_EDGE_ROWS},
  ov AS (SELECT a.id, min(i.id) AS owner FROM artifacts a JOIN invocations i ON i.run_id = a.run_id WHERE a.run_id % 3 = 0 GROUP BY 1),
- par AS (SELECT coalesce(e.id, ov.id) AS id, coalesce(owner, parent) AS parent FROM (SELECT t AS id, min(f) AS parent FROM edges WHERE kind <> 'validated_by' GROUP BY 1) e FULL JOIN ov ON ov.id = e.id),
  kinds AS (SELECT DISTINCT id, kind FROM nodes),
+ ranked AS (SELECT t AS id, f AS parent, row_number() OVER (PARTITION BY t ORDER BY list_position(['authored_change', 'validated_by', 'recorded_invocation', 'configured_remote_execution',
+  'observed_worker_identity', 'recorded_artifact', 'evaluated_target', 'produced_action', 'observed_cache_event', 'observed_failure'], kind), f) AS place
+  FROM edges WHERE f IN (SELECT id FROM kinds) AND t IN (SELECT id FROM kinds)),
+ par AS (SELECT coalesce(e.id, ov.id) AS id, coalesce(owner, parent) AS parent FROM (SELECT id, parent FROM ranked WHERE place = 1) e FULL JOIN ov ON ov.id = e.id),
  walk AS (SELECT id, kind, id AS cursor, 0 AS hop, false AS hit FROM kinds WHERE kind <> 'run'
-  UNION ALL SELECT w.id, w.kind, p.parent, hop + 1, starts_with(coalesce(p.parent, ''), 'run:') FROM walk w LEFT JOIN par p ON p.id = w.cursor WHERE NOT w.hit AND w.cursor IS NOT NULL AND hop < 32),
+  UNION ALL SELECT w.id, w.kind, p.parent, hop + 1, starts_with(coalesce(p.parent, ''), 'run:') FROM walk w LEFT JOIN par p ON p.id = w.cursor WHERE NOT w.hit AND w.cursor IS NOT NULL AND hop < 1000),
  final AS (SELECT id, kind, CASE WHEN hit THEN cursor END AS run, hop + 2 AS depth FROM walk WHERE hit OR cursor IS NULL UNION ALL SELECT id, kind, id, 2 FROM kinds WHERE kind = 'run')
 """
 _GT = ("runs", "agent_blocks", "changes", "invocations", "worker_events", "artifacts", "targets", "actions", "cache_events", "failures")
@@ -159,10 +162,9 @@ ORACLES = {
  UNION ALL SELECT id, NULL, CAST(exit_code AS STRING), concat('--remote_cache=grpc://<redacted>:9092#', left(sha256(cache_endpoint), 16)) FROM invocations"""),
     "G7_graph_summary": with_spine(*_GT, body=f"WITH {_KIND_ROWS}, {_EDGE_ROWS} SELECT 'node' AS part, kind, count(*) AS n FROM nodes GROUP BY ALL UNION ALL SELECT 'edge', kind, count(*) FROM edges GROUP BY ALL"),
     "G8_connected_edges": with_spine(*_GT, body=f"WITH {_KIND_ROWS}, {_EDGE_ROWS} SELECT kind, count(*) AS n FROM edges WHERE f IN (SELECT id FROM nodes) AND t IN (SELECT id FROM nodes) GROUP BY 1"),
-    "G3_G4_run_attribution": with_spine(*_GT, body=_WALK + """SELECT kind, CASE kind WHEN 'agent' THEN 0 WHEN 'change' THEN 1 ELSE CASE WHEN run IS NULL THEN least(depth, 6) ELSE depth END END AS depth,
- run IS NULL AS lost, count(*) AS n FROM final GROUP BY ALL"""),
+    "G3_G4_run_attribution": with_spine(*_GT, body=_WALK + """SELECT id, kind, run, CASE kind WHEN 'agent' THEN 0 WHEN 'change' THEN 1 ELSE CASE WHEN run IS NULL THEN least(depth, 6) ELSE depth END END AS depth FROM final"""),
     "A22_J15_artifacts_per_run": with_spine(*_GT, body=_WALK + "SELECT coalesce(run, 'unattributed') AS run, count(*) AS artifacts FROM final WHERE kind = 'artifact' GROUP BY 1"),
-    "G5_card_partition": with_spine(*_GT, body=_WALK + _PART + "SELECT kind, owner IS NULL AS card, count(*) AS n FROM down GROUP BY ALL"),
+    "G5_card_partition": with_spine(*_GT, body=_WALK + _PART + "SELECT id, kind, owner, NULL AS reason FROM down"),
     "A27_cluster_composition": with_spine(*_GT, body=_WALK + _PART + """, c AS (SELECT owner, kind, count(*) AS n, CASE kind WHEN 'invocation' THEN 0 WHEN 'artifact' THEN 1 WHEN 'target' THEN 2 WHEN 'action' THEN 3 ELSE 4 END AS o FROM down WHERE owner IS NOT NULL GROUP BY 1, 2)
  SELECT owner, sum(n)::BIGINT AS members, string_agg(concat(n, ' ', replace(kind, '_', ' '), CASE WHEN n = 1 THEN '' ELSE 's' END), ' · ' ORDER BY o) AS label, arg_max(kind, n * 10 - o) AS dominant FROM c GROUP BY 1"""),
     "G5_change_cluster": with_spine("changes", body="SELECT run_id, count(*) AS changes, count(*) >= 4 AS folded FROM changes GROUP BY 1"),
