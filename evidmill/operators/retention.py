@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from evidmill.operators.grouping import per_group
-from evidmill.operators.rollup import newest_groups, run_group_index
+from evidmill.operators.rollup import newest_groups
 from evidmill.session import broadcast_if_small
 
 
@@ -103,7 +103,3 @@ def totals(reported: DataFrame) -> DataFrame:
     return reported.groupBy("disposition").agg(
         F.count("*").alias("groups"), F.sum("run_count").alias("runs"), F.sum("rows").alias("rows"),
         F.sum("files").alias("files"), F.sum("bytes").alias("bytes"))
-
-
-def index_of(runs: DataFrame) -> DataFrame:
-    return run_group_index(runs)

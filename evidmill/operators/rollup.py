@@ -316,12 +316,13 @@ def runway(
     return parts
 
 
-def run_ordinal(runs: DataFrame, block: int = 1 << 20) -> DataFrame:
+def run_ordinal(runs: DataFrame, prefix: int = 16) -> DataFrame:
     """``#1`` for the first run of a group, and so on.
 
-    A count of earlier days is carried in, so the window holds one day of one group.
+    Runs are cut by the first ``prefix`` characters of their start (16: a minute) and the counts of earlier cuts carried
+    in, so a window holds one minute of one group; undated runs are cut by their creation instead.
     """
-    day = F.coalesce(F.substring("started_at", 1, 10), F.lit(""))
+    day = F.struct(F.col("started_at").isNotNull().alias("dated"), F.coalesce(F.substring("started_at", 1, prefix), F.substring("created_at", 1, prefix), F.lit("")).alias("at"))
     cut = runs.withColumn("_day", day)
     per_day = cut.groupBy("run_group", "_day").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("run_group").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)

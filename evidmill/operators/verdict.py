@@ -48,7 +48,10 @@ def classify_logs(logs: DataFrame, key: str, target: Column | None = None) -> Da
 
 
 def log_excerpts(logs: DataFrame, max_lines: int = EXCERPT_LINES) -> DataFrame:
-    """The failure region of each log with home folders masked; logs without a marker drop out."""
+    """The failure region of each log with home folders masked; logs without a marker drop out.
+
+    ``lines_total`` and ``truncated`` tell whether the region is longer than the ``max_lines`` shown.
+    """
     lines = F.split("text", LINE_BREAK)
     hit = lambda line: reduce(lambda a, b: a | b, [line.contains(m) for m in FAILURE_MARKERS])
     first = F.array_position(F.transform(F.col("_lines"), hit), F.lit(True)).cast("int")
@@ -58,7 +61,9 @@ def log_excerpts(logs: DataFrame, max_lines: int = EXCERPT_LINES) -> DataFrame:
     at_end = (F.col("first_line") + F.size(cut) - 1 == F.size("_lines")) & (F.element_at("_lines", -1) == "")
     body = F.when(at_end, F.slice(cut, F.lit(1), F.size(cut) - 1)).otherwise(cut)
     text = F.regexp_replace(F.array_join(body, "\n"), HOME_PATHS, "<redacted-path>")
-    return rows.withColumn("section", F.concat(F.lit("[artifact: "), "log_name", F.lit("]\n"), text)).drop("_lines", "text")
+    return rows.withColumn("section", F.concat(F.lit("[artifact: "), "log_name", F.lit("]\n"), text)).withColumns({
+        "lines_total": F.size("_lines") - F.col("first_line") + 1 - (F.element_at("_lines", -1) == "").cast("int"),
+    }).withColumn("truncated", F.col("lines_total") > max_lines).drop("_lines", "text")
 
 
 def failure_excerpts(logs: DataFrame, key: str) -> DataFrame:

@@ -9,9 +9,8 @@ from evidmill.functions.endpoints import parse_blob_uri
 from evidmill.operators.grouping import latest
 from evidmill.session import broadcast_if_small
 
-# Schemes whose bytes are remote, and the size up to which blobs are read.
+# Schemes whose bytes are remote.
 REMOTE_SCHEMES = ("bytestream", "grpc", "grpcs", "http", "https", "remote", "actioncache")
-READ_LIMIT = 64 << 20
 
 NOTES = {
     "missing": "declared local file is not on disk",
@@ -73,19 +72,19 @@ def downgraded(kind: Column) -> Column:
     return F.when(kind == "collectable_v1", "derived_v1").otherwise(kind)
 
 
-def skip_reason(declared: Column, compressed: Column, size: Column, limit: int = READ_LIMIT) -> Column:
-    """V5: why the bytes of a present blob are not read."""
+def skip_reason(declared: Column, compressed: Column, size: Column, limit: int | None = None) -> Column:
+    """V5: why the bytes of a present blob are not read; ``limit`` is a size from which on a caller leaves blobs alone."""
     plain = recomputable(declared, F.lit(None).cast("string"), F.lit(False))
     return (
         F.when(declared.isNull(), "no_digest")
         .when(compressed, "compressed")
         .when(~plain, "not_sha256")
-        .when(size > limit, "over_limit")
+        .when(size > limit if limit is not None else F.lit(False), "over_limit")
     )
 
 
 def verify_references(
-    refs: DataFrame, inventory: DataFrame, store: DataFrame | None = None, read_limit: int = READ_LIMIT
+    refs: DataFrame, inventory: DataFrame, store: DataFrame | None = None, read_limit: int | None = None
 ) -> DataFrame:
     """A presence verdict for every reference.
 
@@ -171,7 +170,7 @@ def _join_store(rest: DataFrame, store: DataFrame, read_limit: int) -> DataFrame
     return joined.unionByName(no).drop("_b", "_hash")
 
 
-def probe_outcomes(refs: DataFrame, store: DataFrame, keys: list[str], read_limit: int = READ_LIMIT) -> DataFrame:
+def probe_outcomes(refs: DataFrame, store: DataFrame, keys: list[str], read_limit: int | None = None) -> DataFrame:
     """What asking the store for each remote reference came to."""
     asked = refs.where("uri IS NOT NULL").where(resolve_path(F.col("uri"), F.lit("/")).isNull())
     rows = asked.withColumn("_b", parse_blob_uri(F.col("uri")))

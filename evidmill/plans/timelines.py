@@ -90,7 +90,7 @@ QUERIES = {
     "T3_chapter_members": lambda s: _members(s)[1].select("lineage", "chapter_start", "index", "kind", "closes"),
     "T4_chapters": _chapters,
     "T5_timeline_summary": _summary,
-    "T6_hourly_histogram": lambda s: _text_hour(timeline.hourly_histogram(s.events.withColumn("ts", F.col("ts").cast("string")), 1000)),
+    "T6_hourly_histogram": lambda s: _text_hour(timeline.hourly_histogram(s.events.withColumn("ts", F.col("ts").cast("string")))),
     "T7_event_placement": _placement,
     "T8_pauses": _pauses,
     "J20_bucket_marks": lambda s: _text_hour(timeline.bucket_marks(_members(s)[1])),

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
 from evidmill.functions.digests import stable_id
-from evidmill.session import scratch_path
 
 SCHEMA_VERSION = 4
 # Columns every table has, and the own columns of each.
@@ -61,20 +61,27 @@ def conform(df: DataFrame, table: str) -> DataFrame:
 def open_or_reason(spark: SparkSession, root: str) -> tuple[dict[str, DataFrame] | None, str | None]:
     """The tables of a dataset, or why it cannot be read; never an empty result instead.
 
-    A table missing on a known version is refused as well.
+    ``missing``: no dataset there; ``empty``: its description has no row; ``incomplete``: a table of a known version is
+    missing. Any other fault, as of permission or network, is raised.
     """
     try:
         meta = spark.read.schema("version int").json(f"{root}/_meta").take(1)
-    except Exception:
+    except AnalysisException as exc:
+        if exc.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None, "missing"
-    if not meta or meta[0].version is None:
+    if not meta:
+        return None, "empty"
+    if meta[0].version is None:
         return None, "format"
     version = meta[0].version
     if version != SCHEMA_VERSION:
         return None, f"schema_v{version}"
     try:
         return {t: spark.read.schema(s).parquet(f"{root}/{t}") for t, s in SCHEMAS.items()}, None
-    except Exception:
+    except AnalysisException as exc:
+        if exc.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None, "incomplete"
 
 
@@ -127,8 +134,8 @@ def upgrade(spark: SparkSession, old_root: str, new_root: str) -> int:
     for table, schema in SCHEMAS.items():
         try:
             rows = conform(spark.read.parquet(f"{old_root}/{table}"), table)
-        except Exception as exc:
-            if "PATH_NOT_FOUND" not in str(exc):
+        except AnalysisException as exc:
+            if exc.getCondition() != "PATH_NOT_FOUND":
                 raise
             rows = spark.createDataFrame([], schema)
         rows.write.mode("overwrite").parquet(f"{new_root}/{table}")
@@ -156,7 +163,3 @@ def write_mirror(scanned: DataFrame, root: str, out: str) -> DataFrame:
 def append_gc_event(report: DataFrame, path: str) -> None:
     """The append-only log of retention events."""
     report.write.mode("append").json(path)
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    return scratch_path(spark, name)
