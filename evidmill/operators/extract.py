@@ -54,17 +54,28 @@ def bep_label(event: str = "event") -> Column:
     return F.coalesce(*[text(event, f"$.id.{k}.label") for k in ids], *[text(event, f"$.{k}.label") for k in payloads])
 
 
+def once(df: DataFrame, *keep: str, **values: Column) -> DataFrame:
+    """``keep`` and ``values``, each value computed once per row: filters on them don't bring the lookups back."""
+    bound = F.explode(F.array(F.struct(*[v.alias(n) for n, v in values.items()]))).alias("_v")
+    return df.select(*keep, bound).select(*keep, *[F.col(f"_v.{n}").alias(n) for n in values])
+
+
+def fields(v: Column, *names: str) -> Column:
+    """The named members of an object as VARIANT columns of a struct, found in one pass."""
+    return F.try_variant_get(v, "$", "struct<" + ",".join(f"{n}:variant" for n in names) + ">")
+
+
 def labelled(events: DataFrame) -> DataFrame:
-    return events.withColumn("label", bep_label())
+    return once(events, *events.columns, label=bep_label())
 
 
 def extract_targets(events: DataFrame) -> DataFrame:
     """One row per (run, label), folded in event order by aggregates."""
-    e = labelled(events).select(
-        "run_id", "event_index", "label", raw("event", "$.configured").isNotNull().alias("is_conf"),
-        raw("event", "$.testResult").isNotNull().alias("is_test"), raw("event", "$.completed").isNotNull().alias("is_done"),
-        text("event", "$.configured.targetKind").alias("conf_kind"), text("event", "$.completed.targetKind").alias("done_kind"),
-        text("event", "$.testResult.status").alias("test_status"), boolean("event", "$.completed.success").alias("ok"),
+    e = once(
+        events, "run_id", "event_index", label=bep_label(), is_conf=raw("event", "$.configured").isNotNull(),
+        is_test=raw("event", "$.testResult").isNotNull(), is_done=raw("event", "$.completed").isNotNull(),
+        conf_kind=text("event", "$.configured.targetKind"), done_kind=text("event", "$.completed.targetKind"),
+        test_status=text("event", "$.testResult.status"), ok=boolean("event", "$.completed.success"),
     ).where("label IS NOT NULL AND (is_conf OR is_test OR is_done)")
     i = F.col("event_index")
     sets_kind = F.col("is_conf") | F.col("done_kind").isNotNull()
@@ -83,23 +94,27 @@ def extract_targets(events: DataFrame) -> DataFrame:
 
 def extract_actions(events: DataFrame) -> DataFrame:
     """Actions and test attempts; a later event with the same key replaces an earlier one."""
-    e = labelled(events).where("label IS NOT NULL")
     i, label = F.col("event_index"), F.col("label")
-    ok = boolean("event", "$.action.success")
     key = F.coalesce(text("event", "$.id.actionCompleted.id"), text("event", "$.id.actionCompleted.primaryOutput"), i.cast("string"))
-    plain = e.where(raw("event", "$.action").isNotNull()).select(
-        "run_id", "event_index", "label", F.concat(label, F.lit(":action:"), key).alias("action_key"),
-        F.coalesce(text("event", "$.action.type"), text("event", "$.action.mnemonic")).alias("mnemonic"),
-        F.when(ok, "SUCCESS").when(~ok, "FAILED").alias("status"),
-    )
     part = lambda n: F.concat(F.lit(f":{n}="), F.coalesce(text("event", f"$.id.testResult.{n}"), F.lit("1")))
-    tests = e.where(raw("event", "$.testResult").isNotNull()).select(
-        "run_id", "event_index", "label",
-        F.concat(label, F.lit(":test"), part("run"), part("shard"), part("attempt")).alias("action_key"),
-        F.lit("BazelTest").alias("mnemonic"), F.coalesce(text("event", "$.testResult.status"), F.lit("UNKNOWN")).alias("status"),
-    )
-    return plain.unionByName(tests).groupBy("run_id", "action_key").agg(
-        F.max_by(F.struct(F.col("label").alias("target_label"), "mnemonic", "status"), i).alias("a")
+    has = lambda name: raw("event", f"$.{name}").isNotNull()
+    # An event may be both: it is read once and gives up to two rows.
+    e = once(
+        events, "run_id", "event_index", label=F.when(has("action") | has("testResult"), bep_label()),
+        action=F.when(has("action"), F.struct(
+            key.alias("key"), F.coalesce(text("event", "$.action.type"), text("event", "$.action.mnemonic")).alias("mnemonic"),
+            boolean("event", "$.action.success").alias("ok"))),
+        test=F.when(has("testResult"), F.struct(
+            F.concat(part("run"), part("shard"), part("attempt")).alias("key"), F.coalesce(text("event", "$.testResult.status"), F.lit("UNKNOWN")).alias("status"))),
+    ).where("label IS NOT NULL")
+    plain = F.when(F.col("action").isNotNull(), F.struct(
+        F.concat(label, F.lit(":action:"), F.col("action.key")).alias("action_key"), F.col("action.mnemonic").alias("mnemonic"),
+        F.when(F.col("action.ok"), "SUCCESS").when(~F.col("action.ok"), "FAILED").alias("status")))
+    tests = F.when(F.col("test").isNotNull(), F.struct(
+        F.concat(label, F.lit(":test"), F.col("test.key")).alias("action_key"), F.lit("BazelTest").alias("mnemonic"), F.col("test.status").alias("status")))
+    rows = e.select("run_id", "event_index", "label", F.explode(F.array_compact(F.array(plain, tests))).alias("r"))
+    return rows.groupBy("run_id", F.col("r.action_key").alias("action_key")).agg(
+        F.max_by(F.struct(F.col("label").alias("target_label"), F.col("r.mnemonic").alias("mnemonic"), F.col("r.status").alias("status")), i).alias("a")
     ).select("run_id", "action_key", "a.*")
 
 
@@ -167,25 +182,30 @@ def spawn_of(event: str = "event") -> Column:
         is_object(event, "$.spawn"), raw(event, "$.spawn")).when(flat, F.col(event))
 
 
+# Members of a spawn that are read.
+DIGEST_FIELDS = ("digest", "actionDigest", "listedOutputs", "actualOutputs")
+HIT_FIELDS = ("cacheHit", "remoteCacheHit", "remote_cache_hit")
+SPAWN_FIELDS = (*HIT_FIELDS, *DIGEST_FIELDS, "runner", "targetLabel", "target_label", "label", "mnemonic")
+
+
 def digest_of(payload: str) -> Column:
-    """Digest text, ``hash/size``, hash, or the first output."""
+    """Digest text, ``hash/size``, hash, or the first output; ``payload`` is a struct with DIGEST_FIELDS."""
     def one(key: str) -> Column:
-        at = f"$.{key}"
-        h = F.coalesce(text(payload, at + ".hash"), text(payload, at + ".sha256"))
-        size = F.coalesce(F.nullif(text(payload, at + ".sizeBytes"), F.lit("0")), F.nullif(text(payload, at + ".size_bytes"), F.lit("0")))
-        plain = F.when(F.schema_of_variant(raw(payload, at)) == "STRING", text(payload, at))
-        return F.coalesce(plain, F.when(h.isNotNull(), F.concat_ws("/", h, size)))
+        at = F.col(f"{payload}.{key}")
+        h = F.coalesce(text(at, "$.hash"), text(at, "$.sha256"))
+        size = F.coalesce(F.nullif(text(at, "$.sizeBytes"), F.lit("0")), F.nullif(text(at, "$.size_bytes"), F.lit("0")))
+        return F.when(F.schema_of_variant(at) == "STRING", text(at, "$")).when(F.schema_of_variant(at).startswith("OBJECT"), F.when(h.isNotNull(), F.concat_ws("/", h, size)))
 
-    first = lambda key: F.try_element_at(items(payload, f"$.{key}"), F.lit(1))
+    first = lambda key: F.try_element_at(items(F.col(f"{payload}.{key}"), "$"), F.lit(1))
     out = F.coalesce(first("listedOutputs"), first("actualOutputs"))
     return F.coalesce(one("digest"), one("actionDigest"), F.try_variant_get(out, "$", "string"))
 
 
 def cache_hit_of(payload: str) -> Column:
-    """Hit flag from the boolean keys, else from the runner text."""
-    runner = F.lower(F.coalesce(text(payload, "$.runner"), F.lit("")))
+    """Hit flag from the boolean keys, else from the runner text; ``payload`` is a struct with SPAWN_FIELDS."""
+    runner = F.lower(F.coalesce(text(F.col(f"{payload}.runner"), "$"), F.lit("")))
     return F.coalesce(
-        *[boolean(payload, f"$.{k}") for k in ("cacheHit", "remoteCacheHit", "remote_cache_hit")],
+        *[boolean(F.col(f"{payload}.{k}"), "$") for k in HIT_FIELDS],
         F.when(runner.contains("cache hit"), True).when(
             runner.isin("local", "sandboxed", "worker") | runner.contains("cache miss"), False),
     )
@@ -197,10 +217,12 @@ def cache_kind(hit: Column) -> Column:
 
 def extract_cache_events(execs: DataFrame, source_kind: str = "collectable_v1") -> DataFrame:
     """Cache events of an execution log; an unknown hit is derived and low."""
-    rows = execs.withColumn("spawn", spawn_of()).where("spawn IS NOT NULL").select(
-        "run_id", "event_index", cache_hit_of("spawn").alias("hit"), digest_of("spawn").alias("digest"),
-        F.coalesce(text("spawn", "$.targetLabel"), text("spawn", "$.target_label"), text("spawn", "$.label")).alias("target_label"),
-        F.coalesce(text("spawn", "$.mnemonic"), F.lit("Spawn")).alias("mnemonic"),
+    spawns = once(once(execs, "run_id", "event_index", payload=spawn_of()).where("payload IS NOT NULL"),
+                  "run_id", "event_index", s=fields(F.col("payload"), *SPAWN_FIELDS))
+    of = lambda k: text(F.col(f"s.{k}"), "$")
+    rows = once(
+        spawns, "run_id", "event_index", hit=cache_hit_of("s"), digest=digest_of("s"),
+        target_label=F.coalesce(of("targetLabel"), of("target_label"), of("label")), mnemonic=F.coalesce(of("mnemonic"), F.lit("Spawn")),
     )
     unknown = F.col("hit").isNull()
     key = F.concat_ws(":", F.coalesce("target_label", F.lit("unknown-target")), "mnemonic",
@@ -214,14 +236,13 @@ def extract_cache_events(execs: DataFrame, source_kind: str = "collectable_v1")
 
 def extract_profile_events(trace: DataFrame) -> DataFrame:
     """Cache events of a profile; only labelled rows, always derived."""
-    rows = trace.select(
-        "run_id", "event_index", raw("event", "$.args").alias("args"), F.lower(F.coalesce(text("event", "$.name"), F.lit(""))).alias("name"),
-        text("event", "$.ts").alias("ts"),
-    )
-    rows = rows.select(
-        "*", F.coalesce(text("args", "$.label"), text("args", "$.target"), text("args", "$.targetLabel")).alias("target_label"),
-        F.coalesce(text("args", "$.mnemonic"), F.lit("Action")).alias("mnemonic"), digest_of("args").alias("digest"),
-        F.when(F.col("name").contains("cache hit"), True).alias("hit"),
+    rows = once(
+        trace, "run_id", "event_index", args=fields(raw("event", "$.args"), "label", "target", "targetLabel", "mnemonic", *DIGEST_FIELDS),
+        name=F.lower(F.coalesce(text("event", "$.name"), F.lit(""))), ts=text("event", "$.ts"))
+    of = lambda k: text(F.col(f"args.{k}"), "$")
+    rows = once(
+        rows, "run_id", "event_index", "name", "ts", target_label=F.coalesce(of("label"), of("target"), of("targetLabel")),
+        mnemonic=F.coalesce(of("mnemonic"), F.lit("Action")), digest=digest_of("args"), hit=F.when(F.col("name").contains("cache hit"), True),
     ).where("target_label IS NOT NULL")
     key = F.concat_ws(":", F.lit("profile"), "target_label", "mnemonic", F.coalesce("digest", "ts", F.col("event_index").cast("string")))
     return rows.select(
@@ -246,6 +267,8 @@ def start_of(event: str = "event") -> Column:
 
 def extract_build_facts(events: DataFrame) -> DataFrame:
     """E9, E10, E11 in one pass: start, tool version, digest function of each run."""
+    events = once(events, "run_id", "event_index", event=F.when(
+        raw("event", "$.started").isNotNull() | raw("event", "$.optionsParsed").isNotNull(), F.col("event")))
     listed = lambda key: F.transform(items("event", f"$.optionsParsed.{key}"), lambda v: F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string")))
     options = F.array_compact(F.concat(
         F.array(F.when(F.schema_of_variant(raw("event", "$.started.optionsDescription")) == "STRING",
