@@ -19,8 +19,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from evidmill.llm.common import prepare
 
-# Pre-tokens that a worker remembers; then it starts anew. Memory is bounded, results don't depend on it.
-REMEMBERED = 250_000
+# Pre-tokens that a worker remembers twice over: when so many new ones have come, those not used since are let go. Memory is
+# bounded (about 300 MB), results don't depend on it.
+REMEMBERED = 600_000
 
 
 class RankQueue:
@@ -81,6 +82,7 @@ class Codec:
         self.split = regex.compile(pattern).findall
         self.queue = RankQueue(highest + 1)
         self.known: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
         """The ids of one pre-token."""
@@ -123,17 +125,17 @@ class Codec:
         return tuple(ids)
 
     def __missing(self, word: str) -> tuple[int, ...]:
-        if len(self.known) >= REMEMBERED:
-            self.known.clear()
-        ids = self.merge(word.encode())
+        ids = self.older.get(word) or self.merge(word.encode())
         if len(word) <= 64:  # long ones seldom come again
+            if len(self.known) >= REMEMBERED:
+                self.older, self.known = self.known, {}
             self.known[word] = ids
         return ids
 
     def encode(self, text: str) -> list[int]:
         """Ids of a text, each match of the pattern encoded by itself."""
-        get, missing = self.known.get, self.__missing
-        return list(chain.from_iterable([get(w) or missing(w) for w in self.split(text)]))
+        missing = self.__missing
+        return list(chain.from_iterable([self.known.get(w) or missing(w) for w in self.split(text)]))
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))

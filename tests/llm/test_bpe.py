@@ -55,6 +55,15 @@ def test_queue_gives_lowest_rank_and_leftmost_place():
     assert queue.pop() is None
 
 
+def test_results_dont_depend_on_what_is_remembered(monkeypatch):
+    import evidmill.llm.bpe as bpe
+
+    monkeypatch.setattr(bpe, "REMEMBERED", 3)
+    own = Codec(RANKS, public_tokenizers.PATTERN)
+    text = "eins zwei drei vier eins fünf sechs sieben zwei eins " * 3
+    assert own.encode(text) == PEER.encode_ordinary(text) and len(own.known) <= 3
+
+
 def test_rows(spark):
     texts = [(1, None, "x"), (2, "", "x"), (3, "Grüße an alle, it's 2024!\n\n  ok", "x"), (None, "lone", "x"), (3, "again", "x"), (4, "word " * 30_000, "x")]
     docs = spark.createDataFrame(texts, "doc_id long, text string, ids string")
