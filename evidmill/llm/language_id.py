@@ -90,7 +90,8 @@ class Classifier:
         Equal sizes, as of very short texts, are decided by how often the dictionary holds the words.
         """
         data = letters(text)
-        if not data or not self.compressors:
+        # Number signs such as superscripts count as word characters, but are no letters.
+        if not data or not self.compressors or not any(map(str.isalpha, text)):
             return "und", 0.0, 0, True
         sizes = {lang: len(c.compress(data)) for lang, c in self.compressors.items()}
         best = min(sizes.values())

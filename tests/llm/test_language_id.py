@@ -51,6 +51,11 @@ def test_nulls_ties_long_texts_and_clashing_columns(spark):
     assert {r.lang_pred for r in got if r.doc_id in (4, None)} == {"aa"}
 
 
+def test_number_signs_are_no_letters():
+    ready = Classifier(Model({"aa": letters("kantor lemvis"), "bb": letters("shuqui zeepho")}))
+    assert ready.classify("\u00b2 \u2153 12")[0] == "und" and ready.classify("x\u00b2")[0] != "und"
+
+
 def test_same_dictionaries_are_rejected():
     same = letters("kantor lemvis droshu " * 3)
     assert Classifier(Model({"aa": same, "bb": same})).classify("kantor lemvis")[3]
