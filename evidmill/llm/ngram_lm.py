@@ -41,6 +41,7 @@ BLOCK_BYTES = 24 << 20
 
 _END = np.uint64(0x51ED270B7A1C3A65)
 _STEP = np.uint64(0xC2B2AE3D27D4EB4F)
+_PLACE = 31
 _FOLLOWERS = np.uint64(0xA24BAED4963EE407)
 
 
@@ -126,33 +127,34 @@ def token_counts(train: DataFrame) -> DataFrame:
     return train.select("text").mapInPandas(tally, "token long, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
 
-def gram_counts(train: DataFrame, order: int, below: np.ndarray, least: int) -> DataFrame:
-    """``gram, history, c`` of n-grams of ``order`` with a count of ``least``; ``below``: the kept keys of the order below.
+def gram_counts(train: DataFrame, order: int, below: np.ndarray, words: np.ndarray, least: int) -> DataFrame:
+    """``gram, c`` of n-grams of ``order`` with a count of ``least``: places of their history in ``below`` and of their last word.
 
-    A frequent n-gram has a frequent beginning and a frequent end, so others are not even counted.
+    ``below``: the sorted kept keys of the order below; ``words``: those of single words. A frequent n-gram has a frequent
+    beginning and a frequent end, so others are not even counted. The two places are packed into one long.
     """
-    sent = train.sparkSession.sparkContext.broadcast(below)  # at most 1 / SHARE keys
+    sent = train.sparkSession.sparkContext.broadcast((below, words))  # at most 1 / SHARE keys each
 
     def tally(batches):
+        below, words = sent.value
         for batch in batches:
-            found, past = [], []
+            found = [np.empty(0, np.int64)]
             for text in batch["text"]:
-                words = tokens(text)
-                grams = words
+                own = tokens(text)
+                grams = own
                 for n in range(1, order - 1):
-                    grams = extended(grams[:-1], words[n:])
+                    grams = extended(grams[:-1], own[n:])
                 if len(grams) < 2:
                     continue
-                good = held(sent.value, grams)
+                good = held(below, grams)
                 good = good[:-1] & good[1:]
-                past.append(grams[:-1][good])
-                found.append(extended(grams[:-1], words[order - 1 :])[good])
-            keys, at, n = np.unique(np.concatenate(found) if found else np.empty(0, np.uint64), return_index=True, return_counts=True)
-            histories = (np.concatenate(past) if past else np.empty(0, np.uint64))[at]
-            yield pd.DataFrame({"gram": keys.view(np.int64), "history": histories.view(np.int64), "c": n})
+                history, last = np.searchsorted(below, grams[:-1][good]), np.searchsorted(words, own[order - 1 :][good])
+                found.append((history << _PLACE) | last)
+            keys, n = np.unique(np.concatenate(found), return_counts=True)
+            yield pd.DataFrame({"gram": keys, "c": n})
 
-    rows = train.select("text").mapInPandas(tally, "gram long, history long, c long")
-    return rows.groupBy("gram").agg(F.min("history").alias("history"), F.sum("c").alias("c")).where(F.col("c") >= least)
+    rows = train.select("text").mapInPandas(tally, "gram long, c long")
+    return rows.groupBy("gram").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
 
 
 def held(keys: np.ndarray, asked: np.ndarray) -> np.ndarray:
@@ -175,15 +177,17 @@ def fit(train: DataFrame, order: int = ORDER, share: float = SHARE) -> tuple[Mod
     exact = written(token_counts(train), "lm-tokens")
     total = exact.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     least = max(LEAST, math.ceil(share * total.n))
-    below = _sorted_keys(exact.where(F.col("c") >= least), "token")
+    words = below = _sorted_keys(exact.where(F.col("c") >= least), "token")
     keys, levels = [], []
     for n in range(2, order + 1):
-        kept = gram_counts(train, n, below, least).toPandas()
-        grams, c = kept["gram"].to_numpy(dtype=np.int64).view(np.uint64), kept["c"].to_numpy(dtype=np.int64)
+        kept = gram_counts(train, n, below, words, least).toPandas()
+        packed, c = kept["gram"].to_numpy(dtype=np.int64), kept["c"].to_numpy(dtype=np.int64)
+        grams = extended(below[packed >> _PLACE], words[packed & ((1 << _PLACE) - 1)])
         keys.append(grams)
         levels.append(level_of(c, least))
-        histories, at = np.unique(kept["history"].to_numpy(dtype=np.int64).view(np.uint64), return_inverse=True)
-        followers = np.bincount(at, weights=least * BASE ** (levels[-1] - 0.5), minlength=len(histories))
+        places, at = np.unique(packed >> _PLACE, return_inverse=True)
+        histories = below[places]
+        followers = np.bincount(at, weights=least * BASE ** (levels[-1] - 0.5), minlength=len(places))
         keys.append(histories ^ _FOLLOWERS)
         levels.append(level_of(followers, least, SUM_BASE))
         below = np.sort(grams)
