@@ -142,7 +142,7 @@ def _sigmoid(x):
 class Scorer:
     """Scores texts with a model; remembers the weights of words."""
 
-    MOST_WORDS = 300_000
+    MOST_WORDS = 150_000
 
     def __init__(self, model: Model):
         self.model, self.cache = model, {}
