@@ -1,11 +1,11 @@
 """An n-gram model in a log-frequency Bloom filter.
 
 The filter holds quantised counts: an n-gram of level ``q`` is entered as ``(n-gram, 1) ... (n-gram, q)``, and a count is read
-by probing level after level until one is missing. It is broadcast to the workers, so its size needs a bound that does not
-grow with the corpus. N-grams are therefore kept by relative frequency: those that make up at least ``SHARE`` of all training
-tokens. At most ``1 / SHARE`` n-grams of an order can, and at most ``1 / SHARE * BASE / (BASE - 1)`` entries belong to them,
-whatever the corpus holds: about 4 million, and 11 million for the finer sums below, so 45 MB at the very most. Everything else is covered by exact counts of single tokens, which are never broadcast: texts and
-the counts that they ask for meet by blocks of documents.
+by probing level after level until one is missing. Every n-gram that occurs ``LEAST`` times is entered, at every size of the
+corpus, so the filter grows with it. It is therefore split by hash of the n-gram into shards of at most about ``SHARD_GRAMS``
+counted n-grams, and a shard is only ever in the memory of the task that builds or reads it: texts are dealt to blocks, the
+distinct n-grams of a block are sent to their shards, and the levels read there come back to the block. Exact counts of single
+tokens meet the texts by blocks in the same way. Arrays of n-grams travel as binary values, not as a row each.
 
 The probability of a token after a history ``h`` that the filter holds is
 ``D q(h w) / C(h) + (1 - D T(h) / C(h)) P'(w)`` with the counts ``q`` read from the filter, ``C`` the history's count, ``T``
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -25,8 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from evidmill.llm.common import mix, prepare, word_hashes, written
 
 ORDER = 3
-SHARE = 1e-6
-LEAST = 2  # on small corpora a share of the tokens may be less than one token
+LEAST = 2
 BASE = 1.3
 SUM_BASE = 1.1
 DISCOUNT = 0.9
@@ -37,11 +37,14 @@ PROBES = 8
 CHUNK_TOKENS = 400_000
 
 # Text bytes of the documents that one task scores together with the counts they ask for.
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 12 << 20
+
+# Occurrences of n-grams that a shard of the filter gets on average, and tokens of which a task collapses repeats before it sends them.
+SHARD_GRAMS = 2_000_000
+TALLY_TOKENS = 1_000_000
 
 _END = np.uint64(0x51ED270B7A1C3A65)
 _STEP = np.uint64(0xC2B2AE3D27D4EB4F)
-_PLACE = 31
 _FOLLOWERS = np.uint64(0xA24BAED4963EE407)
 
 
@@ -63,6 +66,13 @@ class LogFrequencyFilter:
         self.size = np.uint64(max(64, entries * BITS_PER_ENTRY) | 1)
         self.words = np.zeros(int(self.size) // 8 + 1, dtype=np.uint8)
 
+    @classmethod
+    def of(cls, size: int, words: bytes) -> LogFrequencyFilter:
+        """A filter from its stored parts."""
+        out = cls.__new__(cls)
+        out.size, out.words = np.uint64(size), np.frombuffer(words, dtype=np.uint8)
+        return out
+
     def _places(self, keys: np.ndarray, level: int, probe: int) -> np.ndarray:
         with np.errstate(over="ignore"):
             seed = mix(np.array([level * 64 + probe + 1], dtype=np.uint64))
@@ -87,15 +97,10 @@ class LogFrequencyFilter:
         return out
 
 
-@dataclass
-class Model:
-    """``least`` is the count that level 1 begins at; ``train_tokens`` and ``vocabulary`` are the base's N and V."""
+class _Reader:
+    """Counts from levels; ``_levels`` gives those of n-grams, or of the sums over their followers."""
 
-    filter: LogFrequencyFilter
     least: int
-    train_tokens: int
-    vocabulary: int
-    order: int = ORDER
 
     def counts(self, keys: np.ndarray) -> np.ndarray:
         """Counts read from the filter: the middle of the level, 0 where there is none."""
@@ -104,12 +109,65 @@ class Model:
 
     def followers(self, histories: np.ndarray) -> np.ndarray:
         """Sums over followers: the upper end of the level."""
-        level = self._levels(histories ^ _FOLLOWERS)
+        level = self._levels(histories, True)
         return np.where(level > 0, self.least * SUM_BASE ** level.astype(float), 0.0)
 
-    def _levels(self, keys: np.ndarray) -> np.ndarray:
+
+@dataclass
+class Model(_Reader):
+    """``least`` is the count that level 1 begins at; ``train_tokens`` and ``vocabulary`` are the base's N and V.
+
+    ``table``: ``shard, size, words``, the filter's shards. Scoring joins them; reading the model itself fetches them to the driver.
+    """
+
+    table: DataFrame
+    shards: int
+    least: int
+    train_tokens: int
+    vocabulary: int
+    order: int = ORDER
+
+    @cached_property
+    def filters(self) -> dict[int, LogFrequencyFilter]:
+        return {r.shard: LogFrequencyFilter.of(r.size, r.words) for r in self.table.collect()}
+
+    @property
+    def filter(self) -> LogFrequencyFilter:
+        """The filter of a model with one shard."""
+        (only,) = self.filters.values()
+        return only
+
+    def _levels(self, keys: np.ndarray, sums: bool = False) -> np.ndarray:
         asked, at = np.unique(keys, return_inverse=True)
-        return self.filter.levels(asked)[at]
+        out = np.zeros(len(asked), dtype=np.int64)
+        for shard, part in by_shard(asked, self.shards):
+            if shard in self.filters:
+                out[part] = self.filters[shard].levels(asked[part] ^ _FOLLOWERS if sums else asked[part])
+        return out[at]
+
+
+@dataclass
+class Answers(_Reader):
+    """What the shards answered to a block: levels of its sorted ``keys`` and of the sums over their followers."""
+
+    keys: np.ndarray
+    own: np.ndarray
+    sums: np.ndarray
+    least: int
+    train_tokens: int
+    vocabulary: int
+    order: int
+
+    def _levels(self, keys: np.ndarray, sums: bool = False) -> np.ndarray:
+        return (self.sums if sums else self.own)[np.searchsorted(self.keys, keys)].astype(np.int64)
+
+
+def by_shard(keys: np.ndarray, shards: int):
+    """Shards of sorted keys, each with the slice of its keys: equal ranges of the keys, which are hashes."""
+    shard = ((keys >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
+    starts = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1]))) if len(keys) else np.empty(0, np.int64)
+    for at, upto in zip(starts.tolist(), [*starts[1:].tolist(), len(keys)]):
+        yield int(shard[at]), slice(at, upto)
 
 
 def level_of(count, least: int, base: float = BASE):
@@ -127,34 +185,85 @@ def token_counts(train: DataFrame) -> DataFrame:
     return train.select("text").mapInPandas(tally, "token long, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
 
-def gram_counts(train: DataFrame, order: int, below: np.ndarray, words: np.ndarray, least: int) -> DataFrame:
-    """``gram, c`` of n-grams of ``order`` with a count of ``least``: places of their history in ``below`` and of their last word.
+def text_grams(texts: list[np.ndarray], order: int):
+    """Per order from 2 on, keys of the n-grams of token arrays and keys of their histories; none crosses texts."""
+    words = np.concatenate(texts) if texts else np.empty(0, np.uint64)
+    sizes = np.array([len(t) for t in texts], dtype=np.int64)
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(words))  # tokens from here to the text's end
+    grams = words
+    for n in range(2, order + 1):
+        if len(words) < n:
+            return
+        histories = grams[:-1]
+        grams = extended(histories, words[n - 1 :])
+        inside = left[: len(grams)] >= n
+        yield grams[inside], histories[inside]
 
-    ``below``: the sorted kept keys of the order below; ``words``: those of single words. A frequent n-gram has a frequent
-    beginning and a frequent end, so others are not even counted. The two places are packed into one long.
-    """
-    sent = train.sparkSession.sparkContext.broadcast((below, words))  # at most 1 / SHARE keys each
+
+def gram_pieces(train: DataFrame, order: int, shards: int) -> DataFrame:
+    """``shard, keys, histories, counts``: n-grams of stretches of ``train``, each once a stretch with its count there."""
+
+    def pieces(texts):
+        for grams, histories in text_grams(texts, order):
+            keys, first, n = np.unique(grams, return_index=True, return_counts=True)
+            histories, n = histories[first], n.astype(np.uint32)
+            parts = list(by_shard(keys, shards))
+            yield pd.DataFrame({"shard": [k for k, _ in parts], "keys": [keys[x].tobytes() for _, x in parts],
+                                "histories": [histories[x].tobytes() for _, x in parts], "counts": [n[x].tobytes() for _, x in parts]})
 
     def tally(batches):
-        below, words = sent.value
+        texts, size = [], 0
         for batch in batches:
-            found = [np.empty(0, np.int64)]
             for text in batch["text"]:
-                own = tokens(text)
-                grams = own
-                for n in range(1, order - 1):
-                    grams = extended(grams[:-1], own[n:])
-                if len(grams) < 2:
-                    continue
-                good = held(below, grams)
-                good = good[:-1] & good[1:]
-                history, last = np.searchsorted(below, grams[:-1][good]), np.searchsorted(words, own[order - 1 :][good])
-                found.append((history << _PLACE) | last)
-            keys, n = np.unique(np.concatenate(found), return_counts=True)
-            yield pd.DataFrame({"gram": keys, "c": n})
-
-    rows = train.select("text").mapInPandas(tally, "gram long, c long")
-    return rows.groupBy("gram").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
+                texts.append(tokens(text))
+                size += len(texts[-1])
+                if size >= TALLY_TOKENS:
+                    yield from pieces(texts)
+                    texts, size = [], 0
+        yield from pieces(texts)
+
+    return train.select("text").mapInPandas(tally, "shard long, keys binary, histories binary, counts binary")
+
+
+def joined(parts: pd.Series, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(parts), dtype=kind)
+
+
+def collapsed(keys: np.ndarray, weights: np.ndarray):
+    """Distinct keys in order, the sums of their weights, and a place of each."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.empty(0, np.int64)
+    return keys[starts], np.add.reduceat(weights[order], starts) if len(starts) else weights[:0], order[starts]
+
+
+def filter_shards(train: DataFrame, order: int, shards: int, least: int) -> DataFrame:
+    """``shard, size, words``: the filter of n-grams with a count of ``least`` and of the sums over the followers of their histories.
+
+    The first grouping counts. A history's followers lie in many shards, so their sums go to the history's own shard.
+    """
+
+    def count(key, rows):
+        keys, c, place = collapsed(joined(rows["keys"], np.uint64), joined(rows["counts"], np.uint32).astype(np.int64))
+        kept = c >= least
+        levels = level_of(c[kept], least)
+        histories, q, _ = collapsed(joined(rows["histories"], np.uint64)[place[kept]], least * BASE ** (levels - 0.5))
+        parts = list(by_shard(histories, shards))
+        return pd.DataFrame({"shard": [key[0], *(k for k, _ in parts)], "sums": [False] + [True] * len(parts),
+                             "keys": [keys[kept].tobytes(), *(histories[x].tobytes() for _, x in parts)],
+                             "weights": [levels.astype(float).tobytes(), *(q[x].tobytes() for _, x in parts)]})
+
+    def build(key, rows):
+        own, sums = rows[~rows["sums"]], rows[rows["sums"]]
+        histories, q, _ = collapsed(joined(sums["keys"], np.uint64), joined(sums["weights"], float))
+        entered = [(joined(own["keys"], np.uint64), joined(own["weights"], float).astype(np.int64)), (histories ^ _FOLLOWERS, level_of(q, least, SUM_BASE))]
+        made = LogFrequencyFilter(int(sum(levels.sum() for _, levels in entered)))
+        for keys, levels in entered:
+            made.add(keys, levels)
+        return pd.DataFrame({"shard": [key[0]], "size": [int(made.size)], "words": [made.words.tobytes()]})
+
+    kept = gram_pieces(train, order, shards).groupBy("shard").applyInPandas(count, "shard long, sums boolean, keys binary, weights binary")
+    return kept.groupBy("shard").applyInPandas(build, "shard long, size long, words binary")
 
 
 def held(keys: np.ndarray, asked: np.ndarray) -> np.ndarray:
@@ -164,41 +273,21 @@ def held(keys: np.ndarray, asked: np.ndarray) -> np.ndarray:
     return keys[np.minimum(np.searchsorted(keys, asked), len(keys) - 1)] == asked
 
 
-def _sorted_keys(df: DataFrame, column: str) -> np.ndarray:
-    return np.sort(df.select(column).toPandas()[column].to_numpy(dtype=np.int64).view(np.uint64))
-
-
-def fit(train: DataFrame, order: int = ORDER, share: float = SHARE) -> tuple[Model, DataFrame]:
+def fit(train: DataFrame, order: int = ORDER, share: float = 0.0) -> tuple[Model, DataFrame]:
     """The model, and the exact token counts as a table. Null texts are empty: an end alone.
 
-    The driver receives n-grams of at least ``share`` of the tokens only, at most ``1 / share`` an order.
+    ``share``: leaves out n-grams below this share of the tokens; by default none that occurs ``LEAST`` times is.
     """
     prepare(train.sparkSession)
     exact = written(token_counts(train), "lm-tokens")
     total = exact.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     least = max(LEAST, math.ceil(share * total.n))
-    words = below = _sorted_keys(exact.where(F.col("c") >= least), "token")
-    keys, levels = [], []
-    for n in range(2, order + 1):
-        kept = gram_counts(train, n, below, words, least).toPandas()
-        packed, c = kept["gram"].to_numpy(dtype=np.int64), kept["c"].to_numpy(dtype=np.int64)
-        grams = extended(below[packed >> _PLACE], words[packed & ((1 << _PLACE) - 1)])
-        keys.append(grams)
-        levels.append(level_of(c, least))
-        places, at = np.unique(packed >> _PLACE, return_inverse=True)
-        histories = below[places]
-        followers = np.bincount(at, weights=least * BASE ** (levels[-1] - 0.5), minlength=len(places))
-        keys.append(histories ^ _FOLLOWERS)
-        levels.append(level_of(followers, least, SUM_BASE))
-        below = np.sort(grams)
-    entries = int(sum(x.sum() for x in levels))
-    model = Model(LogFrequencyFilter(entries), least, int(total.n), int(total.v), order)
-    for k, q in zip(keys, levels):
-        model.filter.add(k, q)
-    return model, exact
-
-
-def log_probabilities(words: np.ndarray, c: np.ndarray, ends: np.ndarray, model: Model) -> np.ndarray:
+    shards = max(1, -(-int(total.n) * (order - 1) // SHARD_GRAMS))
+    table = written(filter_shards(train, order, shards, least), "lm-filter")
+    return Model(table, shards, least, int(total.n), int(total.v), order), exact
+
+
+def log_probabilities(words: np.ndarray, c: np.ndarray, ends: np.ndarray, model: Model | Answers) -> np.ndarray:
     """Per token, log10 of its probability after the tokens before it in its text.
 
     ``c``: exact counts of the tokens; ``ends``: the places after each text's last token.
@@ -228,17 +317,20 @@ def log_probabilities(words: np.ndarray, c: np.ndarray, ends: np.ndarray, model:
 def score(docs: DataFrame, model: Model, exact: DataFrame) -> DataFrame:
     """``doc_id, n_tokens, n_known, train_tokens, base_score, score``, one row per row of ``docs``.
 
-    Texts are dealt to blocks of ``BLOCK_BYTES``; the distinct tokens of a block fetch their exact counts and meet its
-    texts. Null and empty texts have the end as their only token. Other columns are ignored.
+    Texts are dealt to blocks of ``BLOCK_BYTES``; the distinct tokens of a block fetch their exact counts, its distinct
+    n-grams their levels, and both meet its texts. Null and empty texts have the end as their only token. Other columns are ignored.
     """
     spark = docs.sparkSession
     prepare(spark)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // BLOCK_BYTES))
     spread = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))), F.lit(blocks))
-    # Both sides below read this one exchange.
+    # All sides below read this one exchange.
     placed = docs.select(spread.alias("_block"), F.col("doc_id").cast("long").alias("doc_id"), "text").repartition(int(blocks), "_block")
-    sent = spark.sparkContext.broadcast(model)  # bounded by SHARE, see above
+    shards, order, least, train_tokens, vocabulary = model.shards, model.order, model.least, model.train_tokens, model.vocabulary
+
+    def block_keys(texts):
+        return np.unique(np.concatenate([np.concatenate(texts), *(np.unique(grams) for grams, _ in text_grams(texts, order))]))
 
     def ask(batches):
         for batch in batches:
@@ -246,12 +338,43 @@ def score(docs: DataFrame, model: Model, exact: DataFrame) -> DataFrame:
                 yield pd.DataFrame({"token": np.unique(np.concatenate([tokens(t) for t in texts])).view(np.int64), "_block": block})
 
     asked = placed.mapInPandas(ask, "token long, _block long").groupBy("token", "_block").agg(F.count("*").alias("_n"))
-    counts = asked.join(exact, "token").select("_block", "token", "c")
+    # Rows of counts have the shard -1: longs with nulls would reach the workers as floats.
+    counts = asked.join(exact, "token").select("_block", "token", "c", F.lit(-1).cast("long").alias("shard"),
+                                               F.lit(None).cast("binary").alias("own"), F.lit(None).cast("binary").alias("sums"))
+
+    # A shard is asked by all blocks; it is laid beside parts of them where there is more to score than was learned from.
+    slices = min(int(blocks), max(1, -(-int(size) // max(1, train_tokens * 8))))
+
+    def ask_grams(key, texts):
+        keys = block_keys([tokens(t) for t in texts["text"]])
+        parts = list(by_shard(keys, shards))
+        return pd.DataFrame({"shard": [k for k, _ in parts], "_slice": key[0] % slices, "_block": key[0], "keys": [keys[x].tobytes() for _, x in parts]})
+
+    def answer(key, rows, filters):
+        out = []
+        for block, keys in zip(rows["_block"], rows["keys"]):
+            keys = np.frombuffer(keys, dtype=np.uint64)
+            own, sums = np.zeros(len(keys), dtype=np.uint8), np.zeros(len(keys), dtype=np.uint16)
+            if len(filters):
+                read = LogFrequencyFilter.of(filters["size"].iloc[0], filters["words"].iloc[0])
+                own, sums = read.levels(keys).astype(np.uint8), read.levels(keys ^ _FOLLOWERS).astype(np.uint16)
+            out.append((block, key[0], own.tobytes(), sums.tobytes()))
+        return pd.DataFrame(out, columns=["_block", "shard", "own", "sums"])
+
+    grams = placed.groupBy("_block").applyInPandas(ask_grams, "shard long, _slice long, _block long, keys binary")
+    filters = model.table.withColumn("_slice", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long"))))
+    read = grams.groupBy("shard", "_slice").cogroup(filters.groupBy("shard", "_slice")).applyInPandas(answer, "_block long, shard long, own binary, sums binary")
+    zero = F.lit(0).cast("long")
+    known = counts.unionByName(read.select("_block", zero.alias("token"), zero.alias("c"), "shard", "own", "sums"))
 
     def measure(key, texts, known):
-        lm = sent.value
-        order = np.argsort(known["token"].to_numpy(dtype=np.int64).view(np.uint64), kind="stable")
-        keys, c = known["token"].to_numpy(dtype=np.int64).view(np.uint64)[order], known["c"].to_numpy(dtype=np.int64)[order]
+        single, levels = known[known["shard"] < 0], known[known["shard"] >= 0].sort_values("shard")
+        by_key = np.argsort(single["token"].to_numpy(dtype=np.int64).view(np.uint64), kind="stable")
+        keys, c = single["token"].to_numpy(dtype=np.int64).view(np.uint64)[by_key], single["c"].to_numpy(dtype=np.int64)[by_key]
+        texts_tokens = [tokens(t) for t in texts["text"]]
+        lm = None
+        if len(texts_tokens):
+            lm = Answers(block_keys(texts_tokens), joined(levels["own"], np.uint8), joined(levels["sums"], np.uint16), least, train_tokens, vocabulary, order)
         parts, held_tokens, rows = [], 0, []
 
         def flush():
@@ -259,28 +382,28 @@ def score(docs: DataFrame, model: Model, exact: DataFrame) -> DataFrame:
             there = held(keys, words)
             own = np.zeros(len(words), dtype=np.int64)
             own[there] = c[np.searchsorted(keys, words[there])]
-            base = np.log10((own + 1) / (lm.train_tokens + lm.vocabulary + 1))
+            base = np.log10((own + 1) / (train_tokens + vocabulary + 1))
             own_scores = log_probabilities(words, own, ends, lm)
             starts = np.concatenate(([0], ends[:-1]))
             rows.extend(zip(ends - starts, np.add.reduceat(there.astype(np.int64), starts), np.add.reduceat(base, starts), np.add.reduceat(own_scores, starts)))
 
-        for text in texts["text"]:
-            parts.append(tokens(text))
-            held_tokens += len(parts[-1])
+        for words in texts_tokens:
+            parts.append(words)
+            held_tokens += len(words)
             if held_tokens >= CHUNK_TOKENS:
                 flush()
                 parts, held_tokens = [], 0
         if parts:
             flush()
         out = pd.DataFrame(rows, columns=["n_tokens", "n_known", "base_score", "score"])
-        return out.assign(doc_id=texts["doc_id"].astype("Int64").to_numpy(), train_tokens=lm.train_tokens)[
+        return out.assign(doc_id=texts["doc_id"].astype("Int64").to_numpy(), train_tokens=train_tokens)[
             ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"]]
 
-    return placed.groupBy("_block").cogroup(counts.groupBy("_block")).applyInPandas(
+    return placed.groupBy("_block").cogroup(known.groupBy("_block")).applyInPandas(
         measure, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
-def score_corpus(spark: SparkSession, docs: DataFrame, train: DataFrame, order: int = ORDER, share: float = SHARE) -> DataFrame:
+def score_corpus(spark: SparkSession, docs: DataFrame, train: DataFrame, order: int = ORDER, share: float = 0.0) -> DataFrame:
     """Learn from ``train`` and score ``docs``."""
     model, exact = fit(train, order, share)
     return score(docs, model, exact)

@@ -82,6 +82,30 @@ def test_kept_ngrams_are_bounded_by_their_share(spark):
     assert int(model.filter.size) <= 2 * 100 * (BASE / (BASE - 1) + 11) * 12 + 64
 
 
+def test_ngrams_count_alike_at_every_size(spark, monkeypatch):
+    from evidmill.llm import ngram_lm
+
+    monkeypatch.setattr(ngram_lm, "SHARD_GRAMS", 3_000_000)  # several shards
+    text = "never heard pair " * 3
+    many = spark.range(400).selectExpr("id AS doc_id", "array_join(transform(sequence(1, 10000), k -> 'x' || ((id * 10000 + k) * 7919 % 99991)), ' ') AS text")
+    few = many.where("doc_id < 4")
+    for rest in (few, many):
+        model, exact = fit(rest.union(spark.createDataFrame([(-1, text)], SCHEMA)))
+        words = tokens("never heard pair")[:-1]
+        pair, triple = ngram_lm.extended(words[:1], words[1:2]), ngram_lm.extended(ngram_lm.extended(words[:1], words[1:2]), words[2:])
+        assert model.least == 2
+        # Three occurrences are at level 2, however much else there is.
+        assert model._levels(np.concatenate((pair, triple))).tolist() == [2, 2]
+        assert model._levels(pair, True)[0] >= 1
+    assert model.shards > 1 and len(model.filters) == model.shards
+    # What the blocks get from the shards is what the model itself says.
+    got = score(spark.createDataFrame([(1, text)], SCHEMA), model, exact).first()
+    words = tokens(text)
+    counts = {r.token & (2**64 - 1): r.c for r in exact.where(exact.token.isin(words.view(np.int64).tolist())).collect()}
+    want = ngram_lm.log_probabilities(words, np.array([counts[int(w)] for w in words]), np.array([len(words)]), model).sum()
+    assert got.score == pytest.approx(want, rel=1e-9) and got.score > got.base_score
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert score_corpus(spark, empty, empty).count() == 0
