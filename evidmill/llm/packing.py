@@ -18,6 +18,7 @@ END_ID = 2
 # Documents that are packed together: one task of a second or two. More documents make more shards, not larger ones.
 SHARD_DOCS = 65_536
 
+_RUN = 4096  # copies of a piece that are numbered at a time
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _ENCODERS: dict = {}
 
@@ -109,7 +110,10 @@ def place(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np
 
 
 def pack(cut: DataFrame, shards: int, capacity: int = CAPACITY) -> DataFrame:
-    """``sequence_id`` and ``offset`` for pieces; ``shards`` independent packings, dealt by a hash of the document.
+    """``sequence_id`` and ``offset`` for pieces; ``shards`` independent packings, dealt by a hash of the piece.
+
+    Equal pieces are counted and numbered before they are dealt, so rows that share an id, have none or are the same in all
+    still go to all shards.
 
     Pieces of a shard are placed longest first, ties by document and piece, so a repeated task gives the same places.
     """
@@ -120,7 +124,12 @@ def pack(cut: DataFrame, shards: int, capacity: int = CAPACITY) -> DataFrame:
         sequence, offset = place(rows["length"].to_numpy(), capacity)
         return rows.drop(columns="_shard").assign(sequence_id=(np.int64(key[0]) << 40) + sequence, offset=offset)
 
-    dealt = cut.withColumn("_shard", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1))), F.lit(shards)))
+    own = cut.columns
+    runs = cut.groupBy(*own).agg(F.count("*").alias("_n")).withColumn("_run", F.explode(F.expr(f"sequence(0L, (_n - 1) div {_RUN})")))
+    each = runs.withColumn("_copy", F.explode(F.expr(f"sequence(_run * {_RUN}, least(_n, (_run + 1) * {_RUN}) - 1)")))
+    # An absent id is hashed as a value of its own: xxhash64 passes over nulls.
+    place_of = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), *(c for c in own if c != "doc_id"), "_copy")
+    dealt = each.select(*own, F.pmod(place_of, F.lit(shards)).alias("_shard"))
     return dealt.groupBy("_shard").applyInPandas(fill, f"{_PIECE}, sequence_id long, offset long")
 
 

@@ -1,4 +1,5 @@
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -80,3 +81,12 @@ def test_empty_and_repeated(spark):
     twice = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (None, "z")], "doc_id long, text string")
     rows = packed(twice, VOCABULARY, public_tokenizers.PATTERN, 8).collect()
     assert sorted(str(r.doc_id) for r in rows) == ["1", "1", "None"]
+
+
+@pytest.mark.parametrize("row", ["(NULL, 'a b c')", "(7, concat('a b ', id))"])
+def test_rows_without_own_ids_go_to_all_shards(spark, row):
+    docs = spark.range(9000).selectExpr(f"inline(array(struct{row}))").toDF("doc_id", "text")
+    rows = packed(docs, VOCABULARY, public_tokenizers.PATTERN, 64, shard_docs=1000).collect()
+    assert len(rows) == 9000 and len({(r.sequence_id, r.offset) for r in rows}) == 9000
+    shards = Counter(r.sequence_id >> 40 for r in rows)
+    assert len(shards) == 9 and max(shards.values()) < 1300
