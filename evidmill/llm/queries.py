@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from evidmill.llm import bpe, chat, exact_dedup, html_text, language_id, near_dedup, ngram_lm, packing, spotsigs, toxicity
+from evidmill.llm import bpe, chat, decontamination, exact_dedup, html_text, language_id, near_dedup, ngram_lm, packing, runs, spotsigs, toxicity, turn_repair
 from evidmill.llm.common import remainder_column, table
 
 
@@ -72,7 +72,22 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_turns(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {q.__name__: q for q in (op1_html_text, op2_best_fit_packing, op3_lm_scoring, op4_minhash_near_dedup, op5_language_id, op6_spotsigs, op7_byte_bpe, op8_exact_dedup, op9_toxicity, op10_chat_format)}
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return runs.report(runs.collapse(docs.select("doc_id", runs.looped(F.col("doc_id"), F.col("text")).alias("text"))))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.summaries(turn_repair.damaged(table(spark, sf_dir, "conversations")), F.col("_dropped"))
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return rows.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+QUERIES = {q.__name__: q for q in (op1_html_text, op2_best_fit_packing, op3_lm_scoring, op4_minhash_near_dedup, op5_language_id, op6_spotsigs, op7_byte_bpe, op8_exact_dedup, op9_toxicity, op10_chat_format,
+                                  op11_periodic_runs, op12_conversation_repair, op13_decontamination)}
 
 ORACLES = {
     "op4_minhash_near_dedup": r"""
@@ -92,4 +107,16 @@ ORACLES = {
         r AS (SELECT doc_id, norm, count(*) OVER (PARTITION BY norm) AS group_size,
                      first_value(doc_id) OVER (PARTITION BY norm ORDER BY n DESC, doc_id NULLS LAST) AS keep_id FROM t)
         SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, sha256(norm) AS text_sha256 FROM r""",
+    "op13_decontamination": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id,
+                 list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+        b AS (SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
+        v AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, unnest(list_transform(range(1, greatest(len(w) - 9, 1) + 1), lambda i: array_to_string(w[i:i + 9], ' '))) AS s FROM b WHERE len(w) > 0),
+        n AS (SELECT DISTINCT n FROM v),
+        p AS (SELECT r, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, n WHERE len(w) >= n),
+        m AS (SELECT p.r, p.i, v.n, v.item_id FROM p JOIN d USING (r) JOIN v ON v.n = p.n AND v.s = array_to_string(d.w[p.i:p.i + p.n - 1], ' ')),
+        h AS (SELECT r, count(DISTINCT k) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS k FROM m) GROUP BY r),
+        t AS (SELECT r, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS ids FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS x FROM m) GROUP BY r)
+        SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN h USING (r) LEFT JOIN t USING (r)""",
 }
