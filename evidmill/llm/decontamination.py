@@ -110,13 +110,16 @@ def _intersected(starts: DataFrame, lists: DataFrame, postings: DataFrame, first
     asked = starts.join(side, "window").select("row", "window", "start", "n", F.explode_outer("some").alias("l"))
     asked = asked.select("row", "window", "start", "n", F.col("l.name").alias("name"), (F.col("start") + F.col("l.offset")).alias("pos"))
     needed = _listed(postings, side.select(F.explode("some.name").alias("name")))
+    rows = written(starts.select("row").distinct(), "phrase-rows")
+    if rows.count() <= BROADCAST_ROWS:  # only a saving: beyond the bound all postings of the terms go to the join
+        needed = needed.join(F.broadcast(rows), "row", "left_semi")
     found = asked.where("n > 0").join(needed, ["row", "pos", "name"]).groupBy("row", "window", "start", "n").count().where("count = n")
     return found.select("row", "window", "start").union(asked.where("n = 0").select("row", "window", "start"))
 
 
 def phrase_matches(lists: DataFrame, postings: DataFrame) -> DataFrame:
     """``row, window, start`` of every exact occurrence of every window; ``start`` is the position of its first word."""
-    starts = _intersected(_starts(lists, postings), lists, postings, 1, 2)
+    starts = _intersected(written(_starts(lists, postings), "phrase-rarest"), lists, postings, 1, 2)
     return _intersected(written(starts, "phrase-starts"), lists, postings, 2, None)
 
 
