@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from evidmill.functions.digests import is_sha256_hex, json_string
-from evidmill.functions.json_tree import flatten
+from evidmill.functions import json_spans
 from evidmill.operators.extract import boolean, is_object, raw, text
 
 # Command names that count as live agent calls, one per result family.
@@ -268,7 +268,11 @@ def violations(receipts: DataFrame) -> DataFrame:
 
 
 def forbidden_keys(docs: DataFrame, key: str, json_text: str) -> DataFrame:
-    """Forbidden keys at any depth with their path; only documents that may hold one are parsed."""
-    may = F.col(json_text).rlike('"(?:' + "|".join(FORBIDDEN_KEYS) + r')"\s*:')
-    rows = docs.where(may).select(key, F.try_parse_json(json_text).alias("v")).where("v IS NOT NULL")
-    return flatten(rows, key, "v").where(F.col("name").isin(*FORBIDDEN_KEYS)).select(key, "path", "name")
+    """Forbidden keys at any depth with their path. Text that is no JSON gives one row without ``name``.
+
+    Only documents that may hold one (an escape may hide a name), and those that don't parse, are read key by key.
+    """
+    named = F.col(json_text).rlike('"(?:' + "|".join(FORBIDDEN_KEYS) + r')"\s*:') | F.col(json_text).contains("\\u")
+    rows = json_spans.tokens(docs.where(named | F.try_parse_json(json_text).isNull()), key, json_text)
+    keys = rows.where(F.col("location") == "key").where(F.col("text").isin(*FORBIDDEN_KEYS)).select(key, F.regexp_replace("path", "<key>$", "").alias("path"), F.col("text").alias("name"))
+    return keys.unionByName(rows.where(F.col("location") == "text").select(key, "path", F.lit(None).cast("string").alias("name")))

@@ -6,16 +6,12 @@ the places of the hits; one pass over the hits in order settles overlaps and wri
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from evidmill.functions import detectors as dt
-from evidmill.functions.json_tree import flatten
+from evidmill.functions import detectors as dt, json_spans
 from evidmill.functions.paths import scrub_local_paths
 
-_FINDING = "array<struct<start:int,end:int,detector:string,tier:string,line:int,excerpt:string>>"
+_FINDING = "array<struct<start:int,end:int,detector:string,tier:string,line:int,excerpt:string,at:int>>"
 _HIT = "array<struct<start:int,shorter:int,rank:int,stop:int,hit:string>>"
 # States that a rewrite may raise to redacted.
 UPGRADEABLE = ("safe", "unknown")
@@ -112,7 +108,7 @@ def redacted(text: Column, kept: Column, chosen: tuple[dt.Detector, ...]) -> Col
             flat = lambda m: F.replace(F.replace(excerpt(full, m["at"], WINDOW), F.lit("\r"), F.lit("")), F.lit("\n"), F.lit("\\n"))
             return F.struct(full.alias("redacted"), F.transform(done["marks"], lambda m: F.struct(
                 m["start"].alias("start"), m["end"].alias("end"), F.get(names, m["rank"]).alias("detector"), F.get(tiers, m["rank"]).alias("tier"),
-                m["line"].alias("line"), flat(m).alias("excerpt"))).cast(_FINDING).alias("findings"))
+                m["line"].alias("line"), flat(m).alias("excerpt"), m["at"].alias("at"))).cast(_FINDING).alias("findings"))
 
         return _bound(whole, finding)
 
@@ -120,7 +116,10 @@ def redacted(text: Column, kept: Column, chosen: tuple[dt.Detector, ...]) -> Col
 
 
 def scan(df: DataFrame, text: str, key: Column | None = None, names: tuple[str, ...] = dt.DEFAULT, more: tuple[dt.Detector, ...] = ()) -> DataFrame:
-    """``df`` with ``redacted`` and ``findings``; ``more`` registers further detectors."""
+    """``df`` with ``redacted`` and ``findings``; ``more`` registers further detectors.
+
+    ``start`` and ``end`` of a finding are places in the text, ``at`` is where its replacement begins in ``redacted``.
+    """
     chosen = dt.chosen(names, more)
     key = F.lit(None).cast("string") if key is None else key
     clean = F.struct(F.col(text).alias("redacted"), F.array().cast(_FINDING).alias("findings"))
@@ -154,71 +153,36 @@ def native_counts(df: DataFrame, keys: list[str], text: str, names: tuple[str, .
 
 
 def scan_json(docs: DataFrame, key: str, json_text: str, names: tuple[str, ...] = dt.DEFAULT) -> DataFrame:
-    """Findings of every JSON value (with key context) and key, with path and owner.
+    """Findings of every JSON value (with key context) and key, with path, pointer, place and owner.
 
-    ``owner`` is the nearest object around the value that carries ``redaction_state``. Text that is no JSON, or too large
-    for a VARIANT, is scanned as it stands: its findings have the path ``$`` and the location ``text``.
+    ``owner`` is the nearest object around the value that carries ``redaction_state``. Text that is no JSON is scanned as it
+    stands: its findings have the path ``$`` and the location ``text``. Depth, repeated keys and keys with dots don't matter.
     """
-    parsed = docs.select(key, F.col(json_text).alias("text"), F.try_parse_json(json_text).alias("v"))
-    rows = flatten(parsed.where("v IS NOT NULL").drop("text"), key, "v")
-    loose = parsed.where("v IS NULL AND text IS NOT NULL").select(
-        key, F.lit("$").alias("path"), F.lit(None).cast("string").alias("name"), "text", F.array().cast("array<string>").alias("ancestors"), F.lit("text").alias("location"))
-    values = rows.where("text IS NOT NULL").select(key, "path", "name", "text", "ancestors", F.lit("value").alias("location"))
-    names_only = rows.where("name IS NOT NULL").select(
-        key, F.concat("path", F.lit("<key>")).alias("path"), F.lit(None).cast("string").alias("name"), F.col("name").alias("text"),
-        "ancestors", F.lit("key").alias("location"))
-    found = scan(values.unionByName(names_only).unionByName(loose), "text", F.col("name"), names).where(F.size("findings") > 0)
-    states = rows.where("name = 'redaction_state'").select(
-        key, F.element_at("ancestors", -1).alias("owner"), F.col("text").alias("state"))
-    # Each finding looks at the few objects around it; the deepest one with a state owns it.
-    around = found.select(key, "path", "location", F.explode("ancestors").alias("owner"))
-    owner = around.where("location = 'value'").join(states, [key, "owner"]).groupBy(key, "path").agg(
-        F.max_by(F.struct("owner", "state"), F.length("owner")).alias("o"))
-    return found.join(owner, [key, "path"], "left").select(
-        key, "path", "location", "redacted", F.transform("findings", lambda f: f["detector"]).alias("detectors"),
-        F.col("o.owner").alias("owner"),
-        F.when(F.col("o.state").isin(*UPGRADEABLE), "redacted").otherwise(F.col("o.state")).alias("owner_state"),
-    )
-
-
-def _patched(text: str, changes: dict[str, str]) -> str:
-    """A JSON text with new values at given paths; the paths are those that ``flatten`` writes."""
-    root = [json.loads(text)]
-    todo = [(root, 0, "$")]
-    while todo:
-        holder, slot, path = todo.pop()
-        here = holder[slot]
-        if path in changes:
-            holder[slot] = changes[path]
-        elif isinstance(here, dict):
-            todo += [(here, k, f"{path}.{k}") for k in here]
-        elif isinstance(here, list):
-            todo += [(here, k, f"{path}[{k}]") for k in range(len(here))]
-    return json.dumps(root[0], sort_keys=True)
+    found = scan(json_spans.tokens(docs, key, json_text), "text", F.col("name"), names).where(F.size("findings") > 0)
+    return found.select(
+        key, "path", "location", "redacted", F.transform("findings", lambda f: f["detector"]).alias("detectors"), "owner",
+        F.when(F.col("state").isin(*UPGRADEABLE), "redacted").otherwise(F.col("state")).alias("owner_state"),
+        "pointer", "start", "stop", "state", "state_start", "state_stop", "findings")
 
 
 def rewrite_json(docs: DataFrame, key: str, json_text: str, names: tuple[str, ...] = dt.DEFAULT) -> DataFrame:
-    """``docs`` with ``redacted``: values with findings replaced, and the state of the object that owns them raised.
+    """``docs`` with ``redacted``: hits inside values replaced, and the state of the object that owns them raised.
 
-    Documents without findings keep their text as it is. Text that is no JSON, or too large for a VARIANT, is rewritten as
-    plain text. ``key`` names a document.
+    All other characters of a document stay as they are; one without findings is returned unchanged. Text that is no JSON is
+    rewritten as plain text. Keys are reported by ``scan_json`` and never rewritten. ``key`` names a document; of rows without it none is rewritten.
     """
     found = scan_json(docs, key, json_text, names)
     plain = found.where("location = 'text'").select(key, F.col("redacted").alias("_plain"))
-    values = found.where("location = 'value'").select(key, F.struct("path", F.col("redacted").alias("value")).alias("_c"))
-    states = found.where("location = 'value' AND owner IS NOT NULL AND owner_state = 'redacted'").select(
-        key, F.struct(F.concat("owner", F.lit(".redaction_state")).alias("path"), F.lit("redacted").alias("value")).alias("_c"))
-    # The changes of one document, at most its own values.
-    changes = values.unionByName(states).distinct().groupBy(key).agg(F.map_from_entries(F.collect_list("_c")).alias("_changes"))
-
-    @F.pandas_udf("string")
-    def patch(text: pd.Series, changes: pd.Series) -> pd.Series:
-        return pd.Series([_patched(t, dict(c)) for t, c in zip(text, changes)], dtype=object)
-
-    met = docs.join(changes, key, "left").join(plain, key, "left")
-    same = met.where("_changes IS NULL").withColumn("redacted", F.coalesce("_plain", json_text))
-    new = met.where("_changes IS NOT NULL").withColumn("redacted", patch(F.col(json_text), F.col("_changes")))
-    return same.unionByName(new).drop("_changes", "_plain")
+    parts = F.transform("findings", lambda f: F.struct(f["start"].alias("start"), f["end"].alias("end"), f["at"].alias("at")))
+    values = found.where("location = 'value'").select(key, F.struct("start", "stop", F.col("redacted").alias("new"), parts.alias("parts")).alias("_c"))
+    raised = F.struct(F.col("state_start").alias("start"), F.col("state_stop").alias("stop"), F.lit("redacted").alias("new"), F.array().cast("array<struct<start:int,end:int,at:int>>").alias("parts"))
+    states = found.where("location = 'value' AND owner_state = 'redacted' AND state_start IS NOT NULL").where(F.col("state") != "redacted").select(key, raised.alias("_c")).distinct()
+    # The edits of one document, at most its own values.
+    edits = values.unionByName(states).groupBy(key).agg(F.collect_list("_c").cast(json_spans.EDITS).alias("_edits"))
+    met = docs.join(edits, key, "left").join(plain, key, "left")
+    same = met.where("_edits IS NULL").withColumn("redacted", F.coalesce("_plain", json_text))
+    new = met.where("_edits IS NOT NULL").withColumn("redacted", json_spans.splice(F.col(json_text), F.col("_edits")))
+    return same.unionByName(new).drop("_edits", "_plain")
 
 
 def redacted_fields(nodes: DataFrame, key: str, payload: str) -> DataFrame:
