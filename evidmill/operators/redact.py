@@ -24,8 +24,8 @@ def _bound(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def hits(text: Column, pattern: str, group: int, rank: int, reject: str | None = None) -> Column:
-    """Places of a pattern's matches as ``(start, minus length, rank, stop, hit)``, counted from 0; none for most texts."""
+def hits(text: Column, pattern: str, group: int, rank: int, reject: str | None = None, marked: Column | None = None) -> Column:
+    """Places of a pattern's matches as ``(start, minus length, rank, stop, hit)``, counted from 0; none where ``marked`` is false."""
     none = F.array().cast(_HIT)
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     part = whole if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
@@ -41,7 +41,8 @@ def hits(text: Column, pattern: str, group: int, rank: int, reject: str | None =
         return F.struct(after.alias("at"), F.when(F.coalesce(bad, F.lit(True)), acc["hits"]).otherwise(F.array_append(acc["hits"], hit)).alias("hits"))
 
     found = F.aggregate(parts, F.struct(F.lit(0).alias("at"), none.alias("hits")), walk, lambda acc: acc["hits"])
-    return F.when(text.rlike(pattern), found).otherwise(none)
+    # Conjunctions are evaluated from the left, so an unmarked text never meets the pattern.
+    return F.when(text.rlike(pattern) if marked is None else marked & text.rlike(pattern), found).otherwise(none)
 
 
 def spans(text: Column, key: Column, chosen: tuple[dt.Detector, ...]) -> Column:
@@ -49,13 +50,13 @@ def spans(text: Column, key: Column, chosen: tuple[dt.Detector, ...]) -> Column:
 
     A hit inside one of our own placeholders is dropped; one around it is kept.
     """
-    found = [hits(text, dt.pattern(d), d.group, k, d.reject) for k, d in enumerate(chosen)]
+    found = [hits(text, dt.pattern(d), d.group, k, d.reject, dt.marked(text, d)) for k, d in enumerate(chosen)]
     for k, d in enumerate(chosen):
         if d.keyed:
             bare = hits(text, dt.pattern(d._replace(pattern=d.keyed[1])), 0, k, d.reject)
             found.append(F.when(key.rlike(d.keyed[0]), bare).otherwise(F.array().cast(_HIT)))
     names = "|".join(d.name for d in dt.DETECTORS if d.name != "home_path")
-    own = hits(text, rf"\[REDACTED:(?:{names})\]", 0, 0)
+    own = hits(text, rf"\[REDACTED:(?:{names})\]", 0, 0, marked=F.contains(text, F.lit("[REDACTED:")))
 
     def settle(both):
         free = F.filter(both["all"], lambda h: ~F.exists(both["own"], lambda o: (o["start"] <= h["start"]) & (h["stop"] <= o["stop"])))
@@ -131,7 +132,8 @@ def scan(df: DataFrame, text: str, key: Column | None = None, names: tuple[str,
 
 def findings(scanned: DataFrame, keys: list[str]) -> DataFrame:
     """One row per finding."""
-    return scanned.select(*keys, F.explode("findings").alias("f")).select(*keys, "f.*")
+    # A plain explode would also filter by the size of the array, that is, scan every text twice.
+    return scanned.select(*keys, F.explode_outer("findings").alias("f")).where("f IS NOT NULL").select(*keys, "f.*")
 
 
 def detector_counts(found: DataFrame) -> DataFrame:
@@ -149,7 +151,7 @@ def gate(scanned: DataFrame, keys: list[str]) -> DataFrame:
 
 def native_counts(df: DataFrame, keys: list[str], text: str, names: tuple[str, ...] = dt.DEFAULT) -> DataFrame:
     """Raw match counts per detector, before overlaps are resolved."""
-    return df.select(*keys, *[F.size(hits(F.col(text), dt.pattern(d), d.group, 0, d.reject)).alias(d.name) for d in dt.chosen(names)])
+    return df.select(*keys, *[F.size(hits(F.col(text), dt.pattern(d), d.group, 0, d.reject, dt.marked(F.col(text), d))).alias(d.name) for d in dt.chosen(names)])
 
 
 def scan_json(docs: DataFrame, key: str, json_text: str, names: tuple[str, ...] = dt.DEFAULT) -> DataFrame:

@@ -136,3 +136,19 @@ def test_json_state_belongs_to_the_nearest_object(spark):
     assert out[4] == '{"n": 1.50, "n2": [1e3]}' and out[5] is None
     rows = {r.id: (r.path, r.owner, r.owner_state) for r in redact.scan_json(df, "id", "j").collect()}
     assert rows == {1: ("$.a.m[0]", "$.a", "redacted"), 2: ("$.m", "$", "blocked"), 3: ("$", None, None)}
+
+
+def test_a_hit_implies_its_mark(spark):
+    """Patterns are run on all texts, marks beside them: no hit may stand in an unmarked text."""
+    rng = random.Random(8)
+    parts = [*POSITIVE.values(), "bearer", "BASIC ", "Token", "toKen ", "baſic ", "ſecret_acceſs-Key = ", "aB3/" * 10, " ABCDEFGHIJKLMNOPQR", "://u:p", "@", "9.9", ".8.7 ",
+             "/a", "/b/", "file:///", "é", " ", "\n", ".com", "x@y"]
+    rows = [("".join(rng.choice(parts) for _ in range(rng.randint(1, 5))),) for _ in range(600)] + [(t,) for t in POSITIVE.values()]
+    df = spark.createDataFrame(rows, "t string")
+    found = 0
+    for d in dt.DETECTORS:
+        row = df.select(F.size(redact.hits(F.col("t"), dt.pattern(d), d.group, 0, d.reject)).alias("n"), dt.marked(F.col("t"), d).alias("m")).groupBy().agg(
+            F.count_if(F.col("n") > 0).alias("hits"), F.count_if((F.col("n") > 0) & ~F.col("m")).alias("lost")).first()
+        assert row.lost == 0 and row.hits > 0 or d.name == "hostname", d.name
+        found += row.hits
+    assert found > 100
