@@ -116,11 +116,31 @@ def _streamed_runs(s: Spine):
     return spine.open_or_reason(s.spark, root)[0]["runs"].groupBy("status").agg(F.count("*").alias("n"), F.count_distinct("stable_key").alias("keys"))
 
 
-def _streamed_chapters(s: Spine):
+def _shuffled_stream(s: Spine, batches: int = 4):
+    """The events out of order: each comes up to an hour late, in several batches, and a mark ends the log."""
+    path = scratch_path(s.spark, "stream")
+    ts = F.col("ts").cast("timestamp")
+    rows = s.events.select(ts.alias("ts"), F.col("id").cast("string").alias("id"), "kind", "run_group", "status", "next_action", F.col("source").cast("string").alias("source"))
+    late = F.unix_seconds("ts") + F.pmod(F.xxhash64("id", "kind", "source"), F.lit(3600))
+    ends = rows.agg(F.min(late).alias("a"), F.max(late).alias("b"), F.max("ts").alias("z")).first()
+    wide = (ends.b - ends.a) // batches + 1
+    for k in range(batches):
+        part = rows.where((late >= ends.a + k * wide) & (late < ends.a + (k + 1) * wide))
+        part.orderBy(F.xxhash64("id", "kind")).coalesce(1).write.mode("append").parquet(path)
+    mark = s.spark.range(1).select((F.lit(ends.z) + F.expr("interval 1 day")).alias("ts"), F.lit("").alias("id"), F.lit(jobs.END).alias("kind"), *[F.lit(None).cast("string").alias(c) for c in ("run_group", "status", "next_action", "source")])
+    mark.coalesce(1).write.mode("append").parquet(path)
+    return s.spark.readStream.schema("ts timestamp, id string, kind string, run_group string, status string, next_action string, source string").option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def _streamed_members(s: Spine):
     out = scratch_path(s.spark, "w2")
-    jobs.run_to(jobs.live_chapters(_event_stream(s)), out, scratch_path(s.spark, "ckpt"))
-    return s.spark.read.schema(jobs.CHAPTER).parquet(out).where("NOT open").groupBy("lineage").agg(
-        F.count("*").alias("closed"), F.sum("events").alias("events"))
+    jobs.run_to(jobs.live_members(_shuffled_stream(s)), out, scratch_path(s.spark, "ckpt"))
+    return s.spark.read.schema(jobs.MEMBER_ROW).parquet(out)
+
+
+def _streamed_chapters(s: Spine):
+    rows = jobs.chapters_so_far(_streamed_members(s))
+    return rows.select("lineage", F.date_format("start_ts", "yyyy-MM-dd HH:mm:ss").alias("start_ts"), F.date_format("end_ts", "yyyy-MM-dd HH:mm:ss").alias("end_ts"), "open", "events")
 
 
 def _streamed_hours(s: Spine):
@@ -169,10 +189,11 @@ ORACLES = {
 }
 
 
-def _closed_chapters_sql() -> str:
+def _chapters_sql() -> str:
     from evidmill.plans.timelines import _MEMBERS
 
-    return with_spine("timeline", body=_MEMBERS + "SELECT lineage, count(*) AS closed, sum(events)::BIGINT AS events FROM chapters WHERE NOT open GROUP BY 1")
+    at = "strftime(CAST({c} AS TIMESTAMP), '%Y-%m-%d %H:%M:%S') AS {c}".format
+    return with_spine("timeline", body=_MEMBERS + f"SELECT lineage, {at(c='start_ts')}, {at(c='end_ts')}, open, events FROM chapters")
 
 
-ORACLES["W2_streamed_chapters"] = _closed_chapters_sql()
+ORACLES["W2_streamed_chapters"] = _chapters_sql()
