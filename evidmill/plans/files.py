@@ -150,13 +150,66 @@ def _streamed_hours(s: Spine):
     return rows.select(F.date_format("hour", "yyyy-MM-dd HH").alias("hour"), "kind", "n")
 
 
+def _listed(rows, name: str, order: list[str], key: str, first: str):
+    """Rows as one JSON document per ``key``: an envelope around a list whose first element is ``first``."""
+    path = scratch_path(rows.sparkSession, name)
+    lines = rows.select(key, F.lit(1).alias("at"), *order, F.concat(F.lit(","), F.to_json(F.struct(*[c for c in rows.columns if c != key]))).alias("value"))
+    ends = rows.select(key).distinct().select(key, F.explode(F.array(*[F.struct(F.lit(a).alias("at"), F.lit(v).alias("value")) for a, v in ((0, '{"meta": {"x": [{}]}, "%s": [%s' % (name, first)), (2, '], "tail": [{"name": "no"}]}'))])).alias("e"))
+    both = lines.unionByName(ends.select(key, "e.*"), allowMissingColumns=True)
+    both.repartition(key).sortWithinPartitions(key, "at", *order).select(key, "value").write.partitionBy(key).text(path)
+    return f"{path}/*"
+
+
+def _profile_rows(s: Spine):
+    rows = s.table("lineitem").select(F.col("l_returnflag").alias("mode"), F.col("l_orderkey").alias("ts"), F.col("l_linenumber").alias("tid"), F.concat(F.lit("}{ "), F.col("l_linenumber").cast("string")).alias("name"))
+    events = src.read_profile(s.spark, _listed(rows, "traceEvents", ["ts", "tid"], "mode", "7")).select("event_index", F.try_variant_get("event", "$.name", "string").alias("name"), F.try_variant_get("event", "$.ts", "bigint").alias("ts"))
+    return events.groupBy("name").agg(F.count("*").alias("n"), F.sum("event_index").alias("places"), F.sum("ts").alias("ts"))
+
+
+def _manifest_rows(s: Spine):
+    rows = s.table("part").select(F.col("p_brand").alias("brand"), F.concat(F.lit("a]}"), F.col("p_partkey").cast("string")).alias("artifact_key"), F.col("p_partkey").alias("size_bytes"), F.col("p_name").alias("path"))
+    return src.read_manifest(s.spark, _listed(rows, "artifacts", ["artifact_key"], "brand", "null")).select("artifact_key", "size_bytes", "path")
+
+
+def _tree(s: Spine) -> str:
+    """A folder with texts, JSON documents, and files that look like a database and like binary data."""
+    path = scratch_path(s.spark, "tree")
+    docs = s.table("documents")
+    docs.select("source", "doc_id", "text").repartition("source").sortWithinPartitions("source", "doc_id").select("source", "text").write.partitionBy("source").text(f"{path}/text")
+    doc = docs.where("text IS NOT NULL").groupBy("lang").agg(F.count("*").alias("n"), F.max("doc_id").alias("last"))
+    doc.select(F.to_json(F.struct("n", "last")).alias("value"), "lang").repartition("lang").write.partitionBy("lang").text(f"{path}/json")
+    for kind, head in (("database", "SQLite format 3\x00"), ("binary", "\x00")):
+        docs.select("source", F.concat(F.lit(head), F.coalesce("text", F.lit(""))).alias("value")).repartition("source").write.partitionBy("source").text(f"{path}/{kind}")
+    return path
+
+
+def _inventory(s: Spine):
+    files = src.file_inventory(s.spark, f"{_tree(s)}/text")
+    return files.select(F.regexp_extract("path", "source=([^/]+)/", 1).alias("source"), "size", "sha256").where("source <> ''")
+
+
+def _tree_kinds(s: Spine):
+    rows = src.scan_tree(s.spark, _tree(s)).where(~F.col("path").contains("/_SUCCESS"))
+    return rows.groupBy(F.regexp_extract("path", "/(text|json|database|binary)/[a-z]+=", 1).alias("folder"), "kind").agg(F.count("*").alias("files"), F.sum(F.length("text")).alias("chars"))
+
+
+def _discovered(s: Spine):
+    root = scratch_path(s.spark, "sources")
+    for source in [r.source for r in s.table("documents").where("source IS NOT NULL").select("source").distinct().orderBy("source").collect()]:  # as many as there are sources
+        s.spark.range(1).select(F.lit(source).alias("value")).coalesce(1).write.text(f"{root}/{source}/dataset")
+    s.spark.range(1).select(F.lit("x").alias("value")).write.text(f"{root}/no_source/other")
+    return src.discover_sources(s.spark, root, explicit=("/elsewhere/named/dataset",)).select("source", "reason")
+
+
 QUERIES = {
     "S1_build_event_files": _events_from_files,
     "S2_exec_log_files": _execs_from_files,
     "S4_log_files": _logs_from_files,
-    "S8_file_inventory": lambda s: src.file_inventory(s.spark, s.sf_dir).select(
-        F.regexp_extract("path", "([^/]+)$", 1).alias("name"), "size", "sha256"),
-    "S9_tree_kinds": lambda s: src.scan_tree(s.spark, s.sf_dir).groupBy("kind").agg(F.count("*").alias("files")),
+    "S3_profile_rows": _profile_rows,
+    "S7_manifest_rows": _manifest_rows,
+    "S8_file_inventory": _inventory,
+    "S9_tree_kinds": _tree_kinds,
+    "S12_discovered_sources": _discovered,
     "S13_S14_upserted_runs": _upserted,
     "S15_finalized_runs": _finalized,
     "S16_upgraded_dataset": _upgraded,
@@ -174,7 +227,14 @@ ORACLES = {
  UNION ALL SELECT {_LBL} FROM lineitem UNION ALL SELECT NULL FROM orders UNION ALL SELECT NULL FROM orders) SELECT label, count(*) AS n, count(*) AS numbered FROM e GROUP BY 1""",
     "S2_exec_log_files": """SELECT CASE l_returnflag WHEN 'A' THEN 'remote_cache_hit' WHEN 'R' THEN 'cache_miss' ELSE 'action_cache_observed' END AS event_kind, CASE l_returnflag WHEN 'N' THEN 'low' ELSE 'high' END AS confidence, count(*) AS n FROM lineitem GROUP BY ALL""",
     "S4_log_files": """SELECT source, sum(len(string_split(text, chr(10))))::BIGINT AS lines, sum(length(replace(text, chr(10), '')))::BIGINT AS chars FROM documents GROUP BY 1""",
-    "S9_tree_kinds": "SELECT 'binary' AS kind, 14 AS files",
+    "S3_profile_rows": """WITH r AS (SELECT concat('}{ ', l_linenumber) AS name, l_orderkey AS ts, 1 + row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber) AS place FROM lineitem)
+ SELECT name, count(*) AS n, sum(place)::BIGINT AS places, sum(ts)::BIGINT AS ts FROM r GROUP BY 1""",
+    "S7_manifest_rows": "SELECT concat('a]}', p_partkey) AS artifact_key, p_partkey AS size_bytes, p_name AS path FROM part",
+    "S8_file_inventory": """WITH t AS (SELECT source, string_agg(concat(text, chr(10)), '' ORDER BY doc_id) AS t FROM documents GROUP BY 1) SELECT source, octet_length(encode(t)) AS size, sha256(t) AS sha256 FROM t""",
+    "S9_tree_kinds": """WITH d AS (SELECT source, sum(length(text) + 1)::BIGINT AS chars FROM documents GROUP BY 1), j AS (SELECT lang, length(concat('{"n":', count(*), ',"last":', max(doc_id), '}')) + 1 AS chars FROM documents WHERE text IS NOT NULL GROUP BY 1)
+ SELECT 'text' AS folder, 'text' AS kind, count(*) AS files, sum(chars)::BIGINT AS chars FROM d UNION ALL SELECT 'json', 'json', count(*), sum(chars)::BIGINT FROM j
+ UNION ALL SELECT 'database', 'database', count(*), NULL FROM d UNION ALL SELECT 'binary', 'binary', count(*), NULL FROM d""",
+    "S12_discovered_sources": "SELECT DISTINCT source, NULL::VARCHAR AS reason FROM documents WHERE source IS NOT NULL UNION ALL SELECT 'named', NULL",
     "S13_S14_upserted_runs": """WITH r AS (SELECT concat('run:', o_custkey) AS stable_key, CAST(o_orderkey AS STRING) AS id, o_orderkey % 2 AS load, CAST(o_orderdate AS STRING) AS created_at FROM orders)
  SELECT stable_key, id, 'unknown' AS confidence, 0 AS refs FROM r QUALIFY row_number() OVER (PARTITION BY stable_key ORDER BY load, created_at, id) = 1""",
     "S15_finalized_runs": """SELECT CAST(o_orderkey AS STRING) AS id, CASE WHEN e IS NOT NULL THEN 'failed' ELSE 'completed' END AS status, e AS ended_at, CASE WHEN e IS NOT NULL THEN 't1' ELSE 't0' END AS updated_at
