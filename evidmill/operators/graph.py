@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from evidmill.functions.endpoints import (
@@ -9,7 +11,7 @@ from evidmill.functions.endpoints import (
 )
 from evidmill.functions.paths import scrub_local_paths
 from evidmill.functions.truth import truth_quad
-from evidmill.session import settle
+from evidmill.session import scratch_path
 
 # Kinds that may fold into a cluster, in label order; the order in which edges are recorded; the greatest
 # depth that is drawn for a node without a run.
@@ -201,23 +203,39 @@ def parents(nodes: DataFrame, edges: DataFrame, override: DataFrame | None = Non
     return first.join(override, "id", "full").select("id", F.coalesce("owner", "parent").alias("parent"))
 
 
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared folder; later steps read from its files only the columns they need."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def settled_ids(nodes: DataFrame) -> DataFrame:
+    """``id, kind`` of all nodes, written once for the walks over them."""
+    return _kept(nodes.select("id", "kind"), "nodes")
+
+
 def jumped(start: DataFrame, merge: dict[str, Column]) -> DataFrame:
     """Pointer doubling: ``start`` is ``id, target, ended, ...``; every open row takes over where its target stands.
 
     ``merge`` gives the new value of each further column from its own (``x``) and the target's (``x_up``). The distance
-    doubles from round to round, so the rounds are the logarithm of the longest way. A round that ends no further row has
-    only ways into a cycle left; these stay open.
+    doubles from round to round, so the rounds are the logarithm of the longest way. Only open rows move and are written
+    again; a row that has ended stays in the part of its round. A round that ends no further row has only ways into a cycle left; these stay open.
     """
-    level, waiting = settle(start), None
-    while True:
-        left = level.where("NOT ended").count()
-        if left == 0 or left == waiting:
-            return level
-        waiting = left
-        up = level.select([F.col(c).alias(f"{c}_up") for c in level.columns])
-        going = level.where("NOT ended").join(up, F.col("target") == F.col("id_up"))
-        moved = going.select("id", F.col("target_up").alias("target"), F.col("ended_up").alias("ended"), *[value.alias(name) for name, value in merge.items()])
-        level = settle(level.where("ended").unionByName(moved))
+    level = _kept(start, "ways")
+    parts, going = [level.where("ended")], level.where("NOT ended")
+    left = going.count()
+    while left:
+        now = reduce(DataFrame.unionByName, parts, going)
+        up = now.select([F.col(c).alias(f"{c}_up") for c in now.columns])
+        moved = going.join(up, F.col("target") == F.col("id_up")).select(
+            "id", F.col("target_up").alias("target"), F.col("ended_up").alias("ended"), *[c for c in start.columns if c not in ("id", "target", "ended", *merge)], *[value.alias(name) for name, value in merge.items()])
+        settled = _kept(moved.select(*start.columns), "ways")
+        parts, going, before = [*parts, settled.where("ended")], settled.where("NOT ended"), left
+        left = going.count()
+        if left == before:
+            break
+    return reduce(DataFrame.unionByName, parts, going)
 
 
 def run_attribution(nodes: DataFrame, parent: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
@@ -225,15 +243,15 @@ def run_attribution(nodes: DataFrame, parent: DataFrame, max_depth: int = MAX_DE
 
     ``max_depth`` clips the depth of nodes without a run, which is for display only.
     """
-    kinds = settle(nodes.select("id", "kind").distinct())
-    at_run = kinds.select(F.col("id").alias("parent"), (F.col("kind") == "run").alias("at_run"))
-    ways = kinds.where("kind <> 'run'").join(parent, "id", "left").join(at_run, "parent", "left").select(
-        "id", "kind", "parent", F.coalesce("at_run", F.lit(False)).alias("at_run"))
+    # Grouped by the id alone, so that the join with the parents needs no further shuffle; an id is one node.
+    kinds = nodes.groupBy("id").agg(F.min("kind").alias("kind"))
+    at_run = kinds.where("kind = 'run'").select(F.col("id").alias("parent"), F.lit(True).alias("at_run"))
+    ways = kinds.where("kind <> 'run'").join(parent, "id", "left").join(at_run, "parent", "left")
     # A way ends at a run, or at a node that has no parent: then its target is NULL.
-    start = ways.select("id", F.col("parent").alias("target"), (F.col("parent").isNull() | F.col("at_run")).alias("ended"), F.lit(1).cast("long").alias("hops"))
+    start = ways.select("id", F.col("parent").alias("target"), (F.col("parent").isNull() | F.col("at_run").isNotNull()).alias("ended"), F.lit(1).cast("long").alias("hops"), "kind")
     done = jumped(start, {"hops": F.col("hops") + F.col("hops_up")})
-    out = kinds.where("kind <> 'run'").join(done, "id").select("id", "kind", F.when(F.col("ended"), F.col("target")).alias("run"), (F.col("hops") + 2).alias("depth"))
-    out = out.unionByName(kinds.where("kind = 'run'").select("id", "kind", F.col("id").alias("run"), F.lit(2).cast("long").alias("depth")))
+    out = done.select("id", "kind", F.when(F.col("ended"), F.col("target")).alias("run"), (F.col("hops") + 2).alias("depth"))
+    out = out.unionByName(nodes.where("kind = 'run'").select("id", "kind").distinct().select("id", "kind", F.col("id").alias("run"), F.lit(2).cast("long").alias("depth")))
     lost = F.when(F.col("run").isNull(), F.least("depth", F.lit(max_depth).cast("long"))).otherwise(F.col("depth"))
     depth = F.when(F.col("kind") == "agent", 0).when(F.col("kind") == "change", 1).otherwise(lost)
     return out.withColumn("depth", depth.cast("int"))
@@ -254,7 +272,7 @@ def card_partition(nodes: DataFrame, parent: DataFrame, expanded: DataFrame | No
     node above that isn't expanded. Nodes whose way up never ends are cards with the ``reason`` ``unreached``.
     """
     opened = (nodes.select("id").limit(0) if expanded is None else expanded.select("id")).distinct().withColumn("open", F.lit(True))
-    base = settle(nodes.select("id", "kind").distinct().join(parent, "id", "left"))
+    base = _kept(nodes.select("id", "kind").distinct().join(parent, "id", "left"), "cards")
     known = base.select(F.col("id").alias("parent"), (F.col("kind").isin(*GROUPABLE) & F.col("parent").isNotNull()).alias("on"))
     none = F.lit(None).cast("string")
     foldable = base.where(F.col("kind").isin(*GROUPABLE)).join(known, "parent").join(opened.withColumnRenamed("id", "parent"), "parent", "left")

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from evidmill.functions import endpoints
 from evidmill.operators import graph, remote, rollup
 from evidmill.plans.binding import Spine, with_spine
-from evidmill.session import settle
 
 TABLES = ("runs", "agent_blocks", "changes", "invocations", "worker_events", "artifacts", "targets", "actions",
           "cache_events", "failures")
@@ -27,7 +26,7 @@ def _override(s: Spine, nodes):
 
 def _parents(s: Spine):
     nodes, edges = _graph(s)
-    nodes = settle(nodes.select("id", "kind"))
+    nodes = graph.settled_ids(nodes)
     return nodes, graph.parents(nodes, edges, _override(s, nodes))
 
 
