@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
 from evidmill.functions.digests import stable_id
+from evidmill.sources.key_index import KeyIndex, Lookup
 
 SCHEMA_VERSION = 4
 # Columns every table has, and the own columns of each.
@@ -103,15 +104,20 @@ def new_rows(incoming: DataFrame, existing: DataFrame, order: list[str]) -> Data
     return first_writes(incoming, order).join(existing.select("stable_key"), "stable_key", "left_anti")
 
 
-def upsert(incoming: DataFrame, root: str, table: str, order: list[str] | None = None) -> None:
-    """Append what is new. ``order`` names extra arrival columns, dropped on write."""
+def upsert(incoming: DataFrame, root: str, table: str, order: list[str] | None = None) -> Lookup:
+    """Append what is new. ``order`` names extra arrival columns, dropped on write.
+
+    What is stored is told by the table's key index: files that a batch reads don't grow with the table. One writer at a time.
+    """
     spark = incoming.sparkSession
     order = order or ["created_at", "id"]
     extra = [c for c in order if c not in SCHEMAS[table].names]
-    stored = spark.read.schema(SCHEMAS[table]).parquet(f"{root}/{table}")
     ready = conform(incoming.drop(*extra), table) if not extra else incoming
-    fresh = new_rows(ready, stored, order)
-    conform(fresh.drop(*extra), table).write.mode("append").parquet(f"{root}/{table}")
+    index = KeyIndex(spark, root, table)
+    version, generation = index.ready()
+    found = index.lookup(first_writes(ready, order), version, generation)
+    index.append(conform(found.fresh.drop(*extra), table), version, generation)
+    return found
 
 
 def finalize_runs(runs: DataFrame, results: DataFrame) -> DataFrame:
