@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from evidmill.operators.grouping import per_group
 from evidmill.operators.rollup import newest_groups
 from evidmill.session import broadcast_if_small
+from evidmill.sources import spine
 
 
 def check_selection(keep_last: int | None = None, keep_days: int | None = None, run_groups: list | None = None) -> str:
@@ -81,6 +82,15 @@ def apply_plan(plan: DataFrame, runs: DataFrame, tables: dict[str, DataFrame]) -
     return {"runs": survivors(runs, doomed, "id"), **{n: survivors(t, doomed) for n, t in tables.items()}}
 
 
+def apply_to_dataset(spark: SparkSession, root: str, plan: DataFrame) -> str:
+    """K5: the dataset at ``root`` without the deleted groups, all twelve tables in one step (``spine.commit_tables``)."""
+    tables, reason = spine.open_or_reason(spark, root)
+    if tables is None:
+        raise ValueError(f"no dataset to apply the plan to: {reason}")
+    left = apply_plan(plan, tables["runs"], {n: t for n, t in tables.items() if n != "runs"})
+    return spine.commit_tables(spark, root, left)
+
+
 def report(plan: DataFrame, runs: DataFrame, tables: dict[str, DataFrame], dirs: DataFrame | None = None) -> DataFrame:
     """Per group disposition, rows to go per table, files and bytes.
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
 from evidmill.functions.digests import stable_id
@@ -66,26 +68,61 @@ def open_or_reason(spark: SparkSession, root: str) -> tuple[dict[str, DataFrame]
     missing. Any other fault, as of permission or network, is raised.
     """
     try:
-        meta = spark.read.schema("version int").json(f"{root}/_meta").take(1)
+        meta = _meta(spark, root)
     except AnalysisException as exc:
         if exc.getCondition() != "PATH_NOT_FOUND":
             raise
         return None, "missing"
-    if not meta:
+    if meta is None:
         return None, "empty"
-    if meta[0].version is None:
+    if meta.version is None:
         return None, "format"
-    version = meta[0].version
-    if version != SCHEMA_VERSION:
-        return None, f"schema_v{version}"
+    if meta.version != SCHEMA_VERSION:
+        return None, f"schema_v{meta.version}"
     try:
-        return {t: spark.read.schema(s).parquet(f"{root}/{t}") for t, s in SCHEMAS.items()}, None
+        return {t: spark.read.schema(s).parquet(f"{_base(root, meta)}/{t}") for t, s in SCHEMAS.items()}, None
     except AnalysisException as exc:
         if exc.getCondition() != "PATH_NOT_FOUND":
             raise
         return None, "incomplete"
 
 
+_META = "version int, generation int, folder string"
+
+
+def _meta(spark: SparkSession, root: str) -> Row | None:
+    """The valid description of a dataset: that of the last generation."""
+    rows = spark.read.schema(_META).json(f"{root}/_meta").orderBy(F.coalesce("generation", F.lit(0)).desc(), F.col("version").desc_nulls_last()).take(1)
+    return rows[0] if rows else None
+
+
+def _base(root: str, meta: Row | None) -> str:
+    return f"{root}/{meta.folder}" if meta and meta.folder else root
+
+
+def tables_root(spark: SparkSession, root: str) -> str:
+    """The folder that holds the tables of the valid generation."""
+    return _base(root, _meta(spark, root))
+
+
+def commit_tables(spark: SparkSession, root: str, tables: dict[str, DataFrame]) -> str:
+    """K5: all tables of a dataset replaced at once, in two phases; returns the folder of the new generation.
+
+    Every table is written below a new folder first. One row appended to the description then makes it the valid one, so a stop at
+    any point leaves the old tables or the new ones, never some of each. Older generations stay until they are removed by hand.
+    """
+    meta = _meta(spark, root)
+    generation = (meta.generation or 0) + 1
+    folder = f"_generation-{generation}-{uuid.uuid4().hex[:8]}"
+    missing = sorted(set(SCHEMAS) - set(tables))
+    if missing:
+        raise ValueError(f"tables are missing: {', '.join(missing)}")
+    for table in SCHEMAS:
+        conform(tables[table], table).write.parquet(f"{root}/{folder}/{table}")
+    spark.createDataFrame([(SCHEMA_VERSION, generation, folder)], _META).coalesce(1).write.mode("append").json(f"{root}/_meta")
+    return f"{root}/{folder}"
+
+
 def create(spark: SparkSession, root: str) -> None:
     """An empty dataset of the current version."""
     for table, schema in SCHEMAS.items():
@@ -113,7 +150,7 @@ def upsert(incoming: DataFrame, root: str, table: str, order: list[str] | None =
     order = order or ["created_at", "id"]
     extra = [c for c in order if c not in SCHEMAS[table].names]
     ready = conform(incoming.drop(*extra), table) if not extra else incoming
-    index = KeyIndex(spark, root, table)
+    index = KeyIndex(spark, tables_root(spark, root), table)
     version, generation = index.ready()
     found = index.lookup(first_writes(ready, order), version, generation)
     index.append(conform(found.fresh.drop(*extra), table), version, generation)
