@@ -12,7 +12,7 @@ from evidmill.plans.binding import Spine, with_spine
 
 MIX_ORDER = (*SOURCE_KINDS, "unknown")
 LANES = ("run", "invocation", "target", "action", "cache_event", "failure", "artifact")
-COUNTED = ("artifacts", "targets", "actions", "cache_events", "failures")
+COUNTED = ("artifacts", "targets", "actions", "cache_events", "failures", "changes", "invocations")
 
 
 def _tables(s: Spine) -> dict:

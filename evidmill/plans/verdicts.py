@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from evidmill.operators import graph, remote, report, retention, rollup, verdict, verify
@@ -100,6 +102,13 @@ def _envelopes(s: Spine):
                                  d.select(F.col("doc_id").alias("key"), F.sha2("text", 256).alias("digest")))
 
 
+def _surviving(s: Spine):
+    """Rows of every table that stay."""
+    left = retention.apply_plan(retention.keep_last(_index(s), 700), s.runs, _tables(s))
+    parts = [df.agg(F.lit(name).alias("part"), F.count("*").alias("n")) for name, df in left.items()]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 QUERIES = {
     "D1_log_classification": lambda s: _classified(s).select("run_group", "classification", "referenced", F.concat_ws("|", "matched_signatures").alias("signatures")),
     "D2_S4_L2_log_sections": lambda s: verdict.log_excerpts(_logs(s)).select("run_group", "log_name", "section"),
@@ -121,8 +130,7 @@ QUERIES = {
             F.concat(F.when(F.col("doc_id") % 3 == 0, "/other/").when(F.col("doc_id") % 3 == 1, "/ev/").otherwise("rel/"), "source").alias("path")), "/ev"),
     "K5_A23_J16_report": lambda s: _retained(s).select("run_group", "disposition", "run_count", "rows", "files", "bytes"),
     "K5_totals": lambda s: retention.totals(_retained(s)),
-    "J17_survivors": lambda s: retention.apply_plan(retention.keep_last(_index(s), 700), s.runs, {"cache_events": s.cache_events})["cache_events"].groupBy(
-        "event_kind").agg(F.count("*").alias("n")),
+    "J17_survivors": lambda s: _surviving(s),
     "A14_blocks": lambda s: _blocks(s).drop("ordinal", "metrics"),
     "A14_block_metrics": lambda s: _blocks(s).where("metrics <> '{}'").select("run_group", "block_id", "metrics"),
     "A20_block_mix": lambda s: rollup.block_mix(_blocks(s), ["run_group"]),
@@ -202,7 +210,8 @@ ORACLES = {
     "K4_outside_root": with_spine("runs", body=f"WITH {_KEEP} SELECT doc_id % 1500 AS run_group, count(*) AS stray_paths FROM documents WHERE doc_id % 3 = 0 AND doc_id % 1500 IN (SELECT run_group FROM plan WHERE disposition = 'delete') GROUP BY 1"),
     "K5_A23_J16_report": with_spine("runs", *COUNTED, body=_REP + " SELECT * FROM rep"),
     "K5_totals": with_spine("runs", *COUNTED, body=_REP + " SELECT disposition, count(*) AS groups, sum(run_count)::BIGINT AS runs, sum(rows)::BIGINT AS rows, sum(files)::BIGINT AS files, sum(bytes)::BIGINT AS bytes FROM rep GROUP BY 1"),
-    "J17_survivors": with_spine("runs", "cache_events", body=f"WITH {_KEEP} SELECT event_kind, count(*) AS n FROM cache_events c JOIN runs r ON r.id = c.run_id WHERE r.run_group NOT IN (SELECT run_group FROM plan WHERE disposition = 'delete') GROUP BY 1"),
+    "J17_survivors": with_spine("runs", *COUNTED, body=f"WITH {_KEEP}, left_runs AS (SELECT id FROM runs WHERE run_group NOT IN (SELECT run_group FROM plan WHERE disposition = 'delete'))" + " UNION ALL ".join(
+        [" SELECT 'runs' AS part, count(*) AS n FROM left_runs", *[f" SELECT '{t}', count(*) FROM {t} c JOIN left_runs r ON r.id = c.run_id" for t in COUNTED]])),
     "A14_blocks": with_spine(*_BT, body=_BLOCKS + " SELECT * FROM blocks"),
     "A20_block_mix": with_spine(*_BT, body=_BLOCKS + """ SELECT run_group, count(*) AS total, count(*) FILTER (WHERE source_kind = 'collectable_v1') AS recorded, count(*) FILTER (WHERE source_kind = 'derived_v1') AS computed,
  count(*) FILTER (WHERE source_kind = 'simulated_v1') AS simulated, count(*) FILTER (WHERE source_kind = 'future') AS not_collected, 0 AS unknown FROM blocks GROUP BY 1"""),
