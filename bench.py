@@ -12,7 +12,7 @@ HEADLINE = (
     "A10_ordered_refs", "A12_run_history", "A13_packet_counts", "A17_remote_metrics", "C1_C2_C3_C4_C6_compare", "C5_J6_status_deltas",
     "T1_event_stream", "T3_chapter_members", "T4_chapters", "T6_hourly_histogram", "G7_graph_summary", "G3_G4_run_attribution",
     "V1_V2_V3_V4_J7_J8_verdicts", "V6_J9_change_evidence", "E1_E2_targets", "E3_actions", "E6_E7_S2_cache_events",
-    "E9_E10_E11_F3_build_facts", "R1_R2_R5_R6_R7_findings", "R8_json_findings", "D3_D4_verdicts", "K5_A23_J16_report", "A14_blocks",
+    "E9_E10_E11_F3_build_facts", "R1_R2_R5_R6_R7_findings", "R8_json_findings", "R8_json_rewrite", "G5_card_partition", "W2_streamed_chapters", "D3_D4_verdicts", "K5_A23_J16_report", "A14_blocks",
 )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evidmill.functions import detectors as dt, paths
+from evidmill.functions import detectors as dt, json_spans, paths
 from evidmill.operators import redact
 from evidmill.plans.binding import Spine
 
@@ -25,6 +25,20 @@ def _json_docs(s: Spine):
     return c.select((F.col("conv_id") * 100 + F.col("turn")).alias("doc"), doc.alias("json"))
 
 
+def _stored(s: Spine):
+    """Turns as stored rows: every other payload is JSON, the rest is the text as it came."""
+    c = s.table("conversations")
+    return c.select("conv_id", "turn", F.when(F.col("turn") % 2 == 0, F.to_json(F.struct("role", "text"))).otherwise(F.col("text")).alias("payload"))
+
+
+def _nested(s: Spine):
+    """Whole texts inside JSON written by hand: keys with dots and repeated keys, numbers and spaces that a rewrite must keep."""
+    d = s.table("documents").where("text IS NOT NULL")
+    escaped = F.substring(F.to_json(F.struct("text")), F.lit(9), F.lit(1 << 30))  # the string literal, and the closing brace
+    literal = F.substring(escaped, F.lit(1), F.length(escaped) - 1)
+    return d.select("doc_id", F.concat(F.lit('{"a.b" : '), literal, F.lit(', "a": {"b": "clean"}, "n": [1.50, 1e3], "k":"x", "k": ['), literal, F.lit("]}")).alias("json"))
+
+
 def _paths(s: Spine):
     d = s.table("documents")
     return d.select("doc_id", F.concat(
@@ -48,6 +62,10 @@ QUERIES = {
         "doc", F.get_json_object("redacted", "$.payload.items[0].note").alias("note"),
         F.get_json_object("redacted", "$.redaction_state").alias("outer_state"),
         F.get_json_object("redacted", "$.payload.items[0].redaction_state").alias("inner_state")),
+    "F11_tolerant_parse": lambda s: json_spans.decoded_rows(_stored(s)).select(
+        "conv_id", "turn", F.schema_of_variant("payload").startswith("OBJECT").alias("is_object"), F.try_variant_get("payload", "$.role", "string").alias("role"),
+        F.sha2(F.coalesce(F.try_variant_get("payload", "$.text", "string"), F.try_variant_get("payload", "$", "string")), 256).alias("sha256")),
+    "R8_nested_rewrite": lambda s: redact.rewrite_json(_nested(s), "doc_id", "json").select("doc_id", F.sha2("redacted", 256).alias("sha256")),
     "R3_R11_scrubbed_paths": lambda s: _paths(s).select("doc_id", paths.scrub_local_paths(F.col("t")).alias("scrubbed")),
     "R12_stripped_reports": lambda s: s.table("documents").select(
         "doc_id", paths.strip_prompts(F.concat(F.lit('{"raw_prompt": "'), F.col("source"), F.lit('", "at": "/home/'), F.col("lang"), F.lit('/x"}'))).alias("t")),
@@ -64,6 +82,7 @@ _EMAIL = _BY_NAME["email"]
 _COUNT = "len(regexp_extract_all(text, '{p}'))"
 
 ORACLES = {
+    "F11_tolerant_parse": """SELECT conv_id, turn, turn % 2 = 0 AS is_object, CASE WHEN turn % 2 = 0 THEN role END AS role, sha256(text) AS sha256 FROM conversations""",
     "R1_R4_native_counts": _TEXTS + " SELECT id, " + ", ".join(
         _COUNT.format(p=_BY_NAME[n].replace("'", "''").replace(r"\x1c-\x1f", "")) + f" AS {n}" for n in ("home_path", "private_key_pem", "gitlab_pat", "slack_token", "email")) + " FROM t",
     "R4_ipv4_counts": _TEXTS + rf""", q AS (SELECT part, unnest(regexp_extract_all(text, '(?:^|[^0-9.])({_BY_NAME["ipv4"][len("(?<![0-9.])"):-len("(?![0-9.])")]})(?:$|[^0-9.])', 1)) AS ip FROM t)
