@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
@@ -335,3 +337,20 @@ def run_ordinal(runs: DataFrame, prefix: int = 16) -> DataFrame:
         .join(base, ["run_group", "_day"])
         .select("run_group", "id", (F.col("_base") + F.col("_at")).alias("ordinal"))
     )
+
+
+def resolve_targets(rows: DataFrame, targets: DataFrame, label: str = "label") -> DataFrame:
+    """``rows`` with ``target_id`` by (run_id, label); NULL where there is no label or no such target.
+
+    Rows without a label stay out of the join, so they are no hot key. Of targets with one label the smallest id counts.
+    """
+    known = targets.where("label IS NOT NULL").groupBy("run_id", F.col("label").alias("_label")).agg(F.min("id").alias("target_id"))
+    named = rows.where(F.col(label).isNotNull()).withColumn("_label", F.col(label)).join(known, ["run_id", "_label"], "left").select(rows.columns + ["target_id"])
+    bare = rows.where(F.col(label).isNull()).withColumn("target_id", F.lit(None).cast(known.schema["target_id"].dataType))
+    return named.unionByName(bare)
+
+
+def bundle_counts(lists: dict[str, DataFrame]) -> DataFrame:
+    """``run_id, list, n``: records per run and extracted list, repeats counted; a list that has none for a run gives no row."""
+    parts = [df.groupBy("run_id").agg(F.count("*").alias("n")).select("run_id", F.lit(name).alias("list"), "n") for name, df in lists.items()]
+    return reduce(lambda a, b: a.unionByName(b), parts)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evidmill.operators import extract, receipts, verify
+from evidmill.operators import extract, receipts, rollup, verify
 from evidmill.plans import evidence
 from evidmill.plans.binding import Spine, with_spine
 from evidmill.plans.evidence import LABEL, LINE_AT
@@ -69,6 +69,14 @@ def _tool_blocks(s: Spine):
         F.min("run_id").alias("first_run"))
 
 
+def _bundles(s: Spine):
+    """All five lists of an ingest."""
+    events = evidence.build_events(s)
+    return rollup.bundle_counts({
+        "targets": extract.extract_targets(events), "actions": extract.extract_actions(events), "failures": extract.extract_failures(events),
+        "artifact_references": extract.extract_references(events), "cache_events": extract.extract_cache_events(evidence.parsed(evidence.exec_lines(s)))})
+
+
 def _forbidden(s: Spine):
     doc = F.to_json(F.struct(
         F.struct(F.array(F.struct(F.when(F.col("turn") % 2 == 0, F.col("text")).alias("prompt"), F.lit(1).alias("n"))).alias("items")).alias("outer"),
@@ -84,6 +92,7 @@ QUERIES = {
     "E5_F6_references": lambda s: extract.extract_references(evidence.build_events(s)).select(
         "run_id", "reference_key", "uri", "contents", "declared_digest", "declared_size"),
     "E6_E7_S2_cache_events": lambda s: extract.extract_cache_events(evidence.parsed(evidence.exec_lines(s))).drop("event_index"),
+    "A24_bundle_lists": lambda s: _bundles(s),
     "A24_bundle_counts": lambda s: extract.extract_cache_events(evidence.parsed(evidence.exec_lines(s))).groupBy("run_id").agg(
         F.count("*").alias("events"), F.count_distinct("event_key").alias("keys")),
     "E8_profile_events": lambda s: extract.extract_profile_events(evidence.parsed(evidence.trace_lines(s))).drop("event_index"),
@@ -199,3 +208,7 @@ ORACLES = {
     "E28_command_failures": with_spine("invocations", body="SELECT run_id, id AS command, 'command exited with code 1' AS message FROM invocations WHERE exit_code = 1"),
     "E25_first_code_block": "SELECT doc_id, sha256(concat(text, chr(10))) AS code FROM documents",
 }
+
+ORACLES["A24_bundle_lists"] = " UNION ALL ".join(
+    f"SELECT run_id, '{name}' AS list, count(*) AS n FROM ({ORACLES[query]}) {name} GROUP BY 1"
+    for name, query in (("targets", "E1_E2_targets"), ("actions", "E3_actions"), ("failures", "E4_failures"), ("artifact_references", "E5_F6_references"), ("cache_events", "E6_E7_S2_cache_events")))

@@ -67,6 +67,14 @@ def _ledger(s: Spine):
     )
 
 
+def _labelled(s: Spine):
+    """Recorded lines with the label they name: some without one, some with one that the run doesn't have."""
+    label = F.concat(F.lit("//"), F.coalesce("p_brand", F.lit("none")), F.lit(":"), F.col("l_partkey").cast("string"))
+    rows = s.table("lineitem").join(s.table("part"), F.col("p_partkey") == F.col("l_partkey"), "left")
+    return rows.select(F.col("l_orderkey").alias("run_id"), F.col("l_linenumber").alias("line"),
+                       F.when(F.col("l_linenumber") % 7 == 6, F.concat(label, F.lit("_x"))).when(F.col("l_linenumber") % 7 < 6, F.when(F.col("l_linenumber") != 5, label)).alias("label"))
+
+
 QUERIES = {
     "S10_child_rows_of_runs": lambda s: rollup.scan_of_runs(
         s.cache_events, s.runs.where("mode = 'remote'")
@@ -74,9 +82,10 @@ QUERIES = {
     "S11_runs_of_group": lambda s: rollup.run_scan(s.runs, 1).select("id", "scenario", "status", "started_at"),
     "J1_semi_join_rows": lambda s: rollup.scan_of_runs(s.failures, s.runs.where("status = 'failed'")).groupBy(
         "failure_kind").agg(F.count("*").alias("n")),
-    "J2_resolve_targets": lambda s: s.actions.select("run_id", F.col("id").alias("action"), "target_id").join(
+    "J2_failed_target_labels": lambda s: s.actions.select("run_id", F.col("id").alias("action"), "target_id").join(
         s.targets.where("status = 'FAILED'").select(F.col("run_id"), F.col("id").alias("target_id"), "label"),
         ["run_id", "target_id"], "left").select("action", "label"),
+    "J2_resolve_targets": lambda s: rollup.resolve_targets(_labelled(s), s.targets).select("run_id", "line", "label", "target_id"),
     "A1_run_status_counts": lambda s: rollup.status_counts(s.runs, None, rollup.status_key()),
     "A1_action_status_counts": lambda s: rollup.status_counts(s.runs, s.actions, rollup.status_key()),
     "A1_cache_status_counts": lambda s: rollup.status_counts(s.runs, s.cache_events, rollup.status_key(None, "event_kind")),
@@ -166,8 +175,11 @@ ORACLES = {
     "S11_runs_of_group": with_spine("runs", body="SELECT id, scenario, status, started_at FROM runs WHERE run_group = 1"),
     "J1_semi_join_rows": with_spine("runs", "failures", body=
         "SELECT failure_kind, count(*) AS n FROM failures WHERE run_id IN (SELECT id FROM runs WHERE status = 'failed') GROUP BY 1"),
-    "J2_resolve_targets": with_spine("actions", "targets", body=
+    "J2_failed_target_labels": with_spine("actions", "targets", body=
         "SELECT a.id AS action, t.label FROM actions a LEFT JOIN targets t ON t.run_id = a.run_id AND t.id = a.target_id AND t.status = 'FAILED'"),
+    "J2_resolve_targets": with_spine("targets", body="""WITH r AS (SELECT l_orderkey AS run_id, l_linenumber AS line, concat('//', coalesce(p_brand, 'none'), ':', l_partkey) AS l FROM lineitem LEFT JOIN part ON p_partkey = l_partkey),
+ n AS (SELECT run_id, line, CASE WHEN line % 7 = 6 THEN concat(l, '_x') WHEN line % 7 < 6 AND line <> 5 THEN l END AS label FROM r)
+ SELECT n.run_id, line, n.label, t.id AS target_id FROM n LEFT JOIN (SELECT run_id, label, min(id) AS id FROM targets GROUP BY 1, 2) t ON t.run_id = n.run_id AND t.label = n.label"""),
     "A1_run_status_counts": with_spine("runs", body="SELECT run_group, coalesce(status, 'unknown') AS status, count(*) AS n FROM runs GROUP BY ALL"),
     "A1_action_status_counts": with_spine("runs", "actions", body=_STATUS.format(key="coalesce(c.status, 'unknown')", t="actions")),
     "A1_cache_status_counts": with_spine("runs", "cache_events", body=_STATUS.format(key="coalesce(c.event_kind, 'unknown')", t="cache_events")),

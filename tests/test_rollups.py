@@ -84,3 +84,10 @@ def test_status_tone(spark, text, tone):
 def test_duration_labels(spark):
     df = spark.createDataFrame([(5.44,), (0.0,), (123.4,), (90.0,), (-1.0,)], "s double")
     assert [r[0] for r in df.select(labels.duration_label(F.col("s"))).collect()] == ["5.4s", "0.0s", "2m 3s", "1m 30s", None]
+
+
+def test_targets_by_label(spark):
+    rows = spark.createDataFrame([(1, "//a"), (1, "//b"), (2, "//a"), (1, None), (None, "//a")], "run_id int, label string")
+    targets = spark.createDataFrame([("t2", 1, "//a"), ("t1", 1, "//a"), ("t3", 2, "//c"), ("t4", 1, None)], "id string, run_id int, label string")
+    got = {(r.run_id, r.label): r.target_id for r in rollup.resolve_targets(rows, targets).collect()}
+    assert got == {(1, "//a"): "t1", (1, "//b"): None, (2, "//a"): None, (1, None): None, (None, "//a"): None}
