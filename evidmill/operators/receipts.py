@@ -116,6 +116,11 @@ def normalize_c(events: DataFrame) -> DataFrame:
     )
 
 
+def parsed_calls(events: DataFrame) -> DataFrame:
+    """``call_id, parsed``: whether any line of a call was an event."""
+    return events.groupBy("call_id").agg(F.bool_or(F.col("event").isNotNull()).alias("parsed"))
+
+
 # Result family by name; a new family is one more entry.
 FAMILIES = {"claude": normalize_a, "gemini": normalize_b, "codex": normalize_c}
 

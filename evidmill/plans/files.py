@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evidmill.operators import extract, redact, rollup
+from evidmill.operators import extract, receipts, redact, rollup
 from evidmill.plans import evidence
 from evidmill.plans.binding import Spine, with_spine
 from evidmill.session import scratch_path
@@ -193,6 +193,18 @@ def _tree_kinds(s: Spine):
     return rows.groupBy(F.regexp_extract("path", "/(text|json|database|binary)/[a-z]+=", 1).alias("folder"), "kind").agg(F.count("*").alias("files"), F.sum(F.length("text")).alias("chars"))
 
 
+def _agent_event_files(s: Spine):
+    """Logs of calls, one file each; some lines are no JSON, some logs have no other ones."""
+    path = scratch_path(s.spark, "calls")
+    c = s.table("conversations").withColumn("call", F.col("conv_id") % 50)
+    line = F.when((F.col("call") % 7 == 3) | (F.col("turn") == 1), F.concat(F.lit("no json "), "role")).otherwise(F.to_json(F.struct(F.lit("turn.completed").alias("type"), F.struct(F.col("turn").alias("output_tokens")).alias("usage"))))
+    c.select("call", "conv_id", "turn", line.alias("value")).repartition("call").sortWithinPartitions("call", "conv_id", "turn").select("call", "value").write.partitionBy("call").text(path)
+    events = src.read_agent_events(s.spark, path)
+    told = receipts.normalize_c(events).join(receipts.parsed_calls(events), "call_id")
+    status = receipts.call_status(F.col("parsed"), F.col("is_error"), F.lit(0), F.col("api_error_status"), F.col("api_error_code"))
+    return told.select(F.regexp_extract("call_id", "call=([0-9]+)", 1).cast("long").alias("call"), status.alias("status"), "num_turns", "output_tokens")
+
+
 def _discovered(s: Spine):
     root = scratch_path(s.spark, "sources")
     for source in [r.source for r in s.table("documents").where("source IS NOT NULL").select("source").distinct().orderBy("source").collect()]:  # as many as there are sources
@@ -206,6 +218,7 @@ QUERIES = {
     "S2_exec_log_files": _execs_from_files,
     "S4_log_files": _logs_from_files,
     "S3_profile_rows": _profile_rows,
+    "S5_agent_event_files": _agent_event_files,
     "S7_manifest_rows": _manifest_rows,
     "S8_file_inventory": _inventory,
     "S9_tree_kinds": _tree_kinds,
@@ -229,6 +242,8 @@ ORACLES = {
     "S4_log_files": """SELECT source, sum(len(string_split(text, chr(10))))::BIGINT AS lines, sum(length(replace(text, chr(10), '')))::BIGINT AS chars FROM documents GROUP BY 1""",
     "S3_profile_rows": """WITH r AS (SELECT concat('}{ ', l_linenumber) AS name, l_orderkey AS ts, 1 + row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber) AS place FROM lineitem)
  SELECT name, count(*) AS n, sum(place)::BIGINT AS places, sum(ts)::BIGINT AS ts FROM r GROUP BY 1""",
+    "S5_agent_event_files": """SELECT conv_id % 50 AS call, CASE WHEN conv_id % 50 % 7 = 3 THEN 'invalid_output' ELSE 'success' END AS status,
+ nullif(count(*) FILTER (WHERE conv_id % 50 % 7 <> 3 AND turn <> 1), 0) AS num_turns, (sum(turn) FILTER (WHERE conv_id % 50 % 7 <> 3 AND turn <> 1))::BIGINT AS output_tokens FROM conversations GROUP BY 1, 2""",
     "S7_manifest_rows": "SELECT concat('a]}', p_partkey) AS artifact_key, p_partkey AS size_bytes, p_name AS path FROM part",
     "S8_file_inventory": """WITH t AS (SELECT source, string_agg(concat(text, chr(10)), '' ORDER BY doc_id) AS t FROM documents GROUP BY 1) SELECT source, octet_length(encode(t)) AS size, sha256(t) AS sha256 FROM t""",
     "S9_tree_kinds": """WITH d AS (SELECT source, sum(length(text) + 1)::BIGINT AS chars FROM documents GROUP BY 1), j AS (SELECT lang, length(concat('{"n":', count(*), ',"last":', max(doc_id), '}')) + 1 AS chars FROM documents WHERE text IS NOT NULL GROUP BY 1)
