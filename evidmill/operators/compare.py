@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from evidmill.functions.labels import hash_prefix
@@ -67,6 +69,27 @@ def compare_groups(pairs: DataFrame, facts: DataFrame) -> DataFrame:
     )
 
 
+def facts_of_sources(sources: dict[str, dict[str, DataFrame]]) -> DataFrame:
+    """``group_facts`` of several datasets, one below the other, with the ``source`` each group is from."""
+    names = ("runs", "cache_events", "worker_events", "agent_blocks")
+    parts = [group_facts(*[tables[n] for n in names]).withColumn("source", F.lit(source)) for source, tables in sources.items()]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def compare_sources(pairs: DataFrame, facts: DataFrame) -> DataFrame:
+    """Group A of source X against group B of source Y.
+
+    ``pairs``: left_source, left_group, right_source, right_group; ``facts``: those of ``facts_of_sources``. Groups of one name in
+    two sources are two groups.
+    """
+    name = lambda source, group: F.struct(F.col(source).alias("source"), F.col(group).alias("run_group"))
+    keyed = facts.withColumn("run_group", name("source", "run_group")).drop("source")
+    asked = pairs.select(name("left_source", "left_group").alias("left_group"), name("right_source", "right_group").alias("right_group"))
+    out = compare_groups(asked, keyed)
+    sides = [F.col(f"{side}_group.{field}").alias(f"{side}_{label}") for side in ("left", "right") for field, label in (("source", "source"), ("run_group", "group"))]
+    return out.select(*sides, *[c for c in out.columns if c not in ("left_group", "right_group")])
+
+
 def agent_summaries(runs: DataFrame, agent_blocks: DataFrame) -> DataFrame:
     """C4: hash-level summary rows of the agent blocks of each group."""
     return agent_blocks.join(runs.select(F.col("id").alias("run_id"), "run_group"), "run_id").select(

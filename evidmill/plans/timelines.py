@@ -70,6 +70,14 @@ def _facts(s: Spine):
     return compare.group_facts(s.runs, s.cache_events, s.worker_events, s.agent_blocks)
 
 
+def _across(s: Spine):
+    """Each group of the dataset against the next newer one of a second dataset, which holds hits only and has seen no worker."""
+    first = {n: getattr(s, n) for n in _CMP_TABLES}
+    second = {**first, "cache_events": s.cache_events.where("hit"), "worker_events": s.worker_events.limit(0)}
+    pairs = _pairs(s).select(F.lit("x").alias("left_source"), "left_group", F.lit("y").alias("right_source"), "right_group")
+    return compare.compare_sources(pairs, compare.facts_of_sources({"x": first, "y": second}))
+
+
 def _compared(s: Spine):
     return compare.compare_groups(_pairs(s), _facts(s))
 
@@ -98,6 +106,7 @@ QUERIES = {
     "C1_C2_C3_C4_C6_compare": _compared,
     "C4_agent_summaries": lambda s: compare.agent_summaries(s.runs, s.agent_blocks),
     "C5_J6_status_deltas": lambda s: compare.status_deltas(_pairs(s), s.runs),
+    "C6_across_sources": _across,
     "C6_adjacent_pairs": _pairs,
     "C7_missing_sides": lambda s: compare.missing_sides(
         s.table("customer").select(F.col("c_custkey").alias("left_group"), (F.col("c_custkey") + 3).alias("right_group")), s.runs),
@@ -146,7 +155,12 @@ _COMPARED = f"""WITH {_PAIRS}, {_FACTS},
 """
 _CMP_TABLES = ("runs", "cache_events", "worker_events", "agent_blocks")
 
+_SECOND_FACTS = _FACTS.replace(" cm AS", " cm2 AS").replace(" facts AS", " facts2 AS").replace("JOIN cm USING", "JOIN cm2 USING").replace(
+    "LEFT JOIN cache_events c ON", "LEFT JOIN (SELECT * FROM cache_events WHERE hit) c ON").replace("FROM worker_events)", "FROM worker_events WHERE false)")
+
 ORACLES = {
+    "C6_across_sources": with_spine(*_CMP_TABLES, body=_COMPARED.replace(_FACTS, _FACTS + "," + _SECOND_FACTS).replace("JOIN facts r ON", "JOIN facts2 r ON")
+                                    + "SELECT 'x' AS left_source, 'y' AS right_source, * FROM compared"),
     "T1_event_stream": with_spine("timeline", body=f"WITH {_STREAM} SELECT index, ts, kind, source, run_group, status, next_action FROM stream"),
     "T2_lineage": with_spine("timeline", body=f"WITH {_STREAM} SELECT lineage, count(*) AS n FROM stream GROUP BY 1"),
     "T3_chapter_members": with_spine("timeline", body=_MEMBERS + "SELECT lineage, chapter_start, index, kind, closes FROM members"),

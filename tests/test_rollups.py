@@ -91,3 +91,13 @@ def test_targets_by_label(spark):
     targets = spark.createDataFrame([("t2", 1, "//a"), ("t1", 1, "//a"), ("t3", 2, "//c"), ("t4", 1, None)], "id string, run_id int, label string")
     got = {(r.run_id, r.label): r.target_id for r in rollup.resolve_targets(rows, targets).collect()}
     assert got == {(1, "//a"): "t1", (1, "//b"): None, (2, "//a"): None, (1, None): None, (None, "//a"): None}
+
+
+def test_groups_of_one_name_in_two_sources(spark):
+    from evidmill.operators import compare
+
+    fact = "source string, run_group string, runs int, hits int, misses int, unknown int, hit_rate double, worker_seen boolean, agent_blocks int"
+    facts = spark.createDataFrame([("x", "g", 1, 5, 0, 0, 1.0, True, 0), ("y", "g", 3, 2, 0, 0, 1.0, False, 2)], fact)
+    pairs = spark.createDataFrame([("x", "g", "y", "g"), ("x", "g", "y", "none")], "left_source string, left_group string, right_source string, right_group string")
+    got = [r.asDict() for r in compare.compare_sources(pairs, facts).collect()]
+    assert len(got) == 1 and (got[0]["left_source"], got[0]["right_source"], got[0]["delta_runs"], got[0]["delta_hits"], got[0]["worker_changed"], got[0]["agent_presence_changed"]) == ("x", "y", 2, -3, True, True)
