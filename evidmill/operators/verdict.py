@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from evidmill.functions.truth import quad_partials, weakest_confidence
 from evidmill.operators.grouping import per_group
 from evidmill.operators.redact import scan
-from evidmill.operators.rollup import cache_metrics
+from evidmill.operators.rollup import PRESENCE_COUNTERS, cache_metrics
 
 # Signatures of a build that died before it evaluated anything.
 TOOLCHAIN_SIGNATURES = (
@@ -128,6 +128,67 @@ def verdicts(
     )
 
 
+def failure_rows(runs: DataFrame, failures: DataFrame, targets: DataFrame) -> DataFrame:
+    """D3: the failures of each group; ``attributed`` counts the group's failed labels (``attributed_targets``).
+
+    Every failure of a group is attributed to the same labels, so these are rows of their own and not repeated per failure.
+    """
+    labels = attributed_targets(runs, targets).groupBy("run_group").agg(F.count("*").alias("attributed"))
+    met = failures.join(runs.select(F.col("id").alias("run_id"), "run_group"), "run_id")
+    return met.join(labels, "run_group", "left").withColumn("attributed", F.coalesce("attributed", F.lit(0)))
+
+
+def attributed_targets(runs: DataFrame, targets: DataFrame) -> DataFrame:
+    """D3: distinct labels of failed targets per group."""
+    failed = targets.where(F.upper("status") == "FAILED").select("run_id", "label").distinct()
+    return failed.join(runs.select(F.col("id").alias("run_id"), "run_group"), "run_id").select("run_group", "label").distinct()
+
+
+def verdict_refs(runs: DataFrame, tables: list[DataFrame]) -> DataFrame:
+    """Distinct evidence refs of the consulted tables per group and where each was first seen; the group itself comes first.
+
+    ``tables``: in reading order, with ``run_id, created_at, id, evidence_refs``.
+    """
+    flat = [t.select("run_id", F.lit(i).alias("place"), "created_at", "id", F.posexplode("evidence_refs").alias("slot", "ref")) for i, t in enumerate(tables)]
+    per_run = reduce(lambda a, b: a.unionByName(b), flat).groupBy("run_id", "ref").agg(F.min(F.struct("place", "created_at", "id", "slot")).alias("first_seen"))
+    met = per_run.join(runs.select(F.col("id").alias("run_id"), "run_group"), "run_id").groupBy("run_group", "ref").agg(F.min("first_seen").alias("first_seen"))
+    own = F.struct(F.lit(-1).alias("place"), F.lit("").alias("created_at"), F.lit("").alias("id"), F.lit(0).alias("slot"))
+    groups = runs.select("run_group").distinct()
+    return groups.select("run_group", F.concat(F.lit("run-group:"), F.col("run_group").cast("string")).alias("ref"), own.alias("first_seen")).unionByName(met)
+
+
+def whole_verdicts(
+    verdict: DataFrame, runs: DataFrame, classified: DataFrame, logs: DataFrame, references: DataFrame, agent_blocks: DataFrame, changes: DataFrame,
+) -> DataFrame:
+    """D3: verdicts with signatures, artifact verification, provenance classes, log refs and changed paths.
+
+    ``verdict``: rows of ``verdicts``; ``classified`` (D1) and ``logs`` (``log_name``) are keyed by run_group, the others by
+    ``run_id``. ``artifact_verification`` and ``provenance`` are JSON over fixed vocabularies; failures, labels and refs, of
+    which a group can have any number, are the rows of ``failure_rows``, ``attributed_targets`` and ``verdict_refs``.
+    """
+    counters = {"total": ("sum", F.lit(1)), **{n: ("sum", (F.col("presence") == p).cast("int")) for p, n in PRESENCE_COUNTERS.items()}}
+    verified = per_group(runs, references, counters).select("run_group", F.to_json(F.struct(*counters)).alias("artifact_verification"))
+    kind = F.coalesce(F.nullif("provenance_class", F.lit("")), F.lit("unknown")).alias("k")
+    classes = agent_blocks.groupBy("run_id", kind).agg(F.count("*").alias("n")).join(runs.select(F.col("id").alias("run_id"), "run_group"), "run_id")
+    classes = classes.groupBy("run_group", "k").agg(F.sum("n").alias("n")).groupBy("run_group").agg(
+        F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "n"))))).alias("provenance"))
+    paths = changes.where("path <> ''").select("run_id", "path").distinct().join(runs.select(F.col("id").alias("run_id"), "run_group"), "run_id")
+    paths = paths.select("run_group", "path").distinct().groupBy("run_group").agg(F.count("*").alias("changed_paths"))
+    found = logs.groupBy("run_group").agg(*[F.bool_or(F.col("log_name") == n).alias(f"l{i}") for i, n in enumerate(LOG_NAMES)])
+    found = found.select("run_group", F.array_compact(F.array(*[F.when(F.col(f"l{i}"), F.lit(f"artifact:{n}")) for i, n in enumerate(LOG_NAMES)])).alias("_refs"))
+    rows = verdict
+    for df in (verified, classes, paths, found, classified.select("run_group", F.col("matched_signatures").alias("_signatures"))):
+        rows = rows.join(df, "run_group", "left")
+    none = F.array().cast("array<string>")
+    failed = F.col("status") == "failed"
+    honest = F.when(F.col("classification").isin("toolchain_failure", "unattributed_failure"), False).when(F.col("classification") == "scenario_validation_failure", True)
+    return rows.withColumns({
+        "honest_scenario_failure": honest, "matched_signatures": F.when(failed, F.coalesce("_signatures", none)).otherwise(none),
+        "failure_refs": F.when(F.col("excerpt_sha256").isNotNull(), F.col("_refs")).otherwise(none),
+        "provenance": F.coalesce("provenance", F.lit("{}")), "changed_paths": F.coalesce("changed_paths", F.lit(0)),
+    }).drop("_signatures", "_refs")
+
+
 def exit_codes(verdict: DataFrame) -> DataFrame:
     """1 unless nothing is outstanding."""
     first = F.try_element_at("next_steps", F.lit(1))

@@ -6,7 +6,7 @@ import importlib
 
 from evidmill.plans.binding import Spine
 
-MODULES = ("rollups", "timelines", "graphs", "verification", "extraction", "redaction", "verdicts", "files")
+MODULES = ("rollups", "timelines", "graphs", "verification", "extraction", "redaction", "verdicts", "packets", "files")
 
 
 def _each():
