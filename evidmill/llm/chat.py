@@ -18,7 +18,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from evidmill.llm.common import prepare, written
+from evidmill.llm.common import BROADCAST_ROWS, prepare, written
+from evidmill.operators.grouping import global_index
 
 STATES = ("start", "system", "user", "assistant")
 ROLES = STATES[1:]
@@ -176,17 +177,36 @@ def cuts(multi: DataFrame) -> DataFrame:
     return states.withColumnRenamed("_node", "_segment")
 
 
+def by_position(rows: DataFrame, crowded: DataFrame, segment: int) -> DataFrame:
+    """``rows`` with segments of the conversations in ``crowded`` cut by place in the conversation, at most ``segment`` rows each.
+
+    Turn numbers don't bound the rows of a segment where many rows share one or have none. Places come from a distributed
+    index in the order of the repair; rows that are the same in all are told apart, so they are spread too.
+    """
+    flagged = crowded.withColumn("_crowded", F.lit(True))
+    marked = rows.join(F.broadcast(flagged) if flagged.count() <= BROADCAST_ROWS else flagged, "_key", "left")
+    order = [F.col("_key"), F.col("turn").isNull(), F.col("turn"), F.col("role"), F.col("text"), F.col("_copy")]
+    placed = global_index(marked.where("_crowded").withColumn("_copy", F.monotonically_increasing_id()), order, "_row")
+    first = placed.groupBy("_key").agg(F.min("_row").alias("_first_row"))
+    first = F.broadcast(first) if flagged.count() <= BROADCAST_ROWS else first
+    cut = placed.join(first, "_key").withColumn("_segment", F.floor((F.col("_row") - F.col("_first_row")) / segment).cast("long"))
+    return marked.where("_crowded IS NULL").select(rows.columns).unionByName(cut.select(rows.columns))
+
+
 def format_turns(turns: DataFrame, segment: int = SEGMENT) -> DataFrame:
     """``conv_id, turn, role, repaired_role, action, inserted, cost, chunk``: one row per row of ``turns``.
 
     Turns of a conversation follow one another by ``turn``, absent turns last, and ties by role and text. Rows without a
-    ``conv_id`` form one conversation. Null texts are empty; null and unknown roles are relabelled. Other columns are
+    ``conv_id`` form one conversation, which is spread over tasks like any other. Null texts are empty; null and unknown roles are relabelled. Other columns are
     ignored; an empty table gives no rows.
     """
     prepare(turns.sparkSession)
     key = F.when(F.col("conv_id").isNull(), F.lit("-")).otherwise(F.concat(F.lit("c"), F.col("conv_id").cast("string")))
     rows = turns.select("conv_id", "turn", "role", "text").withColumn("_key", key)
     rows = rows.withColumn("_segment", F.coalesce(F.floor(F.col("turn") / segment).cast("long"), F.lit(1 << 60)))
+    crowded = rows.groupBy("_key", "_segment").agg(F.count("*").alias("_n")).where(F.col("_n") > segment).select("_key").distinct()
+    if not crowded.isEmpty():
+        rows = written(by_position(rows, written(crowded, "chat-crowded"), segment), "chat-placed")
     ends = rows.groupBy("_key").agg(F.min("_segment").alias("_first"), F.max("_segment").alias("_last"))
     several = ends.where("_first < _last").select("_key")
     many = not several.isEmpty()

@@ -78,6 +78,25 @@ def test_nulls_ties_clashing_columns_and_empty_table(spark):
     assert format_turns(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+@pytest.mark.parametrize("row", [("CAST(NULL AS BIGINT) AS conv_id", "id % 20 AS turn", "IF(id % 3 = 0, 'user', 'assistant') AS role", "concat('t', id) AS text"),
+                                 ("7L AS conv_id", "CAST(NULL AS BIGINT) AS turn", "'user' AS role", "'same' AS text")])
+def test_rows_without_own_ids_are_spread(spark, row):
+    from pyspark.sql import functions as F
+
+    few = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", "b")], SCHEMA)
+    turns = spark.range(40_000).selectExpr(*row)
+    # Small neighbouring partitions would be read by one task.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = format_turns(turns.unionByName(few)).withColumn("part", F.spark_partition_id())
+        out = out.select("conv_id", "turn", "repaired_role", "cost", "part").toPandas()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(out) == 40_002 and out.groupby("part").size().max() < 25_000
+    data = sorted(((r.turn, r.role, r.text) for r in turns.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1], x[2]))
+    assert out["cost"].sum() == pytest.approx(sum(r[3] for r in repair([r for _, r, _ in data], [t for _, _, t in data])))
+
+
 def test_rendering_by_hand():
     chunks = [r[4] for r in repair(["system", "user", "user", "assistant"], ["s", "a", "b", None])]
     assert "".join(chunks) == "<|im_start|>system\ns<|im_end|>\n<|im_start|>user\na\n\nb<|im_end|>\n<|im_start|>assistant\n<|im_end|>\n"
