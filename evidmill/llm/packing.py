@@ -23,21 +23,38 @@ _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _ENCODERS: dict = {}
 
 
-def byte_encoder(ranks: bytes, pattern: str):
-    """The encoder of a rank file, kept by the worker between tasks."""
+def byte_encoder(ranks: bytes, pattern: str, added: dict[str, int]):
+    """Text to ids by a rank file and ``added`` tokens, which are whole wherever they stand; kept by the worker between tasks."""
     import tiktoken
 
-    key = (zlib.crc32(ranks), pattern)
+    key = (zlib.crc32(ranks), pattern, tuple(sorted(added.items())))
     if key not in _ENCODERS:
         merge = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in ranks.splitlines() if line)}
-        _ENCODERS[key] = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=merge, special_tokens={})
-    return _ENCODERS[key]
+        _ENCODERS[key] = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=merge, special_tokens=added)
+    encoder = _ENCODERS[key]
+
+    def encode(text: str) -> list[int]:
+        return encoder.encode(text, allowed_special="all") if any(token in text for token in added) else encoder.encode_ordinary(text)
+
+    return encode
+
+
+def added_tokens(vocabulary: str) -> dict[str, int]:
+    """Added tokens of a vocabulary in JSON form, such as an end of text, with their ids. Those that also take blanks beside them are an error."""
+    import json
+
+    with open(vocabulary, encoding="utf-8") as file:
+        added = json.load(file).get("added_tokens") or []
+    if any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or t.get("normalized") for t in added):
+        raise ValueError(f"added tokens of {vocabulary} do not stand for their own text")
+    return {t["content"]: int(t["id"]) for t in added}
 
 
 def ranks_of(vocabulary: str) -> bytes:
     """The rank file of a byte-level BPE vocabulary in JSON form: byte strings with their ids, which are the ranks."""
     import json
 
+    added = added_tokens(vocabulary)
     with open(vocabulary, encoding="utf-8") as file:
         model = json.load(file)["model"]
     # Printable stand-ins of bytes: visible Latin-1 characters stand for themselves, the others follow from U+0100 on.
@@ -46,7 +63,7 @@ def ranks_of(vocabulary: str) -> bytes:
     stands.update({chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))})
     lines = []
     for token, rank in model["vocab"].items():
-        if all(c in stands for c in token):
+        if token not in added and all(c in stands for c in token):
             lines.append((rank, base64.b64encode(bytes(stands[c] for c in token))))
     return b"\n".join(token + b" " + str(rank).encode() for rank, token in sorted(lines))
 
@@ -55,14 +72,15 @@ def pieces(docs: DataFrame, vocabulary: str, pattern: str, capacity: int = CAPAC
     """Pieces of at most ``capacity`` tokens of every document: its ids and then ``end_id``.
 
     Only longer documents are cut. The first piece takes the remainder and may be shorter, all others are full. Null text
-    is empty: one piece, the end id alone. Strings of special tokens are ordinary text.
+    is empty: one piece, the end id alone. Strings of the vocabulary's added tokens get their ids.
     """
     spark = docs.sparkSession
     prepare(spark)
     ranks = spark.sparkContext.broadcast(ranks_of(vocabulary))  # the vocabulary: about 1 MB
+    added = added_tokens(vocabulary)
 
     def cut(batches):
-        encode = byte_encoder(ranks.value, pattern).encode_ordinary
+        encode = byte_encoder(ranks.value, pattern, added)
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch["doc_id"], batch["text"]):

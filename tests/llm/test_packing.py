@@ -42,7 +42,6 @@ def test_place_like_hand(lengths):
 
 def check(rows, texts, capacity):
     tokenizer = Tokenizer.from_file(VOCABULARY)
-    tokenizer.encode_special_tokens = True
     by_doc = {}
     for r in rows:
         by_doc.setdefault(r.doc_id, []).append(r)
@@ -68,7 +67,8 @@ def check(rows, texts, capacity):
 
 @pytest.mark.parametrize("shard", [3, 65536])
 def test_pieces_and_places(spark, shard):
-    texts = {1: None, 2: "", 3: "hello world " * 90, 4: "short", 5: "éè\U0001f600 <|endoftext|> 12345", 6: "x y" * 400, 7: "  \n\n ", 8: "a" * 31}
+    texts = {1: None, 2: "", 3: "hello world " * 90, 4: "short", 5: "éè\U0001f600 <|endoftext|> 12345", 6: "x y" * 400, 7: "  \n\n ", 8: "a" * 31,
+             9: "<|endoftext|>", 10: "x<|endoftext|><|endoftext|> y <|endoftext", 11: " <|endoftext|>\n" * 50}
     docs = spark.createDataFrame([(i, t, 9) for i, t in texts.items()], "doc_id long, text string, length int")
     rows = packed(docs, VOCABULARY, public_tokenizers.PATTERN, 32, shard_docs=shard).collect()
     made = check(rows, texts, 32)
