@@ -5,7 +5,8 @@ by probing level after level until one is missing. Every n-gram that occurs ``LE
 corpus, so the filter grows with it. It is therefore split by hash of the n-gram into shards of at most about ``SHARD_GRAMS``
 counted n-grams, and a shard is only ever in the memory of the task that builds or reads it: texts are dealt to blocks, the
 distinct n-grams of a block are sent to their shards, and the levels read there come back to the block. Exact counts of single
-tokens meet the texts by blocks in the same way. Arrays of n-grams travel as binary values, not as a row each.
+tokens meet the texts by blocks in the same way. Arrays of n-grams travel as binary values, not as a row each: their names are
+sorted, and the differences are compressed. The shuffle files of each step are given up when its result is written.
 
 The probability of a token after a history ``h`` that the filter holds is
 ``D q(h w) / C(h) + (1 - D T(h) / C(h)) P'(w)`` with the counts ``q`` read from the filter, ``C`` the history's count, ``T``
@@ -17,7 +18,6 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
-from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -41,11 +41,18 @@ BLOCK_BYTES = 12 << 20
 
 # Occurrences of n-grams that a shard of the filter gets on average, and tokens of which a task collapses repeats before it sends them.
 SHARD_GRAMS = 2_000_000
-TALLY_TOKENS = 1_000_000
+TALLY_TOKENS = 2_000_000
 
 _END = np.uint64(0x51ED270B7A1C3A65)
 _STEP = np.uint64(0xC2B2AE3D27D4EB4F)
 _FOLLOWERS = np.uint64(0xA24BAED4963EE407)
+_LOW = np.uint64(0xFFFFFFFF)
+
+# Sums over followers travel in steps of one part.
+_PARTS = 64.0
+
+# Bits of an n-gram's name that tell the followers of one history apart in a shard; the others are the history's.
+NAME_BITS = np.uint64(20)
 
 
 def tokens(text: str | None) -> np.ndarray:
@@ -73,51 +80,59 @@ class LogFrequencyFilter:
         out.size, out.words = np.uint64(size), np.frombuffer(words, dtype=np.uint8)
         return out
 
-    def _places(self, keys: np.ndarray, level: int, probe: int) -> np.ndarray:
+    def _place(self, halves: tuple[np.ndarray, np.ndarray], probe: int) -> np.ndarray:
+        """Places of a probe: the halves of one hash, the second added once a probe, scaled to the size."""
+        first, step = halves
+        return (((first + np.uint64(probe) * step) & _LOW) * self.size) >> np.uint64(32)
+
+    def _halves(self, keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
         with np.errstate(over="ignore"):
-            seed = mix(np.array([level * 64 + probe + 1], dtype=np.uint64))
-            return mix(keys ^ seed) % self.size
+            hashed = mix(keys ^ (np.uint64(level) * _STEP))
+        return hashed >> np.uint64(32), (hashed & _LOW) | np.uint64(1)
 
     def add(self, keys: np.ndarray, levels: np.ndarray) -> None:
         for level in range(1, int(levels.max(initial=0)) + 1):
             keys, levels = keys[levels >= level], levels[levels >= level]
+            halves = self._halves(keys, level)
             for probe in range(PROBES):
-                at = self._places(keys, level, probe)
+                at = self._place(halves, probe)
                 np.bitwise_or.at(self.words, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """Repeated membership probes: the level before the first that is missing."""
         out, alive, level = np.zeros(len(keys), dtype=np.int64), np.arange(len(keys)), 1
         while len(alive):
+            halves = self._halves(keys[alive], level)
             for probe in range(PROBES):
-                at = self._places(keys[alive], level, probe)
-                alive = alive[(self.words[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1]
+                at = self._place(halves, probe)
+                there = (self.words[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                alive, halves = alive[there], (halves[0][there], halves[1][there])
             out[alive] = level
             level += 1
         return out
 
 
-class _Reader:
-    """Counts from levels; ``_levels`` gives those of n-grams, or of the sums over their followers."""
+class Reader:
+    """Counts from levels; ``own`` gives those of n-grams with their histories, ``sums`` those of the sums over followers."""
 
     least: int
 
-    def counts(self, keys: np.ndarray) -> np.ndarray:
+    def counts(self, histories: np.ndarray, grams: np.ndarray) -> np.ndarray:
         """Counts read from the filter: the middle of the level, 0 where there is none."""
-        level = self._levels(keys)
+        level = self.own(histories, grams)
         return np.where(level > 0, self.least * BASE ** (level - 0.5), 0.0)
 
     def followers(self, histories: np.ndarray) -> np.ndarray:
         """Sums over followers: the upper end of the level."""
-        level = self._levels(histories, True)
+        level = self.sums(histories)
         return np.where(level > 0, self.least * SUM_BASE ** level.astype(float), 0.0)
 
 
 @dataclass
-class Model(_Reader):
+class Model:
     """``least`` is the count that level 1 begins at; ``train_tokens`` and ``vocabulary`` are the base's N and V.
 
-    ``table``: ``shard, size, words``, the filter's shards. Scoring joins them; reading the model itself fetches them to the driver.
+    ``table``: ``shard, size, words``, the filter's shards, which scoring joins.
     """
 
     table: DataFrame
@@ -127,47 +142,84 @@ class Model(_Reader):
     vocabulary: int
     order: int = ORDER
 
-    @cached_property
-    def filters(self) -> dict[int, LogFrequencyFilter]:
-        return {r.shard: LogFrequencyFilter.of(r.size, r.words) for r in self.table.collect()}
-
-    @property
-    def filter(self) -> LogFrequencyFilter:
-        """The filter of a model with one shard."""
-        (only,) = self.filters.values()
-        return only
-
-    def _levels(self, keys: np.ndarray, sums: bool = False) -> np.ndarray:
-        asked, at = np.unique(keys, return_inverse=True)
-        out = np.zeros(len(asked), dtype=np.int64)
-        for shard, part in by_shard(asked, self.shards):
-            if shard in self.filters:
-                out[part] = self.filters[shard].levels(asked[part] ^ _FOLLOWERS if sums else asked[part])
-        return out[at]
-
 
 @dataclass
-class Answers(_Reader):
-    """What the shards answered to a block: levels of its sorted ``keys`` and of the sums over their followers."""
+class Answers(Reader):
+    """What the shards answered to a block: per shard, asked names and histories in order with their levels."""
 
-    keys: np.ndarray
-    own: np.ndarray
-    sums: np.ndarray
+    asked: dict[int, tuple[np.ndarray, np.ndarray]]
+    answered: dict[int, tuple[np.ndarray, np.ndarray]]
+    shards: int
     least: int
     train_tokens: int
     vocabulary: int
     order: int
 
-    def _levels(self, keys: np.ndarray, sums: bool = False) -> np.ndarray:
-        return (self.sums if sums else self.own)[np.searchsorted(self.keys, keys)].astype(np.int64)
+    def _find(self, which: int, keys: np.ndarray, names: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(keys), dtype=np.int64)
+        for shard, at in dealt(keys, self.shards):
+            out[at] = self.answered[shard][which][np.searchsorted(self.asked[shard][which], names[at])]
+        return out
+
+    def own(self, histories: np.ndarray, grams: np.ndarray) -> np.ndarray:
+        return self._find(0, grams, named(histories, grams))
 
+    def sums(self, histories: np.ndarray) -> np.ndarray:
+        return self._find(1, histories, histories >> NAME_BITS)
 
-def by_shard(keys: np.ndarray, shards: int):
-    """Shards of sorted keys, each with the slice of its keys: equal ranges of the keys, which are hashes."""
-    shard = ((keys >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
-    starts = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1]))) if len(keys) else np.empty(0, np.int64)
+
+def named(histories: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    """Names of n-grams inside their shard: the history's high bits, then low bits of the n-gram's own key.
+
+    Shards are dealt by the high bits of the key, so the followers of a common history lie in all shards, and 20 bits tell
+    those in one shard apart about as well as the filter does.
+    """
+    return ((histories >> NAME_BITS) << NAME_BITS) | (grams & ((np.uint64(1) << NAME_BITS) - np.uint64(1)))
+
+
+def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
+    """Equal ranges of the keys, which are hashes."""
+    return ((keys >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
+
+
+def dealt(keys: np.ndarray, shards: int):
+    """Shards that hold some of ``keys``, each with the places of its keys."""
+    if not len(keys):
+        return
+    if shards == 1:
+        yield 0, np.arange(len(keys))
+        return
+    shard = shard_of(keys, shards)
+    order = np.argsort(shard.astype(np.uint16) if shards <= 1 << 16 else shard, kind="stable")
+    shard = shard[order]
+    starts = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1])))
     for at, upto in zip(starts.tolist(), [*starts[1:].tolist(), len(keys)]):
-        yield int(shard[at]), slice(at, upto)
+        yield int(shard[at]), order[at:upto]
+
+
+def packed(values: np.ndarray, width: int) -> bytes:
+    """Numbers below ``256 ** width``, byte by byte of their weight and compressed."""
+    import zstandard
+
+    return zstandard.compress(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes(), 1)
+
+
+def unpacked(data: bytes, width: int) -> np.ndarray:
+    import zstandard
+
+    planes = np.frombuffer(zstandard.decompress(data), dtype=np.uint8).reshape(width, -1)
+    out = np.zeros((planes.shape[1], 8), dtype=np.uint8)
+    out[:, :width] = planes.T
+    return out.reshape(-1).view("<u8")
+
+
+def packed_sorted(values: np.ndarray) -> bytes:
+    """Rising numbers, as their differences."""
+    return packed(np.diff(values, prepend=np.uint64(0)), 8)
+
+
+def unpacked_sorted(data: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(data, 8), dtype=np.uint64)
 
 
 def level_of(count, least: int, base: float = BASE):
@@ -201,15 +253,17 @@ def text_grams(texts: list[np.ndarray], order: int):
 
 
 def gram_pieces(train: DataFrame, order: int, shards: int) -> DataFrame:
-    """``shard, keys, histories, counts``: n-grams of stretches of ``train``, each once a stretch with its count there."""
+    """``shard, names, counts``: n-grams of stretches of ``train``, each once a stretch with its count there."""
 
     def pieces(texts):
-        for grams, histories in text_grams(texts, order):
-            keys, first, n = np.unique(grams, return_index=True, return_counts=True)
-            histories, n = histories[first], n.astype(np.uint32)
-            parts = list(by_shard(keys, shards))
-            yield pd.DataFrame({"shard": [k for k, _ in parts], "keys": [keys[x].tobytes() for _, x in parts],
-                                "histories": [histories[x].tobytes() for _, x in parts], "counts": [n[x].tobytes() for _, x in parts]})
+        both = list(text_grams(texts, order))
+        if not both:
+            return
+        grams, histories = (np.concatenate(x) for x in zip(*both))
+        names = named(histories, grams)
+        for shard, at in dealt(grams, shards):
+            own, n = np.unique(names[at], return_counts=True)
+            yield pd.DataFrame({"shard": [shard], "names": [packed_sorted(own)], "counts": [packed(n, 4)]})
 
     def tally(batches):
         texts, size = [], 0
@@ -222,47 +276,51 @@ def gram_pieces(train: DataFrame, order: int, shards: int) -> DataFrame:
                     texts, size = [], 0
         yield from pieces(texts)
 
-    return train.select("text").mapInPandas(tally, "shard long, keys binary, histories binary, counts binary")
-
-
-def joined(parts: pd.Series, kind) -> np.ndarray:
-    return np.frombuffer(b"".join(parts), dtype=kind)
+    return train.select("text").mapInPandas(tally, "shard long, names binary, counts binary")
 
 
-def collapsed(keys: np.ndarray, weights: np.ndarray):
-    """Distinct keys in order, the sums of their weights, and a place of each."""
+def collapsed(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order and the sums of their weights. Runs of rising keys, one after the other, are merged."""
     order = np.argsort(keys, kind="stable")
     keys = keys[order]
     starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.empty(0, np.int64)
-    return keys[starts], np.add.reduceat(weights[order], starts) if len(starts) else weights[:0], order[starts]
+    return keys[starts], np.add.reduceat(weights[order], starts) if len(starts) else weights[:0]
+
+
+def together(parts, read) -> np.ndarray:
+    return np.concatenate([np.empty(0, np.uint64), *(read(x) for x in parts)])
 
 
 def filter_shards(train: DataFrame, order: int, shards: int, least: int) -> DataFrame:
     """``shard, size, words``: the filter of n-grams with a count of ``least`` and of the sums over the followers of their histories.
 
-    The first grouping counts. A history's followers lie in many shards, so their sums go to the history's own shard.
+    The first grouping counts. A history's followers lie in many shards, so their sums go to the history's own shard; they
+    travel in steps of a ``_PARTS``-th, rounded up.
     """
 
     def count(key, rows):
-        keys, c, place = collapsed(joined(rows["keys"], np.uint64), joined(rows["counts"], np.uint32).astype(np.int64))
+        names, c = collapsed(together(rows["names"], unpacked_sorted), together(rows["counts"], lambda x: unpacked(x, 4)).astype(np.int64))
         kept = c >= least
-        levels = level_of(c[kept], least)
-        histories, q, _ = collapsed(joined(rows["histories"], np.uint64)[place[kept]], least * BASE ** (levels - 0.5))
-        parts = list(by_shard(histories, shards))
-        return pd.DataFrame({"shard": [key[0], *(k for k, _ in parts)], "sums": [False] + [True] * len(parts),
-                             "keys": [keys[kept].tobytes(), *(histories[x].tobytes() for _, x in parts)],
-                             "weights": [levels.astype(float).tobytes(), *(q[x].tobytes() for _, x in parts)]})
+        names, levels = names[kept], level_of(c[kept], least)
+        histories, q = collapsed(names >> NAME_BITS, least * BASE ** (levels - 0.5))
+        yield pd.DataFrame({"shard": [key[0]], "sums": [False], "keys": [packed_sorted(names)], "weights": [packed(levels, 1)]})
+        for shard, at in dealt(histories << NAME_BITS, shards):
+            yield pd.DataFrame({"shard": [shard], "sums": [True], "keys": [packed_sorted(histories[at])], "weights": [packed(np.ceil(q[at] * _PARTS), 6)]})
 
     def build(key, rows):
         own, sums = rows[~rows["sums"]], rows[rows["sums"]]
-        histories, q, _ = collapsed(joined(sums["keys"], np.uint64), joined(sums["weights"], float))
-        entered = [(joined(own["keys"], np.uint64), joined(own["weights"], float).astype(np.int64)), (histories ^ _FOLLOWERS, level_of(q, least, SUM_BASE))]
+        histories, q = collapsed(together(sums["keys"], unpacked_sorted), together(sums["weights"], lambda x: unpacked(x, 6)) / _PARTS)
+        entered = [(together(own["keys"], unpacked_sorted), together(own["weights"], lambda x: unpacked(x, 1)).astype(np.int64)),
+                   (histories ^ _FOLLOWERS, level_of(q, least, SUM_BASE))]
         made = LogFrequencyFilter(int(sum(levels.sum() for _, levels in entered)))
         for keys, levels in entered:
             made.add(keys, levels)
         return pd.DataFrame({"shard": [key[0]], "size": [int(made.size)], "words": [made.words.tobytes()]})
 
-    kept = gram_pieces(train, order, shards).groupBy("shard").applyInPandas(count, "shard long, sums boolean, keys binary, weights binary")
+    def counted(key, rows):
+        return pd.concat(count(key, rows))
+
+    kept = gram_pieces(train, order, shards).groupBy("shard").applyInPandas(counted, "shard long, sums boolean, keys binary, weights binary")
     return kept.groupBy("shard").applyInPandas(build, "shard long, size long, words binary")
 
 
@@ -273,21 +331,28 @@ def held(keys: np.ndarray, asked: np.ndarray) -> np.ndarray:
     return keys[np.minimum(np.searchsorted(keys, asked), len(keys) - 1)] == asked
 
 
-def fit(train: DataFrame, order: int = ORDER, share: float = 0.0) -> tuple[Model, DataFrame]:
-    """The model, and the exact token counts as a table. Null texts are empty: an end alone.
+def freed(df: DataFrame, name: str) -> DataFrame:
+    """``written``, after which Spark removes the shuffle files of the step: the result doesn't need them any more."""
+    spark, key = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        return written(df, name)
+    finally:
+        spark.conf.set(key, before)
 
-    ``share``: leaves out n-grams below this share of the tokens; by default none that occurs ``LEAST`` times is.
-    """
+
+def fit(train: DataFrame, order: int = ORDER) -> tuple[Model, DataFrame]:
+    """The model, and the exact token counts as a table. Null texts are empty: an end alone."""
     prepare(train.sparkSession)
-    exact = written(token_counts(train), "lm-tokens")
+    exact = freed(token_counts(train), "lm-tokens")
     total = exact.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    least = max(LEAST, math.ceil(share * total.n))
     shards = max(1, -(-int(total.n) * (order - 1) // SHARD_GRAMS))
-    table = written(filter_shards(train, order, shards, least), "lm-filter")
-    return Model(table, shards, least, int(total.n), int(total.v), order), exact
+    table = freed(filter_shards(train, order, shards, LEAST), "lm-filter")
+    return Model(table, shards, LEAST, int(total.n), int(total.v), order), exact
 
 
-def log_probabilities(words: np.ndarray, c: np.ndarray, ends: np.ndarray, model: Model | Answers) -> np.ndarray:
+def log_probabilities(words: np.ndarray, c: np.ndarray, ends: np.ndarray, model: Answers) -> np.ndarray:
     """Per token, log10 of its probability after the tokens before it in its text.
 
     ``c``: exact counts of the tokens; ``ends``: the places after each text's last token.
@@ -306,7 +371,7 @@ def log_probabilities(words: np.ndarray, c: np.ndarray, ends: np.ndarray, model:
         held_back[likely] = model.followers(past[likely])
         seen = held_back > 0
         counts = np.zeros(len(grams))
-        counts[seen] = model.counts(grams[seen])
+        counts[seen] = model.counts(past[seen], grams[seen])
         whole = np.maximum(past_count[seen], held_back[seen])  # read counts are rounded: a part is never more than the whole
         tail = p[n - 1 :]
         tail[seen] = DISCOUNT * np.minimum(counts[seen], held_back[seen]) / whole + (1 - DISCOUNT * held_back[seen] / whole) * tail[seen]
@@ -324,13 +389,24 @@ def score(docs: DataFrame, model: Model, exact: DataFrame) -> DataFrame:
     prepare(spark)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // BLOCK_BYTES))
-    spread = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))), F.lit(blocks))
+    # By the row's place: rows that share an id or have none, and copies, are spread too.
+    spread = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks))
     # All sides below read this one exchange.
     placed = docs.select(spread.alias("_block"), F.col("doc_id").cast("long").alias("doc_id"), "text").repartition(int(blocks), "_block")
     shards, order, least, train_tokens, vocabulary = model.shards, model.order, model.least, model.train_tokens, model.vocabulary
 
-    def block_keys(texts):
-        return np.unique(np.concatenate([np.concatenate(texts), *(np.unique(grams) for grams, _ in text_grams(texts, order))]))
+    def block_asks(texts):
+        """Per shard, the names and the histories of a block, distinct and in order."""
+        out = {}
+        both = list(text_grams(texts, order))
+        if both:
+            grams, histories = (np.concatenate(x) for x in zip(*both))
+            names, heads = named(histories, grams), np.unique(histories >> NAME_BITS)
+            for shard, at in dealt(grams, shards):
+                out[shard] = (np.unique(names[at]), np.empty(0, np.uint64))
+            for shard, at in dealt(heads << NAME_BITS, shards):
+                out[shard] = (out[shard][0] if shard in out else np.empty(0, np.uint64), heads[at])
+        return out
 
     def ask(batches):
         for batch in batches:
@@ -346,35 +422,34 @@ def score(docs: DataFrame, model: Model, exact: DataFrame) -> DataFrame:
     slices = min(int(blocks), max(1, -(-int(size) // max(1, train_tokens * 8))))
 
     def ask_grams(key, texts):
-        keys = block_keys([tokens(t) for t in texts["text"]])
-        parts = list(by_shard(keys, shards))
-        return pd.DataFrame({"shard": [k for k, _ in parts], "_slice": key[0] % slices, "_block": key[0], "keys": [keys[x].tobytes() for _, x in parts]})
+        asks = block_asks([tokens(t) for t in texts["text"]])
+        return pd.DataFrame([(shard, key[0] % slices, key[0], packed_sorted(names), packed_sorted(heads)) for shard, (names, heads) in asks.items()],
+                            columns=["shard", "_slice", "_block", "names", "heads"])
 
     def answer(key, rows, filters):
         out = []
-        for block, keys in zip(rows["_block"], rows["keys"]):
-            keys = np.frombuffer(keys, dtype=np.uint64)
-            own, sums = np.zeros(len(keys), dtype=np.uint8), np.zeros(len(keys), dtype=np.uint16)
-            if len(filters):
-                read = LogFrequencyFilter.of(filters["size"].iloc[0], filters["words"].iloc[0])
-                own, sums = read.levels(keys).astype(np.uint8), read.levels(keys ^ _FOLLOWERS).astype(np.uint16)
-            out.append((block, key[0], own.tobytes(), sums.tobytes()))
+        read = LogFrequencyFilter.of(filters["size"].iloc[0], filters["words"].iloc[0]) if len(filters) else None
+        for block, names, heads in zip(rows["_block"], rows["names"], rows["heads"]):
+            asked = unpacked_sorted(names), unpacked_sorted(heads) ^ _FOLLOWERS
+            own, sums = (read.levels(keys) if read else np.zeros(len(keys), dtype=np.int64) for keys in asked)
+            out.append((block, key[0], packed(own, 1), packed(sums, 2)))
         return pd.DataFrame(out, columns=["_block", "shard", "own", "sums"])
 
-    grams = placed.groupBy("_block").applyInPandas(ask_grams, "shard long, _slice long, _block long, keys binary")
+    grams = placed.groupBy("_block").applyInPandas(ask_grams, "shard long, _slice long, _block long, names binary, heads binary")
     filters = model.table.withColumn("_slice", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long"))))
     read = grams.groupBy("shard", "_slice").cogroup(filters.groupBy("shard", "_slice")).applyInPandas(answer, "_block long, shard long, own binary, sums binary")
     zero = F.lit(0).cast("long")
     known = counts.unionByName(read.select("_block", zero.alias("token"), zero.alias("c"), "shard", "own", "sums"))
 
     def measure(key, texts, known):
-        single, levels = known[known["shard"] < 0], known[known["shard"] >= 0].sort_values("shard")
+        single, levels = known[known["shard"] < 0], known[known["shard"] >= 0]
         by_key = np.argsort(single["token"].to_numpy(dtype=np.int64).view(np.uint64), kind="stable")
         keys, c = single["token"].to_numpy(dtype=np.int64).view(np.uint64)[by_key], single["c"].to_numpy(dtype=np.int64)[by_key]
         texts_tokens = [tokens(t) for t in texts["text"]]
         lm = None
         if len(texts_tokens):
-            lm = Answers(block_keys(texts_tokens), joined(levels["own"], np.uint8), joined(levels["sums"], np.uint16), least, train_tokens, vocabulary, order)
+            answered = {int(k): (unpacked(own, 1), unpacked(sums, 2)) for k, own, sums in zip(levels["shard"], levels["own"], levels["sums"])}
+            lm = Answers(block_asks(texts_tokens), answered, shards, least, train_tokens, vocabulary, order)
         parts, held_tokens, rows = [], 0, []
 
         def flush():
@@ -403,7 +478,7 @@ def score(docs: DataFrame, model: Model, exact: DataFrame) -> DataFrame:
         measure, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
-def score_corpus(spark: SparkSession, docs: DataFrame, train: DataFrame, order: int = ORDER, share: float = 0.0) -> DataFrame:
+def score_corpus(spark: SparkSession, docs: DataFrame, train: DataFrame, order: int = ORDER) -> DataFrame:
     """Learn from ``train`` and score ``docs``."""
-    model, exact = fit(train, order, share)
+    model, exact = fit(train, order)
     return score(docs, model, exact)
