@@ -145,7 +145,7 @@ class Model:
 
 @dataclass
 class Answers(Reader):
-    """What the shards answered to a block: per shard, asked names and histories in order with their levels."""
+    """What the shards answered to a block: per shard, asked entries and histories in order with their levels."""
 
     asked: dict[int, tuple[np.ndarray, np.ndarray]]
     answered: dict[int, tuple[np.ndarray, np.ndarray]]
@@ -162,7 +162,7 @@ class Answers(Reader):
         return out
 
     def own(self, histories: np.ndarray, grams: np.ndarray) -> np.ndarray:
-        return self._find(0, grams, named(histories, grams))
+        return self._find(0, grams, entry(named(histories, grams)))
 
     def sums(self, histories: np.ndarray) -> np.ndarray:
         return self._find(1, histories, histories >> NAME_BITS)
@@ -177,6 +177,11 @@ def named(histories: np.ndarray, grams: np.ndarray) -> np.ndarray:
     return ((histories >> NAME_BITS) << NAME_BITS) | (grams & ((np.uint64(1) << NAME_BITS) - np.uint64(1)))
 
 
+def entry(names: np.ndarray) -> np.ndarray:
+    """What an n-gram is entered and asked by in its shard: 40 bits, which two of a shard's share less often than the filter errs."""
+    return mix(names) >> np.uint64(24)
+
+
 def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
     """Equal ranges of the keys, which are hashes."""
     return ((keys >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
@@ -303,7 +308,9 @@ def filter_shards(train: DataFrame, order: int, shards: int, least: int) -> Data
         kept = c >= least
         names, levels = names[kept], level_of(c[kept], least)
         histories, q = collapsed(names >> NAME_BITS, least * BASE ** (levels - 0.5))
-        yield pd.DataFrame({"shard": [key[0]], "sums": [False], "keys": [packed_sorted(names)], "weights": [packed(levels, 1)]})
+        entries = entry(names)
+        rising = np.argsort(entries)
+        yield pd.DataFrame({"shard": [key[0]], "sums": [False], "keys": [packed_sorted(entries[rising])], "weights": [packed(levels[rising], 1)]})
         for shard, at in dealt(histories << NAME_BITS, shards):
             yield pd.DataFrame({"shard": [shard], "sums": [True], "keys": [packed_sorted(histories[at])], "weights": [packed(np.ceil(q[at] * _PARTS), 6)]})
 
@@ -396,12 +403,12 @@ def score(docs: DataFrame, model: Model, exact: DataFrame) -> DataFrame:
     shards, order, least, train_tokens, vocabulary = model.shards, model.order, model.least, model.train_tokens, model.vocabulary
 
     def block_asks(texts):
-        """Per shard, the names and the histories of a block, distinct and in order."""
+        """Per shard, the entries and the histories of a block, distinct and in order."""
         out = {}
         both = list(text_grams(texts, order))
         if both:
             grams, histories = (np.concatenate(x) for x in zip(*both))
-            names, heads = named(histories, grams), np.unique(histories >> NAME_BITS)
+            names, heads = entry(named(histories, grams)), np.unique(histories >> NAME_BITS)
             for shard, at in dealt(grams, shards):
                 out[shard] = (np.unique(names[at]), np.empty(0, np.uint64))
             for shard, at in dealt(heads << NAME_BITS, shards):

@@ -28,7 +28,7 @@ class Local(ngram_lm.Reader):
         return out
 
     def own(self, histories, grams):
-        return self._levels(grams, ngram_lm.named(histories, grams))
+        return self._levels(grams, ngram_lm.entry(ngram_lm.named(histories, grams)))
 
     def sums(self, histories):
         heads = histories >> ngram_lm.NAME_BITS
