@@ -1,5 +1,6 @@
 import math
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -223,6 +224,37 @@ def test_ngrams_count_alike_at_every_size(spark, monkeypatch):
     assert got.score == pytest.approx(want, rel=1e-9) and got.score > got.base_score
 
 
+def test_ids_beside_rows_without_one_keep_every_digit(spark):
+    docs = spark.createDataFrame([(2**60 + 1, "a b a b"), (None, None), (-(2**62) - 1, "")], SCHEMA).coalesce(1)
+    got = {r.doc_id: (r.n_tokens, r.n_known) for r in score_corpus(spark, docs, docs).collect()}
+    assert got == {2**60 + 1: (5, 5), None: (1, 1), -(2**62) - 1: (1, 1)}
+
+
+def test_texts_hashed_together_have_their_own_tokens():
+    texts = ["A b  C", "", None, "x\ty \u00e9\xa0z ", "\u00ff \u00fe", "\n", "long " * 100_000, "a"]
+    words, sizes = (np.concatenate(x) for x in zip(*ngram_lm.token_runs(texts)))
+    want = [tokens(t) for t in texts]
+    assert sizes.tolist() == [len(t) for t in want] and np.array_equal(words, np.concatenate(want))
+
+
+def test_a_block_asks_in_ranges_and_in_little_memory():
+    rng = np.random.default_rng(5)
+    words, sizes = rng.integers(0, 2**64, 400_000, dtype=np.uint64)[rng.zipf(1.3, 400_000) % 400_000], np.full(1_000, 400)
+    whole = ngram_lm.block_asks(words, sizes, 3, 64, 0, 64)
+    tracemalloc.start()
+    try:
+        parts = [ngram_lm.block_asks(words, sizes, 3, 64, low, low + 32) for low in (0, 32)]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert all(np.array_equal(np.concatenate([part[k] for part in parts]), whole[k]) for k in (0, 1))
+    pairs = list(ngram_lm.run_grams(words, sizes, 3))
+    assert np.array_equal(whole[0], np.unique(np.concatenate([ngram_lm.located(histories, grams, 64) for grams, histories in pairs])))
+    assert np.array_equal(whole[1], np.unique(np.concatenate([histories for _, histories in pairs]) >> ngram_lm.NAME_BITS))
+    # Longs a token.
+    assert peak < 11 * 8 * len(words)
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert score_corpus(spark, empty, empty).count() == 0
