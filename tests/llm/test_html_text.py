@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from evidmill.llm.html_text import CHROME, LEAST_PAGES, OPEN, TEXT, WINDOW, blocks, extract, host_of, main_text
+from evidmill.llm.html_text import CHROME, LEAST_PAGES, LEAST_SHARE, LEAST_TEXTS, OPEN, TEXT, WINDOW, blocks, extract, host_of, main_text, repeats
 
 SCHEMA = "page_id long, url string, html string"
 
@@ -124,3 +124,95 @@ def test_hosts(spark):
     urls = ["https://A.Example:80/x", "//b.example?q", "ftp://u:p@c.example/", "d.example/x", None, "http://e.example#f"]
     got = [r.h for r in spark.createDataFrame([(u,) for u in urls], "url string").select(host_of("url").alias("h")).collect()]
     assert got == ["a.example", "b.example", "c.example", "", "", "e.example"]
+
+
+def longest(tokens, pos, holders, least):
+    """Tokens of the longest beginning of a suffix that enough texts hold; ``holders``: (tokens, text) of a host."""
+    n = 0
+    while pos + n < len(tokens):
+        part = tokens[pos : pos + n + 1]
+        if len({text for other, text in holders if any(other[k : k + n + 1] == part for k in range(len(other)))}) < least:
+            break
+        n += 1
+    return n
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_lengths_of_repeats_like_brute_force(spark, seed):
+    rng = random.Random(seed)
+    common = [rng.randrange(50) for _ in range(23)]
+    stretches, holders = [], []
+    for sid in range(24):
+        host, cut = f"h{sid % 2}", rng.randrange(15)
+        stretches.append((sid, host, common[cut : cut + rng.randint(1, 23)] + [rng.randrange(4) for _ in range(rng.randint(1, 14))]))
+        holders += [(sid, text, 3) for text in rng.sample(range(8), rng.randint(1, 2))]
+    got = repeats(spark.createDataFrame(stretches, "sid long, host string, words array<long>"), spark.createDataFrame(holders, "sid long, digest long, _least long"))
+    want = {}
+    for sid, host, words in stretches:
+        held = [(other, text) for k, h, other in stretches if h == host for s, text, _ in holders if s == k]
+        want.update({(sid, pos): n for pos in range(len(words)) if (n := longest(words, pos, held, 3))})
+    assert {(r.sid, r.pos): r.length for r in got.collect()} == want
+    assert max(want.values()) > 2 * WINDOW
+
+
+def judged(pages):
+    """Texts by the rules, with the repeats of a host found by comparing its blocks directly."""
+    hosts = {}
+    for page_id, url, page in pages:
+        found = blocks(page)
+        hosts.setdefault(url.split("/")[2], []).append((page_id, found, main_text(found)))
+    out = {}
+    for members in hosts.values():
+        texts = {t for _, _, t in members if t}
+        least = max(LEAST_PAGES, len(texts) * LEAST_SHARE)
+        tokens = lambda b: w if len(w := b.text.split(" ")) >= WINDOW else [("whole", *w)]
+        held = [(tokens(b), t) for _, found, t in members if t for b in found]
+        for page_id, found, _ in members:
+            runs = []
+            for k, b in enumerate(found):
+                w = tokens(b)
+                for pos in range(len(w)):
+                    n = longest(w, pos, held, least)
+                    if n >= (WINDOW if len(w) > 1 else 1):
+                        runs.append((k, pos, n))
+            out[page_id] = main_text(found, runs, len(texts) >= LEAST_TEXTS)
+    return out
+
+
+def test_repeats_inside_the_article_go_by_their_length(spark):
+    rng = random.Random(3)
+    run = lambda n: " ".join(f"w{rng.randrange(3000)}" for _ in range(n))
+    notice, quote, share, lead = run(17), run(14), "Share this", "Weekly report"
+    pages, want = [], {}
+    for k in range(12):
+        text, other = run(rng.randint(20, 60)), run(9)
+        # A notice on most texts goes with the line beside it. A heading, and a passage in a paragraph of its own words, are text.
+        last = f"<p>{notice}</p><p>{share}</p>" if k % 4 else f"<p>{share}</p>"
+        pages.append((k, f"https://news.example/{k}", f"<nav>{run(3)}</nav><article><h1>{lead}</h1><p>{text}</p><p>{other} {quote}</p>{last}</article>"))
+        want[k] = "\n".join([lead, text, f"{other} {quote}"] + ([] if k % 4 else [share]))
+    # On less than half of the texts it stays; and one article under several addresses, and versions of one, aren't boilerplate.
+    rare = [(20 + k, f"https://rare.example/{k}", f"<article><p>{run(30)}</p>{f'<p>{notice}</p>' if k < 6 else ''}</article>") for k in range(13)]
+    body = run(40)
+    copies = [(60 + k, f"https://copies.example/{k}", f"<nav>{run(8)}</nav><article><p>{body}</p></article>") for k in range(4)]
+    versions = [(70 + k, f"https://versions.example/{k}", f"<main><p>{body}</p><p>{run(12)}</p></main>") for k in range(12)]
+    # On a host with few texts a passage that all have is theirs.
+    few = [(90 + k, f"https://few.example/{k}", f"<article><h1>{notice}</h1><p>{run(30)}</p></article>") for k in range(LEAST_TEXTS - 1)]
+    bare = [(40 + k, f"https://bare.example/{k}", f"<div>{run(20)} {quote}</div><footer>{notice}</footer>") for k in range(4)]
+    chrome = [(50, "https://bare.example/x", f"<footer>{notice}</footer>"), (50, "https://bare.example/y", f"<div>{notice} {run(3)}</div>")]
+    everything = pages + rare + copies + versions + few + bare
+    rows = spark.createDataFrame(everything + chrome + [(None, "https://news.example/9", f"<article><p>{notice}</p></article>")], SCHEMA)
+    got = {(r.page_id, r.url): r for r in extract(rows).collect()}
+    texts = {k: r.text for (k, _), r in got.items() if k not in (None, 50)}
+    assert {k: texts[k] for k in want} == want
+    assert all(texts[k] == text_of(page) for k, _, page in rare + copies + versions + few)
+    assert all(quote not in texts[k] and len(texts[k].split()) == 20 for k, _, _ in bare)
+    assert texts == {k: t for k, t in judged(everything + chrome).items() if k != 50}
+    # Rows that repeat an id are judged apart; a page without text holds nothing, a page without id is read by its markup.
+    assert got[50, "https://bare.example/x"].text == "" and got[50, "https://bare.example/x"].n_repeated == 12
+    assert notice not in got[50, "https://bare.example/y"].text and len(got[50, "https://bare.example/y"].text.split()) == 3
+    assert got[None, "https://news.example/9"].text == notice
+
+
+def test_site_like_the_rules(spark):
+    pages = site(5)
+    assert {r.page_id: r.text for r in extract(spark.createDataFrame(pages, SCHEMA)).collect()} == judged(pages)
