@@ -1,8 +1,12 @@
 """What keeps queries within time and disk on large tables: plans without quadratic frames, rows shuffled once, results as before."""
 
+import os
+
+import pytest
 from pyspark.sql import functions as F
 
-from evidmill.operators import grouping
+from evidmill import session
+from evidmill.operators import graph, grouping
 
 
 def _plan(df):
@@ -17,3 +21,41 @@ def test_next_value_reads_backwards(spark):
     assert "unboundedfollowing" not in _plan(out)
     want = {i: min((v for j, v in values.items() if j > i and v is not None), default=None) for i in values}
     assert {r["index"]: r.out for r in out.collect()} == want
+
+
+def _tree(n):
+    """Runs, a way of three nodes below each, edges from a start that is no node, and a cycle."""
+    nodes, edges = [("x", "action"), ("y", "action")], [("x", "y", "e"), ("y", "x", "e")]
+    for i in range(n):
+        nodes += [(f"run:{i}", "run"), (f"t{i}", "target"), (f"a{i}", "action"), (f"c{i}", "cache_event"), (f"o{i}", "artifact")]
+        edges += [(f"run:{i}", f"t{i}", "evaluated_target"), (f"t{i}", f"a{i}", "produced_action"), (f"a{i}", f"c{i}", "observed_cache_event"),
+                  (f"gone{i}", f"a{i}", "authored_change"), (f"gone{i}", f"o{i}", "recorded_artifact"), (f"t{i}", f"none{i}", "e")]
+    return nodes, edges
+
+
+@pytest.mark.parametrize("rows", [10, 1 << 24])
+def test_walks_in_steps_equal_walks_at_once(spark, monkeypatch, rows):
+    monkeypatch.setattr(session, "STEP_ROWS", rows)
+    nodes, edges = _tree(6)
+    n, e = spark.createDataFrame(nodes, "id string, kind string"), spark.createDataFrame(edges, "from string, to string, kind string")
+    parent = graph.parents(n, e, spark.createDataFrame([("o1", "t1")], "id string, owner string"))
+    want = {"x": "y", "y": "x", "o1": "t1"} | {f"{b}{i}": f"{a}{i}" for i in range(6) for a, b in (("run:", "t"), ("t", "a"), ("a", "c"))}
+    assert {r.id: r.parent for r in parent.collect()} == want
+    got = {r.id: (r.run, r.depth) for r in graph.run_attribution(n, parent).collect()}
+    assert len(got) == len(nodes) and all(got[f"c{i}"] == (f"run:{i}", 5) and got[f"t{i}"] == (f"run:{i}", 3) for i in range(6))
+    assert got["o1"] == ("run:1", 4) and got["o2"] == (None, 3) and got["x"][0] is None
+    part = {r.id: (r.owner, r.reason) for r in graph.card_partition(n, parent).collect()}
+    assert len(part) == len(nodes) and part["c3"] == ("run:3", None) and part["o2"] == (None, None) and part["y"] == (None, "unreached")
+    assert {(r["from"], r["to"]) for r in graph.connected_edges(n, e).collect()} == {(a, b) for a, b, _ in edges if not a.startswith("gone") and not b.startswith("none")}
+
+
+def test_walks_remove_what_they_have_read(spark):
+    top = session.shared_dir(spark).removeprefix("file:") + "/evidmill"
+    before = set(os.listdir(top)) if os.path.isdir(top) else set()
+    nodes, edges = _tree(20)
+    n, e = spark.createDataFrame(nodes, "id string, kind string"), spark.createDataFrame(edges, "from string, to string, kind string")
+    done = graph.run_attribution(n, graph.parents(n, e))
+    assert done.count() == len(nodes)
+    left = set(os.listdir(top)) - before
+    assert {x.split("-")[0] for x in left} >= {"starts", "parents"} and not any(x.startswith("edges-") for x in left)
+    assert not any(os.path.exists(f"{top}/{x}/ended=false") for x in left if x.startswith("starts-"))
