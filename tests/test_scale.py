@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evidmill import session
-from evidmill.operators import graph, grouping
+from evidmill.operators import graph, grouping, packet
 
 
 def _plan(df):
@@ -59,3 +59,21 @@ def test_walks_remove_what_they_have_read(spark):
     left = set(os.listdir(top)) - before
     assert {x.split("-")[0] for x in left} >= {"starts", "parents"} and not any(x.startswith("edges-") for x in left)
     assert not any(os.path.exists(f"{top}/{x}/ended=false") for x in left if x.startswith("starts-"))
+
+
+@pytest.mark.parametrize("rows", [5, 1 << 24])
+def test_block_refs_in_steps(spark, monkeypatch, rows):
+    monkeypatch.setattr(session, "STEP_ROWS", rows)
+    runs = spark.createDataFrame([(i, f"g{i % 3}" if i < 8 else None) for i in range(9)], "id int, run_group string")
+    rows = {p: [(i, f"2024-{i % 5}", f"{p}{i}", [f"r{i % 4}", "all", None]) for i in range(n)] for p, n in (("cache_events", 9), ("targets", 5), ("failures", 7))}
+    parts = {p: spark.createDataFrame(r, "run_id int, created_at string, id string, evidence_refs array<string>") for p, r in rows.items()}
+    out = packet.block_refs(runs, parts)
+    # A ref is shuffled for its part, not again for each block, and nothing is left to be shuffled.
+    assert "exchange" not in _plan(out)
+    want = {}
+    for block, place, part in (("cache", 0, "cache_events"), ("cache_economics", 0, "cache_events"), ("validation", 0, "targets"), ("validation", 2, "failures")):
+        for i, day, name, refs in rows[part]:
+            for slot, ref in enumerate(refs):
+                key = (f"g{i % 3}" if i < 8 else None, block, ref)
+                want[key] = min(want.get(key, (9,)), (place, day, name, slot))
+    assert {(r.run_group, r.block_id, r.ref): tuple(r.first_seen) for r in out.collect()} == want
