@@ -77,3 +77,17 @@ def test_block_refs_in_steps(spark, monkeypatch, rows):
                 key = (f"g{i % 3}" if i < 8 else None, block, ref)
                 want[key] = min(want.get(key, (9,)), (place, day, name, slot))
     assert {(r.run_group, r.block_id, r.ref): tuple(r.first_seen) for r in out.collect()} == want
+
+
+def test_packet_facts_settle_their_parts(spark):
+    quad = "source_kind string, confidence string, redaction_state string"
+    of = lambda more="": spark.createDataFrame([], f"id string, run_id int, created_at string, {quad}{more}")
+    runs = spark.createDataFrame([(1, "g", "cold-cache", "local", "ok", None, None, "t", "future", "low", "safe")],
+                                 f"id int, run_group string, scenario string, mode string, status string, started_at string, ended_at string, created_at string, {quad}")
+    parts = {p: of() for p in ("targets", "actions", "failures", "artifacts")} | {
+        "invocations": of(", command array<string>, status string, started_at string, ended_at string"), "cache_events": of(", hit boolean"), "references": of(", presence string")}
+    workers, stored = spark.createDataFrame([], "run_id int, worker_name string"), spark.createDataFrame([], "run_id int, id string, created_at string, block_kind string, payload string")
+    facts = packet.packet_facts(runs, parts, runs, workers, stored)
+    # What is left reads the settled parts: one row a group.
+    assert _plan(facts).count("generate") == 0 and len(set(facts.inputFiles())) > 0
+    assert [(r.run_group, r.runs, r.legs, r.targets) for r in facts.collect()] == [("g", 1, 0, 0)]
